@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 __all__ = ["queries", "oracle_sql"]
 
@@ -15,14 +16,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.simhash import near_duplicates
-    from pyspark.sql import functions as F
 
     r = near_duplicates(table(spark, sf_dir, "documents"))
     return r.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.suffix import deduplicate
+
+    r = deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return r.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_simhash": op5_simhash}
+    return {f.__name__: f for f in (op4_suffix_dedup, op5_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
