@@ -21,6 +21,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def vocabulary(name: str) -> str:
+    """A public tokenizer's file; the folder is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.suffix import deduplicate
 
@@ -28,8 +35,14 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_suffix_dedup, op5_simhash)}
+    return {f.__name__: f for f in (op4_suffix_dedup, op5_simhash, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
