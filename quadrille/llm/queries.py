@@ -41,8 +41,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.langid import fold, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(fold() == 2, F.lit(False)).alias("held_out")
+    return identify(docs.select("doc_id", "text"), train(docs)).select("doc_id", held, "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_suffix_dedup, op5_simhash, op10_packing)}
+    return {f.__name__: f for f in (op4_suffix_dedup, op5_simhash, op6_language, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

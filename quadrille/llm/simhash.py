@@ -174,3 +174,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int
     known = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(known.join(ids, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group.
+
+    Groups are those of :func:`near_duplicates`. Rows without an id stay only where no row of
+    their group has one. The result has the columns of ``docs``.
+    """
+    groups = near_duplicates(docs, width, radius, seed)
+    stay = groups.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
