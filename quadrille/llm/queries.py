@@ -35,6 +35,12 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.sharding import balanced_shards
+
+    return balanced_shards(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.packing import pack
 
@@ -50,7 +56,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_suffix_dedup, op5_simhash, op6_language, op10_packing)}
+    return {f.__name__: f for f in (op4_suffix_dedup, op5_simhash, op6_language, op7_sharding, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
