@@ -41,6 +41,15 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature: the pairs as ``time:hash`` (frame, hexadecimal), in order of time."""
+    from quadrille.llm.media import with_media
+
+    r = with_media(table(spark, sf_dir, "documents"))
+    pair = F.zip_with("peak_times", "peak_hashes", lambda t, h: F.concat_ws(":", t.cast("string"), F.lower(F.hex(h))))
+    return r.select(*[c for c in r.columns if not c.startswith("peak_")], F.array_join(pair, " ").alias("feature"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.packing import pack
 
@@ -56,7 +65,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_suffix_dedup, op5_simhash, op6_language, op7_sharding, op10_packing)}
+    return {f.__name__: f for f in (op4_suffix_dedup, op5_simhash, op6_language, op7_sharding, op8_media, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
