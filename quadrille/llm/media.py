@@ -21,7 +21,7 @@ RATE = 8000
 FRAME = 512
 HOP = 512
 PEAKS = 3
-FAN = 2
+FAN = 3
 AHEAD = 8
 BLOCK = 2048
 
@@ -55,7 +55,7 @@ def peak_pairs(samples: bytes, frame: int = FRAME, hop: int = HOP, peaks: int =
 
     Short-time Fourier transform with a Hann window; the ``peaks`` strongest local maxima of a
     frame's power are its peaks (ties: the lower bin). Each peak is paired with the ``fan`` next
-    peaks that start 1 to ``ahead`` frames later; a pair's hash is f1 << 20 | f2 << 8 | dt and its
+    peaks by frame and bin, up to ``ahead`` frames later; a pair's hash is f1 << 20 | f2 << 8 | dt and its
     time the first peak's frame. The last frame is padded with silence. Blocks of frames bound
     the memory.
     """
@@ -80,11 +80,10 @@ def peak_pairs(samples: bytes, frame: int = FRAME, hop: int = HOP, peaks: int =
         times.append(t[top < 1 << 30])
         bins.append(top[top < 1 << 30] + 2)
     t, f = np.concatenate(times), np.concatenate(bins)
-    nxt = np.searchsorted(t, t, side="right")  # the first peak of a later frame
     out_t, out_h = [], []
     for j in range(fan):
-        i = np.flatnonzero(nxt + j < len(t))
-        o = nxt[i] + j
+        i = np.arange(max(0, len(t) - 1 - j))
+        o = i + 1 + j
         i, o = i[t[o] - t[i] <= ahead], o[t[o] - t[i] <= ahead]
         out_t.append(t[i])
         out_h.append(f[i] << 20 | f[o] << 8 | (t[o] - t[i]))
