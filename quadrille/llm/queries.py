@@ -28,6 +28,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.fingerprint import edited_neighbours
+
+    r = edited_neighbours(table(spark, sf_dir, "documents"))
+    return r.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.suffix import deduplicate
 
@@ -65,7 +72,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_suffix_dedup, op5_simhash, op6_language, op7_sharding, op8_media, op10_packing)}
+    return {f.__name__: f for f in (op2_fingerprints, op4_suffix_dedup, op5_simhash, op6_language, op7_sharding, op8_media, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
