@@ -28,6 +28,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.fingerprint import edited_neighbours
 
@@ -72,8 +78,19 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op4_suffix_dedup, op5_simhash, op6_language, op7_sharding, op8_media, op10_packing)}
+    return {f.__name__: f for f in (op1_warc, op2_fingerprints, op4_suffix_dedup, op5_simhash, op6_language, op7_sharding, op8_media, op10_packing)}
+
+
+WARC_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+     q as (select page_id, octet_length(b) as n, sha1(b) as d from p),
+     r as (select *, max(page_id) over (partition by n, d) as top from q)
+select page_id, n::bigint as payload_bytes, d as payload_digest,
+       case when n >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
+       case when n >= 1000 and page_id <> top then top end as refers_to
+from r
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": WARC_SQL}
