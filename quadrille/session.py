@@ -35,7 +35,7 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 4096, mb: int = 16) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 2048, mb: int = 8) -> None:
     """Bound the Arrow batches that Python workers get, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)
