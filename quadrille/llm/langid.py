@@ -20,7 +20,7 @@ GRAMS = (2, 3, 4)
 BITS = 16
 CHAIN = 64
 RUN = 16
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SPACE = np.array([32 if i < 128 and not chr(i).isalpha() else i for i in range(256)], np.uint8)
 LETTER = re.compile(r"[^\W\d_]")
 
