@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -96,8 +97,8 @@ class TextTokens:
     """
 
     MARKS = ".,;:!?"
-    LOWER = {c: c + 32 for c in range(65, 91)}
-    HELD = 800_000
+    HELD = 300_000
+    PART = 1 << 22
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -106,47 +107,88 @@ class TextTokens:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         rule, kinds = json.dumps(spec.get("pre_tokenizer")), json.dumps(spec.get("normalizer"))
-        added = [x for x in spec.get("added_tokens", ())]
+        added = spec.get("added_tokens", ())
         self.special = tuple({x["content"][:2] for x in added})
         self.by_word = "\\\\s\\\\p{L}" in rule and '"Removed"' in rule and '"Lowercase"' in kinds and not any(x.get("lstrip") or x.get("rstrip") or any(c.isspace() for c in x["content"]) for x in added)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.words: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {"": b""}
-
-    def parts(self, word: str) -> tuple[str, str]:
-        if any(x in word for x in self.special):
-            return word, ""
-        word = word.translate(self.LOWER)
-        stem = word.rstrip(self.MARKS)
-        return (stem, word[len(stem) :]) if stem and stem[-1].isalnum() else (word, "")
-
-    def lookup(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, packed."""
-        if len(self.words) > self.HELD:  # bounds what a worker keeps
-            self.words, self.stems = {}, {"": b""}
-        if new := [w for w in words if w not in self.words]:
-            cut = [self.parts(w) for w in new]
-            lacking = [x for x in {p for pair in cut for p in pair} if x not in self.stems]
-            self.stems.update(zip(lacking, (array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(lacking, add_special_tokens=False))))
-            self.words.update((w, self.stems[a] + self.stems[b]) for w, (a, b) in zip(new, cut))
-        return [self.words[w] for w in words]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and each text's number of ids."""
+        # letters alone are one run, which the model takes as it is but for its names of bytes
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.bytes = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in shown)}
+
+    def learn(self, stems: Iterable[str]) -> None:
+        rest, run = [], self.tokenizer.model.tokenize
+        for x in stems:
+            if x.isalpha() and (x.isascii() or (x == x.lower() and unicodedata.is_normalized("NFC", x))):
+                y = x if x.isascii() else x.encode().decode("latin-1").translate(self.bytes)
+                self.stems[x] = array(self.code, [t.id for t in run(y)]).tobytes()
+            else:
+                rest.append(x)
+        self.stems.update(zip(rest, (array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
+
+    def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words in a row, and each word's number of ids."""
+        if len(self.stems) > self.HELD:  # bounds what a worker keeps
+            self.stems = {"": b""}
+        special = pc.match_substring(words, self.special[0]) if self.special else pa.array(np.zeros(len(words), bool))
+        for x in self.special[1:]:
+            special = pc.or_(special, pc.match_substring(words, x))
+        low = pc.ascii_lower(words)
+        stem = pc.ascii_rtrim(low, characters=self.MARKS)
+        apart = pc.and_not(pc.utf8_is_alnum(pc.utf8_slice_codeunits(stem, -1)), special)
+        stem = pc.dictionary_encode(pc.if_else(apart, stem, pc.if_else(special, words, low)))
+        mark = pc.dictionary_encode(pc.if_else(apart, pc.replace_substring_regex(low, f"^.*?([{self.MARKS}]*)$", r"\1"), ""))
+        both, get = [*stem.dictionary.to_pylist(), *mark.dictionary.to_pylist()], self.stems
+        self.learn({x for x in both if x not in get})
+        flat, size = self.packed([get[x] for x in both])
+        pair = np.stack([stem.indices.to_numpy(), mark.indices.to_numpy() + len(stem.dictionary)], 1).ravel()
+        return self.gather(flat, size, pair), size[pair].reshape(-1, 2).sum(axis=1)
+
+    def packed(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.frombuffer(b"".join(ids), self.code)
+        return flat, np.fromiter(map(len, ids), np.int64, len(ids)) // flat.itemsize
+
+    @staticmethod
+    def gather(flat: np.ndarray, size: np.ndarray, index: np.ndarray) -> np.ndarray:
+        """The runs of ``flat`` of the given sizes, by index, one after the other."""
+        n = size[index]
+        end = np.cumsum(n)
+        return flat[np.arange(end[-1] if len(end) else 0) + np.repeat((np.cumsum(size) - size)[index] - (end - n), n)]
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text in turn. Texts are taken a few megabytes at a time, longer ones
+        in parts that end at white space."""
         if not self.by_word:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-            return np.fromiter((x for e in ids for x in e), np.uint32), np.array([len(e) for e in ids], np.int64)
+            for t in texts:
+                yield np.array(self.tokenizer.encode(t.as_py(), add_special_tokens=False).ids, np.uint32)
+            return
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        a = 0
+        while a < len(texts):
+            z = a + max(1, int(np.searchsorted(np.cumsum(size[a:]), self.PART, side="right")))
+            if size[a] <= self.PART:
+                ids, n = self.some(texts.slice(a, z - a))
+                yield from np.split(ids, np.cumsum(n)[:-1])
+            else:
+                t, at, found = texts[a].as_py(), 0, []
+                while at < len(t):
+                    end = at + self.PART
+                    while end < len(t) and t[end] not in " \n":
+                        end += 1
+                    found.append(self.some(pa.array([t[at:end]]))[0])
+                    at = end
+                yield np.concatenate(found)
+            a = z
+
+    def some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and each text's number of ids."""
         words = pc.ascii_split_whitespace(texts)
         coded = pc.dictionary_encode(words.flatten())
         offsets = words.offsets.to_numpy().astype(np.int64)
-        known = self.lookup(coded.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(known), self.code)
-        size = np.fromiter(map(len, known), np.int64, len(known)) // flat.itemsize
+        flat, size = self.lookup(coded.dictionary)
         word = coded.indices.to_numpy()
-        start, n = (np.cumsum(size) - size)[word], size[word]
-        end = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.arange(end[-1]) + np.repeat(start - end[:-1], n)]
-        return ids, np.diff(end[offsets - offsets[0]])
+        at = np.concatenate(([0], np.cumsum(size[word])))[offsets - offsets[0]]
+        return self.gather(flat, size, word), np.diff(at)
 
 
 @lru_cache(maxsize=2)
@@ -166,11 +208,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         for b in batches:
             if not b.num_rows:
                 continue
-            flat, size = coder(path).encode(b.column(1).cast(pa.string()))
-            flat, at = flat.astype("<u4"), np.concatenate(([0], np.cumsum(size)))
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i in range(b.num_rows):
-                x = np.append(flat[at[i] : at[i + 1]], np.uint32(end_id)).astype("<u4")
+            for i, x in enumerate(coder(path).encode(b.column(1).cast(pa.string()))):
+                x = np.append(x, end_id).astype("<u4")
                 for k, a in enumerate(range(0, len(x), capacity)):
                     part = x[a : a + capacity]
                     for o, v in zip((row, piece, start, length, crc), (i, k, a, len(part), zlib.crc32(part.tobytes()))):
