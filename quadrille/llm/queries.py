@@ -79,6 +79,12 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(*[c for c in r.columns if not c.startswith("peak_")], F.array_join(pair, " ").alias("feature"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quadrille.llm.sentencepiece import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quadrille.llm.packing import pack
 
@@ -94,7 +100,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_chat, op4_suffix_dedup, op5_simhash, op6_language, op7_sharding, op8_media, op10_packing)}
+    return {f.__name__: f for f in (op1_warc, op2_fingerprints, op3_chat, op4_suffix_dedup, op5_simhash, op6_language, op7_sharding, op8_media, op9_sentencepiece, op10_packing)}
 
 
 WARC_SQL = """
