@@ -42,7 +42,7 @@ class Words:
         keep = np.r_[True, ~(gap[1:] & gap[:-1])]
         c, at = buf[keep], np.flatnonzero(keep)
         self.first = np.flatnonzero(c[:-1] == 32)  # each word with the space before it
-        self.doc = np.searchsorted(np.cumsum(size), at[self.first], side="right")
+        self.doc = np.searchsorted(np.cumsum(size), at[self.first + 1] - 1, side="right")  # the text before may end in the same gap
         n = len(self.first)
         end = np.r_[self.first[1:], len(c) - 1] if n else self.first
         hashes = Hashes(c)
@@ -248,5 +248,6 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """The rows of ``docs``, columns as they are, whose language is found with a score of ``least``."""
-    return identify(docs, train(docs)).where(F.col("lang_pred") != "und").where(F.col("score") >= least).select(*docs.columns)
+    """The rows of ``docs``, all columns as they are, whose language is found with a score of ``least``."""
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))  # columns named as a result stay
+    return identify(rows, train(docs)).where(F.col("lang_pred") != "und").where(F.col("score") >= least).select("row.*")

@@ -33,15 +33,16 @@ def _room(quota: int, extra: int, shard: Column) -> Column:
     return F.lit(quota) + F.when(shard < extra, 1).otherwise(0)
 
 
-def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = 5, part: float = 0.25) -> DataFrame:
+def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = 10, part: float = 0.25) -> DataFrame:
     """Put every row into a shard; counts of rows differ by one at most.
 
     Rows of equal text are linked. A group of over ``part`` of a shard is first cut, by a hash
     of doc_id, into parts of about that size, as no shard could take it. Rows start evenly
-    spread. In each round a join tells every group where most of its rows are (ties: the shard
-    that a hash of the group prefers), and groups move there whole, in order of a hash, as far
-    as the shard has room for linked rows; this never exceeds the quotas. Rows without links
-    then fill what is left of each shard. Only narrow rows are shuffled.
+    spread. In each round a join tells every split group where most of its rows are (ties by a
+    hash of group and round), and groups move there whole, in order of a hash, as far as the
+    shard has room for linked rows; every other round those that found no seats try a shard
+    drawn in proportion to the seats left. Quotas are never exceeded. Rows without links then
+    fill what is left of each shard. Only narrow rows are shuffled.
 
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard``: size is the text's
     UTF-8 bytes plus 8, slot is gapless from 0 in a shard, law is ``rows``, grown_shard null.
@@ -64,30 +65,30 @@ def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = 5, part: fl
 
     # what moves is the group's count in a shard; (g, from, rows)
     spread = cut(rows.where("g is not null").groupBy("g", "shard").agg(F.count("*").alias("c")), "spread")
-    last = None
-    for _ in range(rounds):
-        prefer = F.pmod(F.xxhash64("g", "shard"), F.lit(1 << 30))
-        want = spread.groupBy("g").agg(F.max(F.struct("c", prefer.alias("p"), "shard")).alias("top"), F.sum("c").alias("all")).select("g", F.col("top.shard").alias("to"), (F.col("all") - F.col("top.c")).alias("moving"))
-        taken = spread.groupBy(F.col("shard").alias("s")).agg(F.sum("c").alias("linked"))
-        buckets = 4096
-        asks = want.where("moving > 0").withColumn("b", F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int"))
+    buckets = 4096
+    for r in range(rounds):
+        seats = F.broadcast(_free(spread.groupBy(F.col("shard").alias("s")).agg(F.sum("c").alias("c")), shards, quota, extra))
+        tie = F.xxhash64("g", "shard", F.lit(r))
+        want = spread.groupBy("g").agg(F.max(F.struct("c", tie.alias("tie"), "shard")).alias("top"), F.sum("c").alias("all")).where("top.c < all").select("g", F.col("top.shard").alias("to"), (F.col("all") - F.col("top.c")).alias("moving"), "all")
+        if r % 2:  # those whom the neighbours' shard had no seats for try one that has
+            draw = F.pmod(F.xxhash64("g", F.lit(r)), F.lit(total - spread.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]))
+            want = want.withColumn("draw", draw).join(seats, (F.col("draw") >= F.col("from")) & (F.col("draw") < F.col("upto"))).select("g", F.col("shard").alias("to"), F.col("all").alias("moving"))
+        asks = want.select("g", "to", "moving", F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int").alias("b"))
         sums = asks.groupBy("to", "b").agg(F.sum("moving").alias("m"))
         ahead = F.coalesce(F.sum("m").over(Window.partitionBy("to").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         starts = sums.select(F.col("to").alias("t2"), F.col("b").alias("b2"), ahead.alias("ahead"))
-        seats = F.broadcast(starts.join(F.broadcast(taken), F.col("t2") == F.col("s"), "left").select("t2", "b2", "ahead", (_room(quota, extra, F.col("t2")) - F.coalesce("linked", F.lit(0))).alias("room")))
+        room = F.broadcast(starts.join(seats, F.col("t2") == F.col("shard")).select("t2", "b2", "ahead", (F.col("upto") - F.col("from")).alias("room")))
         inner = F.sum("moving").over(Window.partitionBy("to", "b").orderBy("g"))
-        moves = asks.withColumn("upto", inner).join(seats, (F.col("to") == F.col("t2")) & (F.col("b") == F.col("b2"))).where(F.col("ahead") + F.col("upto") <= F.col("room")).select("g", "to")
+        moves = asks.withColumn("inner", inner).join(room, (F.col("to") == F.col("t2")) & (F.col("b") == F.col("b2"))).where(F.col("ahead") + F.col("inner") <= F.col("room")).select("g", "to")
         spread = cut(spread.join(moves, "g", "left").withColumn("shard", F.coalesce("to", "shard")).groupBy("g", "shard").agg(F.sum("c").alias("c")), "spread")
-        state = spread.count()
-        if state == last:
+        if not spread.groupBy("g").count().where("count > 1").limit(1).count():
             break
-        last = state
 
     # rows of settled groups follow them; groups still in several shards keep their places
     home = spread.groupBy("g").agg(F.count("*").alias("k"), F.min("shard").alias("home")).where("k = 1").select("g", "home")
     linked = rows.where("g is not null").join(home, "g", "left").select("doc_id", "size", "text_crc32", "h", "n", F.coalesce("home", "shard").alias("shard"))
     linked = cut(linked, "linked")
-    free = F.broadcast(_free(linked, shards, quota, extra))
+    free = F.broadcast(_free(linked.groupBy(F.col("shard").alias("s")).agg(F.count("*").alias("c")), shards, quota, extra))
     single = numbered(rows.where("g is null").select("doc_id", "size", "text_crc32", "h", "n"), [], ["n"], "seat")
     single = single.join(free, (F.col("seat") >= F.col("from")) & (F.col("seat") < F.col("upto"))).select("doc_id", "size", "text_crc32", "h", "n", "shard")
     placed = cut(linked.unionByName(single), "placed")
@@ -95,10 +96,9 @@ def balanced_shards(docs: DataFrame, shards: int = 24, rounds: int = 5, part: fl
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _free(linked: DataFrame, shards: int, quota: int, extra: int) -> DataFrame:
-    """Ranges of seats (from, upto) that each shard leaves to rows without links; one row a shard."""
-    taken = linked.groupBy(F.col("shard").alias("s")).agg(F.count("*").alias("c"))
-    every = linked.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
+def _free(taken: DataFrame, shards: int, quota: int, extra: int) -> DataFrame:
+    """Ranges of seats (from, upto) that linked rows ``taken(s, c)`` leave in each shard; one row a shard."""
+    every = taken.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
     left = every.join(taken, F.col("shard") == F.col("s"), "left").select("shard", (_room(quota, extra, F.col("shard")) - F.coalesce("c", F.lit(0))).alias("left"))
     w = Window.partitionBy(F.lit(0)).orderBy("shard")
     return left.select("shard", (F.sum("left").over(w) - F.col("left")).alias("from"), F.sum("left").over(w).alias("upto"))

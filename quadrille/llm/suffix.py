@@ -148,28 +148,36 @@ def longest_previous_factor(text: bytes) -> list[int]:
     """For each place, the longest string there that also starts earlier (overlaps count).
 
     The candidates are the previous and the next smaller places in suffix order (Crochemore
-    and Ilie 2008); Kasai's rule gives both lengths in linear time.
+    and Ilie 2008): one stack over the suffix array finds both, and the least common prefix
+    between them and the place is carried along. Common prefixes of neighbours by Kasai's rule.
     """
     n = len(text)
-    order = sorted(range(n), key=lambda i: text[i:])
-    before, after = [-1] * n, [-1] * n
-    stack: list[int] = []
-    for i in [*order, -1]:
-        while stack and stack[-1] > i:
-            j = stack.pop()
-            after[j] = i
-            before[j] = stack[-1] if stack else -1
-        stack.append(i)
-
-    def common(i: int, j: int) -> int:
-        if j < 0:
-            return 0
-        m = 0
-        while i + m < n and text[i + m] == text[j + m]:
+    if not n:
+        return []
+    order = suffix_order(np.frombuffer(text, np.uint8), np.arange(n), n)[0].tolist()
+    place = [0] * n
+    for r, i in enumerate(order):
+        place[i] = r
+    shared, m = [0] * (n + 1), 0  # shared[r]: of ranks r - 1 and r
+    for i in range(n):
+        if not place[i]:
+            m = 0
+            continue
+        j = order[place[i] - 1]
+        while i + m < n and j + m < n and text[i + m] == text[j + m]:
             m += 1
-        return m
-
-    return [max(common(i, before[i]), common(i, after[i])) for i in range(n)]
+        shared[place[i]] = m
+        m = max(0, m - 1)
+    longest = [0] * n
+    stack: list[tuple[int, int]] = []  # places that grow, each with what it shares with the one below
+    for r in range(n + 1):
+        i, c = (order[r], shared[r]) if r < n else (-1, 0)
+        while stack and stack[-1][0] > i:
+            j, below = stack.pop()
+            longest[j] = max(below, c)
+            c = min(c, below)
+        stack.append((i, c))
+    return longest
 
 
 def _match(rows: list[tuple[int, int, int, int, bytes]], length: int, keep_first: bool) -> list[tuple[int, int, int, int]]:
@@ -294,22 +302,24 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep_first: bool = False,
     """Remove every byte covered by a ``length``-byte string that also starts elsewhere.
 
     ``keep_first`` keeps the earliest occurrence (by doc_id, then place) of each string and
-    removes the later ones. Returns the columns of ``docs`` and n_bytes, n_removed, n_spans,
+    removes every byte of the later ones, so a string that overlaps its own copy keeps what
+    stands before the copy. Returns the columns of ``docs`` and n_bytes, n_removed, n_spans,
     kept (binary). Null texts count as empty; matches never cross rows; repeated rows repeat
     each other and so lose what they share (with ``keep_first``, rows equal in doc_id and text
     count as one place). A null doc_id stands before all others. Columns of ``docs`` named as
     a result column are replaced.
     """
     ranges = repeated_ranges(docs, length, keep_first, hot)
-    own = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept", "k", "th", "ranges")]
-    rows = _keyed(docs, [*own, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("__raw")]).join(ranges, ["k", "th"], "left")
+    own = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
+    keyed = _keyed(docs, [F.struct(*own).alias("row"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw")])
+    rows = keyed.join(ranges, ["k", "th"], "left").select("row.*", F.col("raw").alias("__quadrille_raw"), F.col("ranges").alias("__quadrille_ranges"))
     spark = docs.sparkSession
     bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rest, facts = [], [[], [], []]
-            for raw, ranges in zip(b.column("__raw").to_pylist(), b.column("ranges").to_pylist()):
+            for raw, ranges in zip(b.column("__quadrille_raw").to_pylist(), b.column("__quadrille_ranges").to_pylist()):
                 kept, spans = remove_repeats(raw, ranges, length, chars) if ranges else (raw, [])
                 rest.append(kept)
                 for f, v in zip(facts, (len(raw), len(raw) - len(kept), len(spans))):
@@ -319,4 +329,4 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep_first: bool = False,
     from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
     schema = StructType([*(StructField(c, docs.schema[c].dataType) for c in own), *(StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")), StructField("kept", BinaryType())])
-    return rows.select(*own, "__raw", "ranges").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
