@@ -219,9 +219,12 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     text = F.col("text").cast("binary").alias("text")
     schema = "k long, th long, pos long, n int, rel int, core long, full long"
     occ = cut(_keyed(docs, [text]).select("k", "th", "text").mapInArrow(lambda it: _file(it, length, gram), schema), "stretches")
+    # most minimisers occur once: their stretches leave before anything wide is shuffled twice
+    cores = occ.groupBy("core").agg(F.count("*").alias("total")).where("total > 1").select("core")
+    occ = cut(occ.join(cores, "core"), "again")
     kinds = occ.groupBy("core", "full").agg(F.count("*").alias("copies"), F.min(F.struct("k", "th", "pos")).alias("at"), F.first("n").alias("n"), F.first("rel").alias("rel"))
-    cores = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.sum("copies").alias("total")).where("total > 1")
-    kinds = cut(kinds.join(cores, "core").select("core", "full", "copies", "kinds", "at.k", "at.th", "at.pos", "n", "rel"), "kinds")
+    kinds = kinds.join(kinds.groupBy("core").agg(F.count("*").alias("kinds")), "core")
+    kinds = cut(kinds.select("core", "full", "copies", "kinds", "at.k", "at.th", "at.pos", "n", "rel"), "kinds")
 
     # stretches that occur whole again
     whole = occ.join(kinds.where("copies > 1").select("core", "full", F.col("k").alias("k0"), F.col("th").alias("th0"), F.col("pos").alias("pos0")), ["core", "full"])
