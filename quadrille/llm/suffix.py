@@ -26,7 +26,7 @@ __all__ = ["longest_previous_factor", "suffix_order", "repeated_ranges", "remove
 LENGTH = 400
 GRAM = 64
 CHUNK = 1 << 20
-POOL = 1 << 21
+POOL = 1 << 20
 HOT = 20_000
 SUB = 16
 
