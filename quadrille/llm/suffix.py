@@ -220,11 +220,12 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     schema = "k long, th long, pos long, n int, rel int, core long, full long"
     occ = cut(_keyed(docs, [text]).select("k", "th", "text").mapInArrow(lambda it: _file(it, length, gram), schema), "stretches")
     # most minimisers occur once: their stretches leave before anything wide is shuffled twice
-    cores = occ.groupBy("core").agg(F.count("*").alias("total")).where("total > 1").select("core")
+    # (counts are tables of their own: a join of two plain shuffles can be split where one minimiser has many rows)
+    cores = cut(occ.groupBy("core").agg(F.count("*").alias("total")).where("total > 1").select("core"), "cores")
     occ = cut(occ.join(cores, "core"), "again")
     kinds = occ.groupBy("core", "full").agg(F.count("*").alias("copies"), F.min(F.struct("k", "th", "pos")).alias("at"), F.first("n").alias("n"), F.first("rel").alias("rel"))
-    kinds = kinds.join(kinds.groupBy("core").agg(F.count("*").alias("kinds")), "core")
-    kinds = cut(kinds.select("core", "full", "copies", "kinds", "at.k", "at.th", "at.pos", "n", "rel"), "kinds")
+    kinds = cut(kinds.select("core", "full", "copies", "at.k", "at.th", "at.pos", "n", "rel"), "kinds")
+    shared = cut(kinds.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1"), "shared")
 
     # stretches that occur whole again
     whole = occ.join(kinds.where("copies > 1").select("core", "full", F.col("k").alias("k0"), F.col("th").alias("th0"), F.col("pos").alias("pos0")), ["core", "full"])
@@ -233,7 +234,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
     whole = whole.select("k", "th", "pos", F.col("n").cast("int").alias("n"))
 
     # others that share their minimiser: fetch the bytes, compare in suffix order
-    asked = kinds.where("kinds > 1").groupBy("k", "th").agg(F.collect_list(F.struct("pos", "n", "rel", "core", (F.col("kinds") > hot).alias("hot"))).alias("asked"))
+    asked = kinds.join(shared, "core").groupBy("k", "th").agg(F.collect_list(F.struct("pos", "n", "rel", "core", (F.col("kinds") > hot).alias("hot"))).alias("asked"))
     once = _keyed(docs, [text]).join(asked, ["k", "th"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
