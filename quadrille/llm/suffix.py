@@ -27,6 +27,7 @@ LENGTH = 400
 GRAM = 64
 CHUNK = 1 << 20
 POOL = 1 << 20
+WIDE = 1 << 21
 HOT = 20_000
 SUB = 16
 
@@ -144,6 +145,32 @@ def suffix_order(buf: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.nd
     return np.lexsort((starts, rank)), rank
 
 
+def hashed_order(buf: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`suffix_order` (equal ranks: equal strings, ties by place), in an order of hashes.
+
+    For one large group: what it holds goes with the starts and not with every byte. Strings
+    of one hash are compared; should they differ, the suffix order itself decides.
+    """
+    h = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):  # starts grow, so a run of them spans a bounded piece
+        z = int(np.searchsorted(starts, starts[a] + CHUNK, side="left"))
+        low = starts[a]
+        h[a:z] = Hashes(buf[low : starts[z - 1] + depth]).of(starts[a:z] - low, starts[a:z] - low + depth)
+        a = z
+    order = np.lexsort((starts, h))
+    same = np.flatnonzero(h[order][1:] == h[order][:-1])
+    views = np.lib.stride_tricks.sliding_window_view(buf, depth)
+    for k in range(0, len(same), 4096):
+        i = same[k : k + 4096]
+        if not (views[starts[order[i]]] == views[starts[order[i + 1]]]).all():
+            return suffix_order(buf, starts, depth)
+    new = np.r_[True, h[order][1:] != h[order][:-1]]
+    rank = np.empty(len(starts), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return order, rank
+
+
 def longest_previous_factor(text: bytes) -> list[int]:
     """For each place, the longest string there that also starts earlier (overlaps count).
 
@@ -187,7 +214,8 @@ def _match(rows: list[tuple[int, int, int, int, bytes]], length: int, keep_first
     base = np.cumsum(size) - size
     n = np.array([x[3] for x in rows])
     starts = np.arange(n.sum()) + np.repeat(base - (np.cumsum(n) - n), n)
-    order, rank = suffix_order(np.frombuffer(b"".join(x[4] for x in rows), np.uint8), starts, length)
+    buf = np.frombuffer(b"".join(x[4] for x in rows), np.uint8)
+    order, rank = suffix_order(buf, starts, length) if len(buf) <= WIDE else hashed_order(buf, starts, length)
     same = rank[order][1:] == rank[order][:-1]
     # ties stand by place: within a run the previous smaller place is missing for its first only
     hit = np.zeros(len(starts), bool)

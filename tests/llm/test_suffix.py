@@ -5,7 +5,7 @@ import numpy as np
 from cases import awkward, empty, rows
 
 from quadrille.llm import queries as Q
-from quadrille.llm.suffix import deduplicate, longest_previous_factor, remove_repeats, suffix_order
+from quadrille.llm.suffix import deduplicate, hashed_order, longest_previous_factor, remove_repeats, suffix_order
 
 
 def brute(docs, length, first=False):
@@ -109,6 +109,16 @@ def test_suffix_order():
     assert all((rank[i] == rank[j]) == (t[i : i + 20] == t[j : j + 20]) for i in range(0, 280, 7) for j in range(280))
 
 
+def test_large_groups_by_hashes():
+    rng = random.Random(7)
+    buf = np.array([rng.choice(b"ab") for _ in range(3000)], np.uint8)
+    starts = np.array([i for i in range(2980) if i % 50 < 31])
+    a, b = suffix_order(buf, starts, 12), hashed_order(buf, starts, 12)
+    groups = lambda x: sorted(tuple(np.flatnonzero(x[1] == r)) for r in np.unique(x[1]))
+    assert groups(a) == groups(b)
+    assert all(b[0][k] < b[0][k + 1] for k in range(len(starts) - 1) if b[1][b[0][k]] == b[1][b[0][k + 1]])
+
+
 def test_whole_characters():
     raw = "é".encode() * 10
     kept, spans = remove_repeats(raw, [{"pos": 3, "n": 1}], length=6, chars=True)
