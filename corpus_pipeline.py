@@ -24,14 +24,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that SimHash links, the document with the smallest id stays.
+    """Of each group of near copies, the document with the smallest id stays.
 
-    Fingerprints of five-word shingles link at 6 or fewer differing bits, about what shingle
-    sets of a similarity of 0.9 differ in (0.8: 10 bits). No pair is looked at again, so the
-    radius is what a 64-bit fingerprint bears: unrelated ones come so near once in 2e11 pairs.
+    Texts link whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, counted
+    out for the candidates that 256-bit SimHashes give (see :func:`simhash.similar_groups`).
     Rows without an id stay only if their whole group has none; rows that share the id stay.
     """
-    return simhash.keep_one(docs, width=5, radius=6)
+    return simhash.keep_one(docs, width=5, least=0.8)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

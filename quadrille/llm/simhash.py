@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from quadrille.llm.components import connected_components
 from quadrille.session import bounded_batches, cut
 
-__all__ = ["simhash", "fingerprints", "tile_links", "masks", "hamming_links", "near_duplicates", "keep_one"]
+__all__ = ["simhash", "fingerprints", "tile_links", "masks", "hamming_links", "near_duplicates", "shingle_set", "wide_print", "candidate_links", "similar_links", "similar_groups", "keep_one"]
 
 BITS = 64
 TILE = 2048
 PIECE = 1 << 16
+WORDS = 4
+FIRST = 22
+WIDE = 72
 
 
 def simhash(text: str | bytes | None, width: int = 3, seed: int = 42) -> int:
@@ -196,13 +199,179 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, seed: int
     return fps.join(known.join(ids, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+def shingle_set(text: str | bytes | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """Distinct XXH64 of the shingles that :func:`simhash` takes, in order; empty without a word."""
+    raw = b"" if text is None else text if isinstance(text, bytes) else text.encode()
+    words = raw.lower().split()
+    n, h = len(words), xxhash.xxh64_intdigest
+    if n <= width:
+        return np.array([h(b" ".join(words), seed)] if n else [], dtype=np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
+    line, ends = b" ".join(words), ends.tolist()
+    parts, m = [], n - width + 1
+    for k in range(0, m, PIECE):
+        t = min(m, k + PIECE)
+        parts.append(np.unique(np.array([h(line[a:b], seed) for a, b in zip(starts[k:t], ends[k + width - 1 : t + width - 1])], dtype=np.uint64)))
+    return np.unique(np.concatenate(parts))
+
+
+def wide_print(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of a shingle set in ``WORDS`` words of 64 bits; the first takes the hashes as they are."""
+    out = np.zeros(WORDS, np.uint64)
+    for w in range(WORDS):
+        counts = np.zeros(BITS, np.int64)
+        for k in range(0, len(shingles), PIECE):
+            x = shingles[k : k + PIECE]
+            if w:  # mixed anew, after splitmix64
+                x = x + np.uint64(w * 0x9E3779B97F4A7C15 % (1 << BITS))
+                x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                x = x ^ x >> np.uint64(31)
+            bits = np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(2 * counts > len(shingles), bitorder="little").view("<u8")[0]
+    return out
+
+
+def candidate_links(k1: np.ndarray, n1: np.ndarray, w1: np.ndarray, k2: np.ndarray, n2: np.ndarray, w2: np.ndarray, least: float, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of the pairs that may have a similarity of ``least``.
+
+    Compared are all pairs whose set sizes allow it: the first words may differ in ``FIRST`` bits, all
+    words in ``WIDE``. Sets of a similarity of 0.8 differ in 48 of 256 bits at most in the mean.
+    """
+    o1, o2 = np.argsort(n1, kind="stable"), np.argsort(n2, kind="stable")
+    k1, n1, w1, k2, n2, w2 = k1[o1], n1[o1], w1[o1], k2[o2], n2[o2], w2[o2]
+    out_a, out_b = [np.empty(0, k1.dtype)], [np.empty(0, k1.dtype)]
+    for i in range(0, len(k1), tile):
+        x, low, high = w1[i : i + tile], n1[i] * least - 1e-6, n1[min(len(n1), i + tile) - 1] / least + 1e-6
+        for j in range(int(np.searchsorted(n2, low)), int(np.searchsorted(n2, high, "right")), tile):
+            y = w2[j : j + tile]
+            rows, cols = np.nonzero(np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]) <= FIRST)
+            a, b = n1[i + rows], n2[j + cols]
+            ok = (np.bitwise_count(x[rows] ^ y[cols]).sum(axis=1, dtype=np.int64) <= WIDE) & (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-6)
+            rows, cols = rows[ok], cols[ok]
+            if len(rows):
+                a, b = forest(rows, cols + len(x), len(x) + len(y))
+                both = np.concatenate((k1[i : i + tile], k2[j : j + tile]))
+                out_a.append(both[a])
+                out_b.append(both[b])
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    return a[a != b], b[a != b]
+
+
+def similar_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Spanning links of the pairs of non-empty ``sets`` with a Jaccard similarity of ``least`` or more, all counted out."""
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    s = [sets[i] for i in order]
+    size, label, out = np.array([len(x) for x in s]), np.arange(len(s)), []
+    for i in range(len(s) - 1):
+        j = np.flatnonzero((label[i + 1 :] != label[i]) & (size[i + 1 :] * least <= size[i] + 1e-6)) + i + 1
+        if not len(j):
+            continue
+        every = np.concatenate([s[x] for x in j])
+        hit = s[i][np.minimum(np.searchsorted(s[i], every), size[i] - 1)] == every
+        both = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(size[j])[:-1])))
+        for x in j[both >= least * (size[i] + size[j] - both) - 1e-6].tolist():
+            if label[x] != label[i]:
+                out.append((order[i], order[x]))
+                label[label == label[x]] = label[i]
+    return out
+
+
+def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, seed: int = 42, tile: int = 32768, chunk: int = 512) -> DataFrame:
+    """``(doc_id, component_id)``: the smallest doc_id reachable over links of exact similarity ``least``.
+
+    Candidates are found by comparing the 256-bit SimHashes of all shingle sets whose sizes allow
+    the similarity: sets are dealt by size, so that pairs lie in one or in neighbouring buckets,
+    and each bucket is cut into tiles of about ``tile`` sets; a task gets two tiles. Of each group of
+    candidates the sets themselves are then compared, ``chunk`` by ``chunk`` in a large group, and
+    only pairs with a Jaccard similarity of ``least`` link. Nothing is capped. Equal sets link.
+    Null and blank texts have the empty set and link to each other. Nulls as in :func:`near_duplicates`.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    edges = [1]
+    while edges[-1] < 1 << 40:
+        edges.append(max(edges[-1] + 1, ceil(edges[-1] / least - 1e-6)))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    words = [f"w{w}" for w in range(WORDS)]
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(x.as_py(), width, seed) for x in b.column(2)]
+            key = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64)
+            n = np.array([len(s) for s in sets], np.int64)
+            w = np.array([wide_print(s) for s in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
+            place = np.searchsorted(edges, n, "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (key, n, place)), *(pa.array(np.ascontiguousarray(w[:, i])) for i in range(WORDS))], names=["doc_id", "h", "k", "n", "b", *words])
+
+    raw = F.col("text").cast("binary")
+    rows = docs.select("doc_id", F.xxhash64(raw).alias("h"), raw.alias("raw"))
+    sketches = cut(rows.mapInArrow(sketch, f"doc_id {kind}, h long, k long, n long, b int, {', '.join(f'{w} long' for w in words)}"), "sketches")
+
+    nodes = sketches.where("n > 0").select("k", "n", "b", *words).dropDuplicates(["k"])
+    tiles = {r.b: -(-r.c // tile) for r in nodes.groupBy("b").agg(F.count("*").alias("c")).collect()}  # a row for each bucket of sizes
+    around = spark.createDataFrame([(b, t, tiles.get(b - 1, 0), tiles.get(b + 1, 0)) for b, t in tiles.items()], "b int, own int, under int, over int")
+    meets = F.expr("""explode(concat(
+        transform(filter(sequence(0, own), x -> x < own), x -> struct(b as b1, least(g, x) as g1, b as b2, greatest(g, x) as g2)),
+        transform(filter(sequence(0, over), x -> x < over), x -> struct(b as b1, g as g1, b + 1 as b2, x as g2)),
+        transform(filter(sequence(0, under), x -> x < under), x -> struct(b - 1 as b1, x as g1, b as b2, g as g2))))""")
+    dealt = nodes.join(F.broadcast(around), "b").withColumn("g", F.pmod(F.xxhash64("k"), F.col("own")).cast("int")).select("b", "g", "k", "n", *words, meets.alias("m")).select("m.*", "b", "g", "k", "n", *words)
+
+    def compare(key: tuple, t: pa.Table) -> pa.Table:
+        b1, g1, b2, g2 = (x.as_py() for x in key)
+        c = {x: t.column(x).to_numpy() for x in ("b", "g", "k", "n", *words)}
+        w = np.stack([c[x] for x in words], 1).view(np.uint64)
+        p, q = (c["b"] == b1) & (c["g"] == g1), (c["b"] == b2) & (c["g"] == g2)
+        a, b = candidate_links(c["k"][p], c["n"][p], w[p], c["k"][q], c["n"][q], w[q], least)
+        return pa.table({"a": a, "b": b})
+
+    found = connected_components(dealt.groupBy("b1", "g1", "b2", "g2").applyInArrow(compare, "a long, b long"))
+    member = sketches.select("k", "n", "h").join(found, F.col("k") == F.col("node")).groupBy("k", "n", "root").agg(F.min("h").alias("h"))
+    member = cut(member, "candidates")
+    whole = member.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / chunk, F.sum("n") / (chunk * 400))).cast("int").alias("own"))
+    member = member.join(whole, "root").select("h", "k", "root", "own")
+    texts = rows.select("h", "raw").join(member, "h").groupBy("k", "root", "own").agg(F.first("raw").alias("raw"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([shingle_set(x.as_py(), width, seed).tobytes() for x in b.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], sets], names=["k", "root", "own", "s"])
+
+    sets = texts.mapInArrow(hashed, "k long, root long, own int, s binary").withColumn("g", F.pmod(F.xxhash64("k"), F.col("own")).cast("int"))
+    pairs = F.expr("explode(transform(filter(sequence(0, own), x -> x < own), x -> struct(least(g, x) as g1, greatest(g, x) as g2)))")
+    sets = sets.select("k", "root", "s", pairs.alias("m")).select("root", "m.g1", "m.g2", "k", "s").repartition("root", "g1", "g2").sortWithinPartitions("root", "g1", "g2")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links() -> Iterator[pa.RecordBatch]:
+            got = similar_links(group, least)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([names[x[i]] for x in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        last, names, group = None, [], []
+        for b in batches:
+            for *key, k, s in zip(*(c.to_pylist() for c in b.columns)):
+                if key != last:
+                    yield from links()
+                    last, names, group = key, [], []
+                names.append(k)
+                group.append(np.frombuffer(s, np.uint64))
+        yield from links()
+
+    roots = connected_components(sets.mapInArrow(verify, "a long, b long")).withColumnsRenamed({"node": "k"})
+    known = sketches.select("doc_id", "k").join(roots, "k", "left").select("doc_id", F.coalesce("root", "k").alias("root"))
+    ids = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return known.join(ids, "root").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, seed: int = 42, least: float | None = None) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group.
 
-    Groups are those of :func:`near_duplicates`. Rows without an id stay only where no row of
+    Groups are those of :func:`near_duplicates` or, where ``least`` is given, of :func:`similar_groups`. Rows without an id stay only where no row of
     their group has one; all rows that share an id that stays do. The result has the columns
     of ``docs``.
     """
-    groups = near_duplicates(docs, width, radius, seed)
+    groups = near_duplicates(docs, width, radius, seed) if least is None else similar_groups(docs, width, least, seed)
     stay = groups.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__quadrille_id")).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__quadrille_id")), "left_semi")
