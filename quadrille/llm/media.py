@@ -19,10 +19,11 @@ __all__ = ["padded", "to_wav", "from_wav", "peak_pairs", "with_media"]
 
 RATE = 8000
 FRAME = 512
-HOP = 512
+HOP = 64
 PEAKS = 3
 FAN = 3
 AHEAD = 8
+BAND = 32
 BLOCK = 2048
 
 
@@ -50,14 +51,14 @@ def from_wav(data: bytes) -> bytes:
         return w.readframes(w.getnframes())
 
 
-def peak_pairs(samples: bytes, frame: int = FRAME, hop: int = HOP, peaks: int = PEAKS, fan: int = FAN, ahead: int = AHEAD) -> tuple[np.ndarray, np.ndarray]:
+def peak_pairs(samples: bytes, frame: int = FRAME, hop: int = HOP, peaks: int = PEAKS, fan: int = FAN, ahead: int = AHEAD, band: int = BAND) -> tuple[np.ndarray, np.ndarray]:
     """Time codes and hashes of spectral-peak pairs (after Wang 2003).
 
     Short-time Fourier transform with a Hann window; the ``peaks`` strongest local maxima of a
-    frame's power are its peaks (ties: the lower bin). Each peak is paired with the ``fan`` next
-    peaks by frame and bin, up to ``ahead`` frames later; a pair's hash is f1 << 20 | f2 << 8 | dt and its
-    time the first peak's frame. The last frame is padded with silence. Blocks of frames bound
-    the memory.
+    frame's power are its peaks (ties: the lower bin). Frames overlap. Each peak is paired with
+    the first ``fan`` peaks, by frame and bin, of its target zone: 1 to ``ahead`` frames later and
+    at most ``band`` bins higher or lower. A pair's hash is f1 << 20 | f2 << 8 | dt and its time the
+    first peak's frame. The last frame is padded with silence. Blocks of frames bound the memory.
     """
     x = np.frombuffer(samples, np.uint8)
     n = max(1, -(-max(len(x) - frame, 0) // hop) + 1)
@@ -81,12 +82,15 @@ def peak_pairs(samples: bytes, frame: int = FRAME, hop: int = HOP, peaks: int =
         bins.append(top[top < 1 << 30] + 2)
     t, f = np.concatenate(times), np.concatenate(bins)
     out_t, out_h = [], []
-    for j in range(fan):
-        i = np.arange(max(0, len(t) - 1 - j))
-        o = i + 1 + j
-        i, o = i[t[o] - t[i] <= ahead], o[t[o] - t[i] <= ahead]
+    found = np.zeros(len(t), np.int64)
+    for j in range(1, min(len(t), peaks * (ahead + 1))):  # no peak of the zone is further in the list
+        dt = t[j:] - t[:-j]
+        i = np.flatnonzero((dt > 0) & (dt <= ahead) & (np.abs(f[j:] - f[:-j]) <= band) & (found[:-j] < fan))
+        found[i] += 1
         out_t.append(t[i])
-        out_h.append(f[i] << 20 | f[o] << 8 | (t[o] - t[i]))
+        out_h.append(f[i] << 20 | f[i + j] << 8 | dt[i])
+    if not out_t:
+        return np.empty(0, np.int32), np.empty(0, np.int32)
     t, h = np.concatenate(out_t), np.concatenate(out_h)
     order = np.lexsort((h, t))
     return t[order].astype(np.int32), h[order].astype(np.int32)
