@@ -4,9 +4,14 @@ A suffix array of a corpus fits no machine, so the suffixes are first dealt into
 equal strings of ``length`` bytes cannot leave: every such string ("window") is filed under
 the hash of its minimiser, the leftmost least of its 64-byte grams. Consecutive windows with
 the same minimiser make one *stretch*, kept once however often it occurs. Only stretches
-whose minimiser occurs again are fetched; per group their starts are put in suffix order to
-``length`` bytes, and a start has an earlier (other) occurrence where a smaller (any) position
-stands beside it within its run, that is where its longest previous factor reaches ``length``.
+whose minimiser occurs again are fetched; per group their starts are put in suffix order, the
+bytes that neighbours share are counted, and the previous and next smaller places in that
+order give each start its longest previous factor and where that stands. A start repeats an
+earlier one where the factor reaches ``length``.
+
+A group of over ``HOT`` bytes never comes together: its stretches are cut into pieces of SUB
+windows, equal pieces are merged by digest, and windows of pieces that only share their middle
+are aggregated by digest, one narrow row each. Digests are 128 bits of BLAKE2b.
 """
 
 from __future__ import annotations
@@ -21,14 +26,13 @@ from pyspark.sql import functions as F
 
 from quadrille.session import bounded_batches, cut
 
-__all__ = ["longest_previous_factor", "suffix_order", "repeated_ranges", "remove_repeats", "deduplicate"]
+__all__ = ["longest_previous_factor", "previous_factors", "suffix_order", "hashed_order", "repeated_ranges", "remove_repeats", "deduplicate"]
 
 LENGTH = 400
 GRAM = 64
 CHUNK = 1 << 20
 POOL = 1 << 20
-WIDE = 1 << 21
-HOT = 20_000
+HOT = 1 << 21
 SUB = 16
 
 _rng = np.random.default_rng(20240229)
@@ -69,7 +73,7 @@ class Hashes:
 
 def _stretches(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Of segments [begin, end) of a buffer: first window, number of windows, place against the
-    minimiser, hash of the minimiser, hash of the content, for each stretch."""
+    minimiser and its hash, for each stretch."""
     width, hashes = length - gram + 1, Hashes(buf)
     i = np.arange(len(buf) - gram + 1)
     low = np.uint64((1 << 24) - 1)
@@ -84,24 +88,35 @@ def _stretches(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int,
     first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (w[1:] != w[:-1] + 1)])
     n = np.diff(np.r_[first, len(w)])
     lo, at = w[first], at[first]
-    core = _mix(hashes.of(at, at + gram))
-    full = _mix(hashes.of(lo, lo + n + length - 1) ^ _mix(((at - lo) << 20 | n).astype(np.uint64)))
-    return lo, n, lo - at, core, full
+    return lo, n, lo - at, _mix(hashes.of(at, at + gram))
+
+
+def _digest(x: bytes | memoryview) -> bytes:
+    return hashlib.blake2b(x, digest_size=16).digest()
+
+
+def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def _file(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Stretches of all texts: (k, th, pos, n, rel, core, full)."""
+    """Stretches of all texts: (k, th, pos, n, rel, core, f1, f2), the last two by content, n and rel."""
 
     def emit(parts: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         size = np.array([len(x[3]) for x in parts])
         end = np.cumsum(size)
         begin = end - size
-        lo, n, rel, core, full = _stretches(np.frombuffer(b"".join(x[3] for x in parts), np.uint8), begin, end, length, gram)
+        raw = b"".join(x[3] for x in parts)
+        lo, n, rel, core = _stretches(np.frombuffer(raw, np.uint8), begin, end, length, gram)
+        view = memoryview(raw)
+        f1, f2 = _halves([_digest(view[a:z]) for a, z in zip(lo.tolist(), (lo + n + length - 1).tolist())])
+        f1 = f1 ^ _mix((rel << 20 | n).astype(np.uint64)).view(np.int64)
         of = np.searchsorted(begin, lo, side="right") - 1
         k, th, off = (np.array([x[i] for x in parts], np.int64)[of] for i in range(3))
         return pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (k, th, off + lo - begin[of], n.astype(np.int32), rel.astype(np.int32), core.view(np.int64), full.view(np.int64))],
-            names=["k", "th", "pos", "n", "rel", "core", "full"],
+            [pa.array(x) for x in (k, th, off + lo - begin[of], n.astype(np.int32), rel.astype(np.int32), core.view(np.int64), f1, f2)],
+            names=["k", "th", "pos", "n", "rel", "core", "f1", "f2"],
         )
 
     parts: list[tuple[int, int, int, bytes]] = []
@@ -120,19 +135,27 @@ def _file(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator
         yield emit(parts)
 
 
+def _words(buf: np.ndarray, more: int) -> np.ndarray:
+    """The eight bytes from each place on as a number, zeros after the end, for ``more`` places beyond it."""
+    n = len(buf)
+    wide = np.zeros(n + more + 8, np.uint64)
+    wide[:n] = buf
+    word = np.zeros(n + more, np.uint64)
+    for j in range(8):
+        word |= wide[j : j + n + more] << np.uint64(56 - 8 * j)
+    return word
+
+
 def suffix_order(buf: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of the given starts to ``depth`` bytes, ties by place, and their ranks.
 
     Prefix doubling from eight-byte words; equal ranks mean equal ``depth``-byte strings.
     Bytes after the end sort as zeros.
     """
-    n = len(buf)
-    wide = np.zeros(n + depth + 8, np.uint64)
-    wide[:n] = buf
-    word = np.zeros(n + depth, np.uint64)
     d = min(8, depth)
-    for j in range(d):
-        word |= wide[j : j + n + depth] << np.uint64(56 - 8 * j)
+    word = _words(buf, depth)
+    if d < 8:
+        word >>= np.uint64(64 - 8 * d)
     rank = np.unique(word, return_inverse=True)[1].astype(np.int64)
     while d < depth:
         step = min(d, depth - d)
@@ -148,8 +171,9 @@ def suffix_order(buf: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.nd
 def hashed_order(buf: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """As :func:`suffix_order` (equal ranks: equal strings, ties by place), in an order of hashes.
 
-    For one large group: what it holds goes with the starts and not with every byte. Strings
-    of one hash are compared; should they differ, the suffix order itself decides.
+    For callers who want equal strings and no order of bytes: what it holds goes with the
+    starts and not with every byte. Strings of one hash are compared; should they differ, the
+    suffix order itself decides. :func:`deduplicate` doesn't use it.
     """
     h = np.empty(len(starts), np.uint64)
     a = 0
@@ -171,40 +195,74 @@ def hashed_order(buf: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.nd
     return order, rank
 
 
-def longest_previous_factor(text: bytes) -> list[int]:
-    """For each place, the longest string there that also starts earlier (overlaps count).
+def _shared(buf: np.ndarray, p: np.ndarray, q: np.ndarray, depth: int) -> np.ndarray:
+    """How many bytes from the places p and q on are equal, up to ``depth`` and the end; eight at a time."""
+    word = _words(buf, depth)
+    out = np.full(len(p), depth, np.int64)
+    live = np.arange(len(p))
+    for d in range(0, depth, 8):
+        x = word[p[live] + d] ^ word[q[live] + d]
+        off = np.flatnonzero(x)
+        if len(off):
+            x, bytes_ = x[off], np.zeros(len(off), np.int64)
+            for k in range(1, 8):
+                bytes_ += x < np.uint64(1) << np.uint64(64 - 8 * k)
+            out[live[off]] = d + bytes_
+            live = np.delete(live, off)
+        if not len(live):
+            break
+    return np.minimum(np.minimum(out, depth), len(buf) - np.maximum(p, q))
+
+
+def _smaller(place: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each rank the last rank before it with a smaller place (-1: none), and what both share.
+
+    ``shared`` is of ranks r - 1 and r. All ranks jump at once, each over what the rank that it
+    has come to has jumped over already.
+    """
+    n = len(place)
+    at = np.r_[-1, place]  # a place before all others, which shares nothing
+    to, m = np.r_[0, np.arange(n)], np.r_[0, shared]
+    live = np.arange(1, n + 1)
+    while len(live := live[(at[to[live]] > at[live]) & (m[live] > 0)]):
+        over = to[live]
+        m[live] = np.minimum(m[live], m[over])
+        to[live] = to[over]
+    m[at[to] > at] = 0  # given up: nothing shared
+    return to[1:] - 1, m[1:]
+
+
+def previous_factors(buf: np.ndarray, starts: np.ndarray, depth: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the starts (growing places of a buffer), the longest string there, up to ``depth``
+    bytes, that also starts at a smaller start, and the index of that one (-1: nothing shared).
 
     The candidates are the previous and the next smaller places in suffix order (Crochemore
-    and Ilie 2008): one stack over the suffix array finds both, and the least common prefix
-    between them and the place is carried along. Common prefixes of neighbours by Kasai's rule.
+    and Ilie 2008); what they share with the start is the least of what neighbours in
+    between share, and that is counted byte by byte.
     """
-    n = len(text)
-    if not n:
+    n = len(starts)
+    if order is None:
+        order = suffix_order(buf, starts, depth)[0]
+    shared = np.zeros(n, np.int64)
+    shared[1:] = _shared(buf, starts[order[:-1]], starts[order[1:]], depth)
+    before, left = _smaller(order, shared)
+    after, right = _smaller(order[::-1], np.r_[0, shared[:0:-1]])
+    after, right = n - 1 - after[::-1], right[::-1]
+    longest = np.maximum(left, right)
+    source = np.where(left >= right, before, after)
+    source = np.where(longest > 0, order[np.clip(source, 0, n - 1)], -1)
+    out, by = np.empty(n, np.int64), np.empty(n, np.int64)
+    out[order], by[order] = longest, source
+    return out, by
+
+
+def longest_previous_factor(text: bytes) -> list[int]:
+    """For each place of a whole text, the longest string there that also starts earlier (overlaps count)."""
+    buf, every = np.frombuffer(text, np.uint8), np.arange(len(text))
+    if not len(text):
         return []
-    order = suffix_order(np.frombuffer(text, np.uint8), np.arange(n), n)[0].tolist()
-    place = [0] * n
-    for r, i in enumerate(order):
-        place[i] = r
-    shared, m = [0] * (n + 1), 0  # shared[r]: of ranks r - 1 and r
-    for i in range(n):
-        if not place[i]:
-            m = 0
-            continue
-        j = order[place[i] - 1]
-        while i + m < n and j + m < n and text[i + m] == text[j + m]:
-            m += 1
-        shared[place[i]] = m
-        m = max(0, m - 1)
-    longest = [0] * n
-    stack: list[tuple[int, int]] = []  # places that grow, each with what it shares with the one below
-    for r in range(n + 1):
-        i, c = (order[r], shared[r]) if r < n else (-1, 0)
-        while stack and stack[-1][0] > i:
-            j, below = stack.pop()
-            longest[j] = max(below, c)
-            c = min(c, below)
-        stack.append((i, c))
-    return longest
+    rank = suffix_order(buf, every, len(text))[1]
+    return previous_factors(buf, every, len(text), np.lexsort((-every, rank)))[0].tolist()  # of equal ones the shorter suffix is less
 
 
 def _match(rows: list[tuple[int, int, int, int, bytes]], length: int, keep_first: bool) -> list[tuple[int, int, int, int]]:
@@ -214,14 +272,10 @@ def _match(rows: list[tuple[int, int, int, int, bytes]], length: int, keep_first
     base = np.cumsum(size) - size
     n = np.array([x[3] for x in rows])
     starts = np.arange(n.sum()) + np.repeat(base - (np.cumsum(n) - n), n)
-    buf = np.frombuffer(b"".join(x[4] for x in rows), np.uint8)
-    order, rank = suffix_order(buf, starts, length) if len(buf) <= WIDE else hashed_order(buf, starts, length)
-    same = rank[order][1:] == rank[order][:-1]
-    # ties stand by place: within a run the previous smaller place is missing for its first only
-    hit = np.zeros(len(starts), bool)
-    hit[order[1:][same]] = True
+    longest, source = previous_factors(np.frombuffer(b"".join(x[4] for x in rows), np.uint8), starts, length)
+    hit = longest >= length
     if not keep_first:
-        hit[order[:-1][same]] = True
+        hit[source[hit]] = True  # of equal windows each but the first points to an earlier one, so the first is met too
     of = np.repeat(np.arange(len(rows)), n)
     i = np.flatnonzero(hit)
     if not len(i):
@@ -237,59 +291,118 @@ def _keyed(docs: DataFrame, keep: list[Column | str]) -> DataFrame:
     return docs.select(*keep, k.alias("k"), F.xxhash64(F.col("doc_id").isNull(), F.col("text")).alias("th"))
 
 
+def _elsewhere(rows: DataFrame, key: list[str], keep_first: bool) -> DataFrame:
+    """``(k, th, pos, n)`` of the rows whose key also stands at another place; all but the first, or all.
+
+    The least and the greatest place come from map-side aggregates; a key with very many rows is
+    then joined by plain shuffles, which can be split.
+    """
+    place = F.struct("k", "th", "pos")
+    ends = cut(rows.groupBy(*key).agg(F.min(place).alias("at"), F.max(place).alias("to")).where("at != to").select(*key, F.col("at.k").alias("k0"), F.col("at.th").alias("th0"), F.col("at.pos").alias("pos0")), "ends")
+    out = rows.join(ends, key)
+    if keep_first:
+        out = out.where("not (k = k0 and th = th0 and pos = pos0)")
+    return out.select("k", "th", "pos", F.col("n").cast("int").alias("n"))
+
+
+def _by_text(docs: DataFrame, places: DataFrame, asked: list[str]) -> DataFrame:
+    """``(k, th, text, asked)``: each document's bytes with the structs of ``places`` in it."""
+    lists = places.groupBy("k", "th").agg(F.collect_list(F.struct(*asked)).alias("asked"))
+    return _keyed(docs, [F.col("text").cast("binary").alias("text")]).join(lists, ["k", "th"]).select("k", "th", "text", "asked")
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+
+
+_LONG, _INT = pa.int64(), pa.int32()
+_PIECE = {"key": _LONG, "c1": _LONG, "c2": _LONG, "k": _LONG, "th": _LONG, "pos": _LONG, "n": _INT}
+_WINDOW = {"c1": _LONG, "c2": _LONG, "k": _LONG, "th": _LONG, "pos": _LONG, "n": _INT}
+_STRETCH = {"key": _LONG, "k": _LONG, "th": _LONG, "pos": _LONG, "n": _INT, "raw": pa.binary()}
+
+
+def _sql(kinds: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{c} {'long' if t == _LONG else 'int' if t == _INT else 'binary'}" for c, t in kinds.items())
+
+
+def _hot_windows(docs: DataFrame, places: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """Repeated windows of groups that are too large for a task, as ``(k, th, pos, n)``.
+
+    ``places`` has ``core, k, th, pos, n, rel`` of their stretches. Equal windows stand at the same
+    place against the minimiser, so they lie in pieces of the same number there, whose windows
+    all hold the same middle bytes. Pieces are merged by content; where several share a middle
+    their windows are merged one by one. Rows are narrow and keys are aggregated map-side.
+    """
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, th, raw, asked in zip(*(c.to_pylist() for c in b.columns)):
+                out, view = [], memoryview(raw)
+                for x in asked:
+                    pos, n, rel = x["pos"], x["n"], x["rel"]
+                    for s in range(rel // SUB, (rel + n - 1) // SUB + 1):
+                        a, z = max(rel, s * SUB), min(rel + n, (s + 1) * SUB)
+                        held = view[pos - rel + (s + 1) * SUB - 1 : pos - rel + s * SUB + length]
+                        head = (s & 0xFFFFFFFF).to_bytes(4, "little") + x["core"].to_bytes(8, "little", signed=True)
+                        key = _digest(head + held)[:8]
+                        whole = _digest(head + a.to_bytes(4, "little", signed=True) + view[pos + a - rel : pos + z - rel + length - 1])
+                        out.append((*(int.from_bytes(y, "little", signed=True) for y in (key, whole[:8], whole[8:])), k, th, pos + a - rel, z - a))
+                yield _batch(out, _PIECE)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, th, raw, asked in zip(*(c.to_pylist() for c in b.columns)):
+                out, view = [], memoryview(raw)
+                for x in asked:
+                    for p in range(x["pos"], x["pos"] + x["n"]):
+                        d = _digest(view[p : p + length])
+                        out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), k, th, p, 1))
+                yield _batch(out, _WINDOW)
+
+    cuts = cut(_by_text(docs, places, ["pos", "n", "rel", "core"]).mapInArrow(pieces, _sql(_PIECE)), "pieces")
+    kinds = cut(cuts.groupBy("key", "c1", "c2").agg(F.min(F.struct("k", "th", "pos", "n")).alias("at")).select("key", "c1", "c2", "at.*"), "piece-kinds")
+    several = cut(kinds.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "middles")
+    each = cut(_by_text(docs, kinds.join(several, "key"), ["pos", "n"]).mapInArrow(windows, _sql(_WINDOW)), "windows")
+    return _elsewhere(cuts, ["key", "c1", "c2"], keep_first).union(_elsewhere(each, ["c1", "c2"], keep_first))
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, hot: int = HOT) -> DataFrame:
     """``(k, th, ranges)``: the windows of each document that occur elsewhere, as (pos, n) runs.
 
-    ``keep_first``: only windows that also start earlier, in order of doc_id and place.
+    ``keep_first``: only windows that also start earlier, in order of doc_id and place. Groups of
+    over ``hot`` bytes are not brought together.
     """
     spark, gram = docs.sparkSession, min(GRAM, max(1, length // 2))
     bounded_batches(spark)
     text = F.col("text").cast("binary").alias("text")
-    schema = "k long, th long, pos long, n int, rel int, core long, full long"
+    schema = "k long, th long, pos long, n int, rel int, core long, f1 long, f2 long"
     occ = cut(_keyed(docs, [text]).select("k", "th", "text").mapInArrow(lambda it: _file(it, length, gram), schema), "stretches")
     # most minimisers occur once: their stretches leave before anything wide is shuffled twice
     # (counts are tables of their own: a join of two plain shuffles can be split where one minimiser has many rows)
     cores = cut(occ.groupBy("core").agg(F.count("*").alias("total")).where("total > 1").select("core"), "cores")
     occ = cut(occ.join(cores, "core"), "again")
-    kinds = occ.groupBy("core", "full").agg(F.count("*").alias("copies"), F.min(F.struct("k", "th", "pos")).alias("at"), F.first("n").alias("n"), F.first("rel").alias("rel"))
-    kinds = cut(kinds.select("core", "full", "copies", "at.k", "at.th", "at.pos", "n", "rel"), "kinds")
-    shared = cut(kinds.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1"), "shared")
+    kinds = occ.groupBy("core", "f1", "f2").agg(F.count("*").alias("copies"), F.min(F.struct("k", "th", "pos")).alias("at"), F.first("n").alias("n"), F.first("rel").alias("rel"))
+    kinds = cut(kinds.select("core", "f1", "f2", "copies", "at.k", "at.th", "at.pos", "n", "rel"), "kinds")
+    shared = cut(kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.sum(F.col("n") + F.lit(length - 1)).alias("bytes")).where("kinds > 1").select("core", (F.col("bytes") > hot).alias("hot")), "shared")
 
     # stretches that occur whole again
-    whole = occ.join(kinds.where("copies > 1").select("core", "full", F.col("k").alias("k0"), F.col("th").alias("th0"), F.col("pos").alias("pos0")), ["core", "full"])
+    whole = occ.join(kinds.where("copies > 1").select("core", "f1", "f2", F.col("k").alias("k0"), F.col("th").alias("th0"), F.col("pos").alias("pos0")), ["core", "f1", "f2"])
     if keep_first:
         whole = whole.where("not (k = k0 and th = th0 and pos = pos0)")
-    whole = whole.select("k", "th", "pos", F.col("n").cast("int").alias("n"))
+    found = whole.select("k", "th", "pos", F.col("n").cast("int").alias("n"))
 
     # others that share their minimiser: fetch the bytes, compare in suffix order
-    asked = kinds.join(shared, "core").groupBy("k", "th").agg(F.collect_list(F.struct("pos", "n", "rel", "core", (F.col("kinds") > hot).alias("hot"))).alias("asked"))
-    once = _keyed(docs, [text]).join(asked, ["k", "th"])
-
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for k, th, raw, asked in zip(*(b.column(i).to_pylist() for i in range(4))):
-                for x in asked:
-                    pos, n, rel, core = x["pos"], x["n"], x["rel"], x["core"]
-                    if not x["hot"]:
-                        cuts = [(core, pos, n)]
-                    else:  # finer groups: windows at near places against the minimiser, by what all of them hold
-                        cuts = []
-                        for s in range(rel // SUB, (rel + n - 1) // SUB + 1):
-                            a, z = max(rel, s * SUB), min(rel + n, (s + 1) * SUB)
-                            held = raw[pos - rel + (s + 1) * SUB - 1 : pos - rel + s * SUB + length]
-                            cuts.append((int.from_bytes(hashlib.blake2b(held + s.to_bytes(4, "little", signed=True), digest_size=8).digest(), "little", signed=True), pos + a - rel, z - a))
-                    for key, p, m in cuts:
-                        for o, v in zip(out, (key, k, th, p, m, raw[p : p + m + length - 1])):
-                            o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["key", "k", "th", "pos", "n", "raw"])
-
-    pool = once.select("k", "th", "text", "asked").mapInArrow(fetch, "key long, k long, th long, pos long, n int, raw binary").repartition("key").sortWithinPartitions("key")
+            out = []
+            for k, th, raw, asked in zip(*(c.to_pylist() for c in b.columns)):
+                out += [(x["core"], k, th, x["pos"], x["n"], raw[x["pos"] : x["pos"] + x["n"] + length - 1]) for x in asked]
+            yield _batch(out, _STRETCH)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def give(rows: list) -> pa.RecordBatch:
             found = _match([*{x[:3]: x for x in rows}.values()], length, keep_first)  # repeated rows came more than once
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["k", "th", "pos", "n"])
+            return _batch(found, {"k": _LONG, "th": _LONG, "pos": _LONG, "n": _INT})
 
         rows: list = []
         held, last = 0, None
@@ -303,8 +416,12 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
         if rows:
             yield give(rows)
 
-    alike = pool.mapInArrow(match, "k long, th long, pos long, n int")
-    return whole.union(alike).groupBy("k", "th").agg(F.collect_set(F.struct("pos", "n")).alias("ranges"))
+    asked = kinds.join(shared, "core")
+    pool = _by_text(docs, asked.where("not hot"), ["pos", "n", "core"]).mapInArrow(fetch, _sql(_STRETCH)).repartition("key").sortWithinPartitions("key")
+    found = found.union(pool.mapInArrow(match, "k long, th long, pos long, n int"))
+    if shared.where("hot").limit(1).count():
+        found = found.union(_hot_windows(docs, asked.where("hot"), length, keep_first))
+    return found.groupBy("k", "th").agg(F.collect_set(F.struct("pos", "n")).alias("ranges"))
 
 
 def remove_repeats(raw: bytes, ranges: list[dict] | None, length: int = LENGTH, chars: bool = False) -> tuple[bytes, list[tuple[int, int]]]:
@@ -339,7 +456,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, keep_first: bool = False,
     kept (binary). Null texts count as empty; matches never cross rows; repeated rows repeat
     each other and so lose what they share (with ``keep_first``, rows equal in doc_id and text
     count as one place). A null doc_id stands before all others. Columns of ``docs`` named as
-    a result column are replaced.
+    a result column are replaced. An empty table gives an empty result.
     """
     ranges = repeated_ranges(docs, length, keep_first, hot)
     own = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
