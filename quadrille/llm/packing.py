@@ -23,12 +23,13 @@ CAPACITY = 4096
 GROUP_TOKENS = 1 << 25
 
 
-def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
+def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY, limit: int | None = None) -> np.ndarray:
     """Bin of each item, placed in the order given (Csirik et al. 2006).
 
     With N(g) open bins of residual gap g, an item goes where the sum of N(g)^2 becomes
     smallest: into the gap g of largest N(g) - N(g - size), or a new bin; ties take the
-    smallest gap. Full bins (gap 0) don't count. Sizes are 1 to capacity.
+    smallest gap. Full bins (gap 0) don't count. Sizes are 1 to capacity. Once there are ``limit``
+    bins, a new one is opened only for an item that fits in none.
     """
     count = np.zeros(capacity + 1, np.int64)
     bins: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -40,7 +41,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
             gain[0] = 0.5 - count[s]  # the bin becomes full and leaves the sum
         fresh = count[capacity - s] + 0.5 if s < capacity else 0.0
         k = int(gain.argmin()) if len(gain) else -1
-        if k >= 0 and gain[k] <= fresh:
+        if k >= 0 and gain[k] < np.inf and (gain[k] <= fresh or (limit is not None and made >= limit)):
             g = s + k
             b = bins[g].pop()
             count[g] -= 1
@@ -54,21 +55,19 @@ def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
 
 def pack_lengths(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """Bin of each item, as few bins as it can: largest first by the sum-of-squares rule, and
-    by best fit (the fullest bin that has room) where that needs fewer."""
+    """Bin of each item, as few bins as it can: largest first by the sum-of-squares rule.
+
+    The rule opens bins freely up to the number that the sizes' sum asks for at least; from then
+    on it chooses among the open ones as long as an item fits in any.
+    """
     order = np.argsort(-sizes, kind="stable")
-    a = np.empty(len(sizes), np.int64)
-    a[order] = sum_of_squares(sizes[order], capacity)
-    most = -(-int(sizes.sum()) // capacity)
-    if not len(sizes) or a.max() + 1 <= most:
-        return a
-    b = np.empty(len(sizes), np.int64)
-    b[order] = best_fit(sizes[order], capacity)
-    return b if b.max() < a.max() else a
+    out = np.empty(len(sizes), np.int64)
+    out[order] = sum_of_squares(sizes[order], capacity, -(-int(sizes.sum()) // capacity))
+    return out
 
 
 def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """Bin of each item: the open bin of least sufficient gap, else a new one."""
+    """Bin of each item: the open bin of least sufficient gap, else a new one. A measure for :func:`pack_lengths`."""
     bins: list[list[int]] = [[] for _ in range(capacity + 1)]
     mask = 0  # bit g: some bin has gap g
     out, made = np.empty(len(sizes), np.int64), 0
