@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.suffix import Hashes
 from quadrille.session import bounded_batches
 
-__all__ = ["Model", "Words", "fit", "forward_backward", "sample", "train", "identify", "keep_identified"]
+__all__ = ["Model", "Words", "fit", "forward_backward", "chained_marginals", "sample", "train", "identify", "label_words", "keep_identified"]
 
 GRAMS = (2, 3, 4)
 BITS = 16
@@ -22,20 +23,34 @@ CHAIN = 64
 RUN = 16
 CHUNK = 1 << 19
 SPACE = np.array([32 if i < 128 and not chr(i).isalpha() else i for i in range(256)], np.uint8)
-LETTER = re.compile(r"[^\W\d_]")
+WORD = regex.compile(r"[\p{L}\p{M}]+")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode's category L (numerals such as roman or circled ones aren't)."""
+    return any(map(str.isalpha, text))
+
+
+def _plain(text: str) -> bytes:
+    """The text lowered, with a space for each character beyond ASCII that is no letter and no mark on one."""
+    text = text.lower()
+    if not text.isascii():
+        odd = {ord(c): " " for c in set(text) if c > "\x7f" and unicodedata.category(c)[0] not in "LM"}
+        text = text.translate(odd) if odd else text
+    return text.encode("utf-8", "replace")
 
 
 class Words:
     """The words of some texts and their features.
 
-    Words are runs of letters (of bytes beyond ASCII, or ASCII letters), lowered. Features of
+    Words are runs of letters, with the marks on them, lowered. Features of
     a word are its n-grams of 2 to 4 bytes with the space before and after it, so that those
     that hold a space are prefixes and suffixes of up to three bytes; and its hash, which the
     lexicon knows or not. No feature depends on other words.
     """
 
     def __init__(self, texts: list[str]) -> None:
-        raw = [t.lower().encode("utf-8", "replace") for t in texts]
+        raw = [_plain(t) for t in texts]
         buf = SPACE[np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)]
         size = np.array([len(x) + 1 for x in raw], np.int64)
         gap = buf == 32
@@ -87,8 +102,12 @@ class Model:
         return np.add.reduceat(s, w.first, axis=0) + self.entry[slots]
 
 
-def forward_backward(score: np.ndarray, move: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals, expected transitions and log partition of padded chains (chains, steps, labels)."""
+def forward_backward(score: np.ndarray, move: np.ndarray, length: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals, expected transitions and log partition of padded chains (chains, steps, labels).
+
+    ``before`` and ``after`` (chains, labels), if given, are factors on the first label and on the
+    last one of each chain: the messages of what stands before and after it.
+    """
     n, steps, k = score.shape
     live = np.arange(steps)[None, :] < length[:, None]
     top = score.max(axis=2, keepdims=True)
@@ -96,11 +115,11 @@ def forward_backward(score: np.ndarray, move: np.ndarray, length: np.ndarray) ->
     m = np.exp(move)
     a, z = np.empty_like(e), np.empty((n, steps))
     for t in range(steps):
-        x = e[:, 0] if t == 0 else (a[:, t - 1] @ m) * e[:, t]
+        x = (e[:, 0] if before is None else before * e[:, 0]) if t == 0 else (a[:, t - 1] @ m) * e[:, t]
         x = x if t == 0 else np.where(live[:, t, None], x, a[:, t - 1])
         z[:, t] = x.sum(axis=1)
         a[:, t] = x / z[:, t, None]
-    b = np.ones((n, k))
+    b = np.ones((n, k)) if after is None else after
     gamma, pairs = np.empty_like(e), np.zeros((k, k))
     for t in range(steps - 1, -1, -1):
         gamma[:, t] = a[:, t] * b
@@ -115,8 +134,45 @@ def forward_backward(score: np.ndarray, move: np.ndarray, length: np.ndarray) ->
     return gamma, pairs, (np.where(live, np.log(z) + top[:, :, 0], 0.0)).sum(axis=1)
 
 
+def chained_marginals(score: np.ndarray, move: np.ndarray, length: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Marginals of chains that are cut into blocks (blocks, steps, labels), as if they were whole.
+
+    A block that ``follows`` goes on from the one before it. The product of a block's transitions
+    and scores carries the forward message over it to the next block, and the backward one to
+    the block before; with both, each block is solved for itself.
+    """
+    if not follows.any():
+        return forward_backward(score, move, length)[0]
+    n, steps, k = score.shape
+    part = np.flatnonzero(follows | np.r_[follows[1:], False])
+    s, size, m = score[part], length[part], np.exp(move)
+    s = np.exp(s - s.max(axis=2, keepdims=True))
+    x = np.empty((len(part), k, k))  # from each label before the block to each at its end
+    for t in range(steps):
+        if t == 0:
+            new = np.where(follows[part, None, None], m[None], 1.0) * s[:, 0, None, :]
+        else:
+            new = (x.reshape(-1, k) @ m).reshape(x.shape) * s[:, t, None, :]
+        live = t < size
+        x[live] = (new / new.sum(axis=(1, 2), keepdims=True))[live]
+    over = np.zeros((n, k, k))
+    over[part] = x
+    first = np.flatnonzero(~follows)
+    rank = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
+    by = np.argsort(rank, kind="stable")
+    by = np.split(by, np.cumsum(np.bincount(rank))[:-1])
+    coming, after = np.ones((n, k)), np.ones((n, k))
+    for i in by[1:]:
+        v = (coming[i - 1][:, None, :] @ over[i - 1])[:, 0]
+        coming[i] = v / v.sum(axis=1, keepdims=True)
+    for i in by[:0:-1]:
+        v = (over[i] @ after[i][:, :, None])[:, :, 0]
+        after[i - 1] = v / v.sum(axis=1, keepdims=True)
+    return forward_backward(score, move, length, np.where(follows[:, None], coming @ m, 1.0), after)[0]
+
+
 def _chains(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chains of at most CHAIN consecutive words of one document: chain and step of each word, lengths."""
+    """Blocks of at most CHAIN consecutive words of one document: block and step of each word, lengths."""
     if not len(doc):
         return doc, doc, doc
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
@@ -167,7 +223,7 @@ def fit(texts: list[str], langs: list[str], rounds: int = 25, rate: float = 0.15
 
 
 def label(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, Words]:
-    """Marginals of every word, and the sum of each text's."""
+    """Marginals of every word, each text one chain however long, and the sum of each text's."""
     w = Words(texts)
     total = np.zeros((len(texts), len(model.langs)))
     if not w.n:
@@ -175,7 +231,8 @@ def label(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray, Words
     chain, step, length = _chains(w.doc)
     score = np.zeros((len(length), CHAIN, len(model.langs)), np.float32)
     score[chain, step] = model.emissions(w, model.slots(w))
-    gamma = forward_backward(score, model.move, length)[0][chain, step]
+    block = w.doc[np.flatnonzero(step == 0)]
+    gamma = chained_marginals(score, model.move, length, np.r_[False, block[1:] == block[:-1]])[chain, step]
     for j in range(total.shape[1]):
         total[:, j] = np.bincount(w.doc, gamma[:, j], len(texts))
     return gamma, total, w
@@ -201,16 +258,17 @@ def fold() -> F.Column:
 def train(docs: DataFrame, per_lang: int = 150) -> Model | None:
     """A model of the labelled rows of ``docs`` that are not held out; None if there are none."""
     texts, langs = sample(docs, per_lang)
-    return fit(texts, langs) if any(LETTER.search(t) for t in texts) else None
+    return fit(texts, langs) if any(map(has_letter, texts)) else None
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """Add ``lang_pred`` and ``score`` to ``docs``, from the whole text alone.
 
-    Each word gets its marginals in a chain of up to CHAIN words; the text's language is that
-    of the largest sum (ties: the first by name) and the score its mean. Texts that are null or
-    hold no letter are ``und`` with score 0, as is every text if there is no model. One pass,
-    no shuffle; columns of ``docs`` named as a result are replaced.
+    Each word gets its marginals in the chain of all of the text's words; the text's language is
+    that of the largest sum (ties: the first by name) and the score its mean. Texts that are null
+    or hold no letter (Unicode's category L) are ``und`` with score 0, as is every text if there is
+    no model. One pass, no shuffle; columns of ``docs`` named as a result are replaced. Repeated
+    rows give repeated rows, an empty table an empty result.
     """
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -233,7 +291,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
             for i, t in enumerate(b.column("text")):
                 t = t.as_py()
-                if t is None or model is None or not LETTER.search(t):
+                if t is None or model is None or not has_letter(t):
                     continue
                 some.append((i, t))
                 held += len(t)
@@ -247,6 +305,37 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(*names).mapInArrow(run, StructType([*own, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
+def label_words(docs: DataFrame, model: Model | None) -> DataFrame:
+    """Add ``words`` to ``docs``: start and length in code points, language and its marginal, for each word.
+
+    For code-switched text: labels are those of the most likely language of each word in the
+    chain of the whole text. Null texts, texts without letters and all texts without a model
+    get an empty array. A column of ``docs`` of that name is replaced.
+    """
+    own = [f for f in docs.schema.fields if f.name != "words"]
+    names = [f.name for f in own]
+    bounded_batches(docs.sparkSession)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("lang", pa.string()), ("score", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list[dict]] = []
+            for t in b.column("text").to_pylist():
+                out.append([])
+                found = [] if t is None or model is None else [x for x in WORD.finditer(t) if has_letter(x[0])]
+                if found:
+                    gamma = label(model, [" ".join(x[0] for x in found)])[0]
+                    best = gamma.argmax(axis=1)
+                    score = gamma[np.arange(len(best)), best].tolist()
+                    out[-1] = [{"start": x.start(), "length": len(x[0]), "lang": model.langs[j], "score": min(1.0, p)} for x, j, p in zip(found, best.tolist(), score, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, kind)], names=[*names, "words"])
+
+    from pyspark.sql.types import StructType
+
+    words = StructType.fromDDL("words array<struct<start: int, length: int, lang: string, score: double>>")
+    return docs.select(*names).mapInArrow(run, StructType([*own, *words.fields]))
+
+
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose language is found with a score of ``least``."""
     rows = docs.select("text", F.struct(*docs.columns).alias("row"))  # columns named as a result stay
