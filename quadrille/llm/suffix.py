@@ -32,7 +32,7 @@ LENGTH = 400
 GRAM = 64
 CHUNK = 1 << 20
 POOL = 1 << 20
-HOT = 1 << 21
+HOT = 1 << 22
 SUB = 16
 
 _rng = np.random.default_rng(20240229)
@@ -137,32 +137,43 @@ def _file(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator
 
 def _words(buf: np.ndarray, more: int) -> np.ndarray:
     """The eight bytes from each place on as a number, zeros after the end, for ``more`` places beyond it."""
-    n = len(buf)
-    wide = np.zeros(n + more + 8, np.uint64)
-    wide[:n] = buf
-    word = np.zeros(n + more, np.uint64)
-    for j in range(8):
-        word |= wide[j : j + n + more] << np.uint64(56 - 8 * j)
-    return word
+    padded = np.zeros(len(buf) + more + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray(len(buf) + more, ">u8", padded, strides=(1,)).astype(np.uint64)
+
+
+def _dense(key: np.ndarray) -> np.ndarray:
+    """The rank of each value, equal ones share theirs."""
+    by = np.argsort(key)
+    key = key[by]
+    rank = np.empty(len(key), np.int32)
+    rank[by] = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])), dtype=np.int32) if len(key) else 0
+    return rank
 
 
 def suffix_order(buf: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array of the given starts to ``depth`` bytes, ties by place, and their ranks.
 
     Prefix doubling from eight-byte words; equal ranks mean equal ``depth``-byte strings.
-    Bytes after the end sort as zeros.
+    Bytes after the end sort as zeros. About 30 bytes of memory a byte.
     """
     d = min(8, depth)
     word = _words(buf, depth)
     if d < 8:
         word >>= np.uint64(64 - 8 * d)
-    rank = np.unique(word, return_inverse=True)[1].astype(np.int64)
+    rank = _dense(word)
+    del word
     while d < depth:
         step = min(d, depth - d)
-        pair = rank * (rank.max() + 1)
-        pair[:-step] += rank[step:]
+        last = d + step == depth
+        pair = (rank[starts] if last else rank).astype(np.int64)
+        pair <<= 32
+        if last:
+            pair |= rank[starts + step]
+        else:
+            pair[:-step] |= rank[step:]
         d += step
-        rank = np.unique(pair[starts] if d == depth else pair, return_inverse=True)[1].astype(np.int64)
+        rank = _dense(pair)
     if len(rank) != len(starts):
         rank = rank[starts]
     return np.lexsort((starts, rank)), rank
@@ -316,53 +327,55 @@ def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
 
 
 _LONG, _INT = pa.int64(), pa.int32()
-_PIECE = {"key": _LONG, "c1": _LONG, "c2": _LONG, "k": _LONG, "th": _LONG, "pos": _LONG, "n": _INT}
+_PIECE = {"key": _LONG, "c1": _LONG, "c2": _LONG, "k": _LONG, "th": _LONG, "pos": _LONG, "n": _INT, "base": _LONG}
 _WINDOW = {"c1": _LONG, "c2": _LONG, "k": _LONG, "th": _LONG, "pos": _LONG, "n": _INT}
-_STRETCH = {"key": _LONG, "k": _LONG, "th": _LONG, "pos": _LONG, "n": _INT, "raw": pa.binary()}
+_STRETCH = {"key": _LONG, "k": _LONG, "th": _LONG, "pos": _LONG, "n": _INT, "rel": _INT, "raw": pa.binary()}
 
 
 def _sql(kinds: dict[str, pa.DataType]) -> str:
     return ", ".join(f"{c} {'long' if t == _LONG else 'int' if t == _INT else 'binary'}" for c, t in kinds.items())
 
 
-def _hot_windows(docs: DataFrame, places: DataFrame, length: int, keep_first: bool) -> DataFrame:
+def _hot_windows(hot: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """Repeated windows of groups that are too large for a task, as ``(k, th, pos, n)``.
 
-    ``places`` has ``core, k, th, pos, n, rel`` of their stretches. Equal windows stand at the same
-    place against the minimiser, so they lie in pieces of the same number there, whose windows
-    all hold the same middle bytes. Pieces are merged by content; where several share a middle
-    their windows are merged one by one. Rows are narrow and keys are aggregated map-side.
+    ``hot`` has their stretches as in _STRETCH. Equal windows stand at the same place against the
+    minimiser, so they lie in pieces of the same number there, whose windows all hold the same
+    middle bytes. Pieces are merged by content; where several share a middle their windows are
+    merged one by one. Rows are narrow and keys are aggregated map-side.
     """
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, th, raw, asked in zip(*(c.to_pylist() for c in b.columns)):
-                out, view = [], memoryview(raw)
-                for x in asked:
-                    pos, n, rel = x["pos"], x["n"], x["rel"]
-                    for s in range(rel // SUB, (rel + n - 1) // SUB + 1):
-                        a, z = max(rel, s * SUB), min(rel + n, (s + 1) * SUB)
-                        held = view[pos - rel + (s + 1) * SUB - 1 : pos - rel + s * SUB + length]
-                        head = (s & 0xFFFFFFFF).to_bytes(4, "little") + x["core"].to_bytes(8, "little", signed=True)
-                        key = _digest(head + held)[:8]
-                        whole = _digest(head + a.to_bytes(4, "little", signed=True) + view[pos + a - rel : pos + z - rel + length - 1])
-                        out.append((*(int.from_bytes(y, "little", signed=True) for y in (key, whole[:8], whole[8:])), k, th, pos + a - rel, z - a))
-                yield _batch(out, _PIECE)
+            out = []
+            for core, k, th, pos, n, rel, raw in zip(*(c.to_pylist() for c in b.columns)):
+                view = memoryview(raw)
+                for s in range(rel // SUB, (rel + n - 1) // SUB + 1):
+                    a, z = max(rel, s * SUB) - rel, min(rel + n, (s + 1) * SUB) - rel
+                    held = view[(s + 1) * SUB - 1 - rel : s * SUB + length - rel]
+                    head = (s & 0xFFFFFFFF).to_bytes(4, "little") + core.to_bytes(8, "little", signed=True)
+                    key = _digest(head + held)[:8]
+                    whole = _digest(head + (a + rel).to_bytes(4, "little", signed=True) + view[a : z + length - 1])
+                    out.append((*(int.from_bytes(y, "little", signed=True) for y in (key, whole[:8], whole[8:])), k, th, pos + a, z - a, pos))
+            yield _batch(out, _PIECE)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, th, raw, asked in zip(*(c.to_pylist() for c in b.columns)):
-                out, view = [], memoryview(raw)
+            out = []
+            for k, th, base, raw, asked in zip(*(c.to_pylist() for c in b.columns)):
+                view = memoryview(raw)
                 for x in asked:
                     for p in range(x["pos"], x["pos"] + x["n"]):
-                        d = _digest(view[p : p + length])
+                        d = _digest(view[p - base : p - base + length])
                         out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), k, th, p, 1))
-                yield _batch(out, _WINDOW)
+            yield _batch(out, _WINDOW)
 
-    cuts = cut(_by_text(docs, places, ["pos", "n", "rel", "core"]).mapInArrow(pieces, _sql(_PIECE)), "pieces")
-    kinds = cut(cuts.groupBy("key", "c1", "c2").agg(F.min(F.struct("k", "th", "pos", "n")).alias("at")).select("key", "c1", "c2", "at.*"), "piece-kinds")
+    cuts = cut(hot.mapInArrow(pieces, _sql(_PIECE)), "pieces")
+    kinds = cut(cuts.groupBy("key", "c1", "c2").agg(F.min(F.struct("k", "th", "pos", "n", "base")).alias("at")).select("key", "c1", "c2", "at.*"), "piece-kinds")
     several = cut(kinds.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "middles")
-    each = cut(_by_text(docs, kinds.join(several, "key"), ["pos", "n"]).mapInArrow(windows, _sql(_WINDOW)), "windows")
+    open_ = kinds.join(several, "key").groupBy("k", "th", "base").agg(F.collect_list(F.struct("pos", "n")).alias("asked"))
+    each = hot.select("k", "th", F.col("pos").alias("base"), "raw").join(open_, ["k", "th", "base"])
+    each = cut(each.mapInArrow(windows, _sql(_WINDOW)), "windows")
     return _elsewhere(cuts, ["key", "c1", "c2"], keep_first).union(_elsewhere(each, ["c1", "c2"], keep_first))
 
 
@@ -396,7 +409,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
         for b in batches:
             out = []
             for k, th, raw, asked in zip(*(c.to_pylist() for c in b.columns)):
-                out += [(x["core"], k, th, x["pos"], x["n"], raw[x["pos"] : x["pos"] + x["n"] + length - 1]) for x in asked]
+                out += [(x["core"], k, th, x["pos"], x["n"], x["rel"], raw[x["pos"] : x["pos"] + x["n"] + length - 1]) for x in asked]
             yield _batch(out, _STRETCH)
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +420,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
         rows: list = []
         held, last = 0, None
         for b in batches:
-            for key, k, th, pos, n, raw in zip(*(b.column(i).to_pylist() for i in range(6))):
+            for key, k, th, pos, n, _, raw in zip(*(c.to_pylist() for c in b.columns)):
                 if held >= POOL and key != last:
                     yield give(rows)
                     rows, held = [], 0
@@ -417,10 +430,11 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fa
             yield give(rows)
 
     asked = kinds.join(shared, "core")
-    pool = _by_text(docs, asked.where("not hot"), ["pos", "n", "core"]).mapInArrow(fetch, _sql(_STRETCH)).repartition("key").sortWithinPartitions("key")
+    fetched = lambda places: _by_text(docs, places, ["pos", "n", "rel", "core"]).mapInArrow(fetch, _sql(_STRETCH))
+    pool = fetched(asked.where("not hot")).repartition("key").sortWithinPartitions("key")
     found = found.union(pool.mapInArrow(match, "k long, th long, pos long, n int"))
     if shared.where("hot").limit(1).count():
-        found = found.union(_hot_windows(docs, asked.where("hot"), length, keep_first))
+        found = found.union(_hot_windows(cut(fetched(asked.where("hot")), "hot"), length, keep_first))
     return found.groupBy("k", "th").agg(F.collect_set(F.struct("pos", "n")).alias("ranges"))
 
 
