@@ -58,10 +58,11 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside the contract's columns: text, what is left of it (bytes that make no character are replaced)."""
     from quadrille.llm.suffix import deduplicate
 
     r = deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return r.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return r.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
