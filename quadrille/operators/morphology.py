@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions.checks import check_mspa, check_spa
+from quadrille.operators import skeleton as sk
 from quadrille.operators.regions import reach, regions
 from quadrille.operators.tiles import ABSENT, TILE, TILE_SCHEMA, map_tiles, to_tiles
 from quadrille.session import cut
 
-__all__ = ["disc", "dilate", "spa", "mspa", "thin"]
+__all__ = ["disc", "dilate", "spa", "mspa", "connectors", "thin"]
 
 #: Flags of a cell. The two lowest bits are the input: 0 missing, 1 background, 2 foreground.
 PRESENT, FG, CORE, A, B, C, D, E, G, H, K = (1 << i for i in range(2, 13))
@@ -168,9 +169,12 @@ def spa(cells: DataFrame, edge: int, classes: int = 6, tile: int = TILE) -> Data
 
 # MSPA -------------------------------------------------------------------------------------
 
-#: Codes of foreground classes; 100 is added inside holes of cores.
-BRANCH, BRIDGE, LOOP = 1, 33, 65
-LIMIT = 20_000_000
+#: Added to the code of a foreground cell that is part of a connector; 100 is added inside holes of cores.
+BRIDGE, LOOP = 32, 64
+#: Cells of one region that a task finishes; larger ones are thinned on in tiles.
+LIMIT = 2_000_000
+#: Bits of a tile of skeleton cells; the low byte is the code of the core cells round a cell.
+LINE, TRIED = 1 << 8, 1 << 9
 
 
 def _replicated(cells: DataFrame, pad: int) -> DataFrame:
@@ -211,62 +215,15 @@ def thin(mask: np.ndarray, anchor: np.ndarray, connectivity: int = 8) -> np.ndar
     return m[1:-1, 1:-1]
 
 
-def _joined(mask: np.ndarray, connectivity: int) -> np.ndarray:
-    from quadrille.operators.regions import label_array
-
-    return label_array(mask, connectivity)[0]
-
-
-def connectors(mask: np.ndarray, touch: np.ndarray, edge: int, connectivity: int) -> np.ndarray:
-    """Classes of the cells of one residue: branch, bridge between cores, or loop to one core.
-
-    ``touch`` has, beside the residue, the number of the core whose rim a cell belongs to (0
-    elsewhere). The residue is thinned to what joins these rims; cells within the edge width of
-    that skeleton, measured inside the residue, are connectors; the rest is branch. A connector
-    that joins rims of different cores is a bridge, one that joins two places of the same core
-    a loop, and one that ends in a single place a branch.
-    """
-    out = np.where(mask, BRANCH, 0)
-    if not touch.any():
-        return out
-    places = _joined(touch > 0, 8)
-    if places.max() < 2:
-        return out
-    line = thin(mask, touch > 0, connectivity)
-    near = line.copy()
-    for _ in range(max(0, edge - 1)):
-        grown = near.copy()
-        for i in (-1, 0, 1):
-            for j in (-1, 0, 1):
-                if connectivity == 8 or i * j == 0:
-                    grown |= np.roll(np.roll(np.pad(near, 1), i, 0), j, 1)[1:-1, 1:-1]
-        near = grown & mask
-    parts = _joined(near, connectivity)
-    for k in range(1, int(parts.max()) + 1):
-        own = parts == k
-        reach_ = np.zeros_like(own)
-        for i in (-1, 0, 1):
-            for j in (-1, 0, 1):
-                if connectivity == 8 or i * j == 0:
-                    reach_ |= np.roll(np.roll(np.pad(own, 1), i, 0), j, 1)[1:-1, 1:-1]
-        hit = reach_ & (touch > 0)
-        if len(np.unique(touch[hit])) > 1:
-            out[own] = BRIDGE
-        elif len(np.unique(places[hit])) > 1:
-            out[own] = LOOP
-    return out
-
-
 def mspa(cells: DataFrame, connectivity: int = 8, edge: int = 1, intext: bool = True, tile: int = TILE) -> DataFrame:
     """Morphological spatial pattern analysis of a binary map (0 missing, 1 background, 2 foreground).
 
     Codes: 17 core, 3 edge, 5 perforation, 9 islet, 1 branch, 33 bridge, 65 loop, 0 background,
-    129 missing; with ``intext`` 100 is added inside holes of cores (100 itself: core opening)
+    129 missing; where a connector runs through an edge or a perforation to its core 35, 37 (bridge),
+    67, 69 (loop). With ``intext`` 100 is added inside holes of cores (100 itself: core opening)
     and other holes of the foreground are 220. Core, islet, edge, perforation and openings
-    follow from distances and nesting alone. Connectors follow :func:`connectors`; where one
-    runs on through an edge or a perforation these cells keep the code of that, so the crossing
-    codes 35, 37, 67 and 69 don't occur. A residue is classified as a whole in one task; one of
-    over LIMIT cells raises an error. Returns ``row, col, v``.
+    follow from distances and nesting alone; connectors are :func:`connectors`. Returns
+    ``row, col, v``.
     """
     check_mspa(connectivity, edge)
     fgc, bgc = connectivity, 12 - connectivity
@@ -291,8 +248,10 @@ def mspa(cells: DataFrame, connectivity: int = 8, edge: int = 1, intext: bool =
 
     def cores(a: np.ndarray) -> np.ndarray:
         fg = (a & 3) >= 2
-        near = (a & 3) == 2
-        one = near | (((a & 3) == 3) & dilate(near, 0))
+        here = (a & PRESENT) != 0
+        own = ((a & 3) == 2) & here
+        data = here & (((a & 3) == 1) | own)
+        one = own | (~data & _grown(own, 8))  # missing cells, and those outside the map, beside foreground close holes
         m = edge + 1
         out = _flag(_flag(a, FG, fg), CORE, fg & ~dilate(~fg, edge))
         return _flag(out, OUT1, ~one)[m:-m, m:-m]  # for now: not foreground for openings
@@ -335,8 +294,7 @@ def mspa(cells: DataFrame, connectivity: int = 8, edge: int = 1, intext: bool =
         return _flag(_flag(a, EDGE, halo & outer), PERF, halo & ~outer)[m:-m, m:-m]
 
     tiles = cut(map_tiles(tiles, rims, edge + 1, U16, DONE), "tiles")
-    residue = lambda a: ((a & FG) != 0) & ((a & (CORE | ISLET | EDGE | PERF)) == 0)
-    classes = _residues(tiles, residue, edge, fgc)
+    classes = connectors(tiles, lambda a: ((a & FG) != 0) & ((a & (CORE | ISLET)) == 0), lambda a: (a & CORE) != 0, edge, fgc, tile)
 
     def code(a: np.ndarray) -> np.ndarray:
         fg = (a & FG) != 0
@@ -360,9 +318,7 @@ def mspa(cells: DataFrame, connectivity: int = 8, edge: int = 1, intext: bool =
     plain = _codes(tiles.mapInArrow(finish, TILE_SCHEMA))
     if classes is None:
         return plain
-    is_residue = F.col("v").isin(1, 101)
-    add = F.when(is_residue & F.col("k").isNotNull(), F.col("k") - 1).otherwise(0)
-    return plain.join(classes, ["row", "col"], "left").select("row", "col", (F.col("v") + add).cast("short").alias("v"))
+    return plain.join(classes, ["row", "col"], "left").select("row", "col", (F.col("v") + F.coalesce("k", F.lit(0))).cast("short").alias("v"))
 
 
 def _outer_cores(a: np.ndarray) -> np.ndarray:
@@ -382,64 +338,170 @@ def _any(tiles: DataFrame, test) -> bool:
     return bool(tiles.select("data").mapInArrow(run, "hit boolean").agg(F.max("hit")).first()[0])
 
 
-def _region_cells(found, bit_test) -> DataFrame:
-    """``row, col, region`` of labelled cells that pass a test of their flags."""
+def _grown(mask: np.ndarray, connectivity: int) -> np.ndarray:
+    """The mask and the cells beside it."""
+    h, w = mask.shape
+    p, out = np.pad(mask, 1), mask.copy()
+    for i, j in sk.AROUND:
+        if connectivity == 8 or i * j == 0:
+            out |= p[1 + i : 1 + i + h, 1 + j : 1 + j + w]
+    return out
+
+
+def _line_tile(a: np.ndarray, connectivity: int, rounds: int) -> np.ndarray:
+    """A tile of skeleton cells after some rounds; what lies near its border is wrong afterwards."""
+    r, c, link = sk.links_dense((a & LINE) != 0)
+    v = a[r, c]
+    on, tried = sk.peel(v & 255, link, np.ones(len(r), bool), (v & TRIED) != 0, connectivity, rounds)
+    out = a & ~U16(LINE | TRIED)
+    out[r, c] |= (on * LINE | tried * TRIED).astype(U16)
+    return out
+
+
+def _cells_of(found, active: DataFrame, test, value) -> DataFrame:
+    """``row, col, region, x`` of the cells of some regions (``region``), and of ``test``; x is ``value`` of the flags."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for tr, tc, r0, c0, h, w, data, labels in zip(*(b.column(c).to_pylist() for c in ("tr", "tc", "r0", "c0", "h", "w", "data", "labels"))):
                 a, lab = np.frombuffer(data, U16).reshape(h, w), np.frombuffer(labels, np.int32).reshape(h, w)
-                i, j = np.nonzero((lab > 0) & bit_test(a))
+                i, j = np.nonzero((lab > 0) & test(a))
                 n = len(i)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, tr, np.int32)), pa.array(np.full(n, tc, np.int32)), pa.array((i + r0).astype(np.int32)), pa.array((j + c0).astype(np.int32)), pa.array(lab[i, j])], names=["tr", "tc", "row", "col", "label"])
+                cols = (np.full(n, tr), np.full(n, tc), i + r0, j + c0, lab[i, j], value(a)[i, j])
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in cols], names=["tr", "tc", "row", "col", "label", "x"])
 
-    rows = found.tiles.mapInArrow(unpack, "tr int, tc int, row int, col int, label int")
-    return rows.join(found.parts.select("tr", "tc", "label", "region"), ["tr", "tc", "label"]).select("row", "col", "region")
+    rows = found.tiles.mapInArrow(unpack, "tr int, tc int, row int, col int, label int, x int")
+    parts = found.parts if active is None else found.parts.join(active, "region")
+    return rows.join(parts.select("tr", "tc", "label", "region"), ["tr", "tc", "label"]).select("row", "col", "region", "x")
 
 
-def _residues(tiles: DataFrame, residue, edge: int, connectivity: int) -> DataFrame | None:
-    """``row, col, k``: the class of each residue cell."""
-    import pandas as pd
+def _with_cells(tiles: DataFrame, cells: DataFrame, tile: int, write) -> DataFrame:
+    """New tiles: ``write(data, mask)`` is told which cells ``cells(row, col)`` has."""
+    marked = to_tiles(cells.select("row", "col", F.lit(1).alias("v")), tile).select("tr", "tc", F.col("data").alias("mark"))
+    rows = tiles.join(marked, ["tr", "tc"], "left").select("tr", "tc", "r0", "c0", "h", "w", "data", "mark")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for h, w, data, mark in zip(*(b.column(c).to_pylist() for c in ("h", "w", "data", "mark"))):
+                m = np.zeros((h, w), bool) if mark is None else np.frombuffer(mark, np.uint8).reshape(h, w) != ABSENT
+                out.append(write(np.frombuffer(data, U16).reshape(h, w), m).astype(U16).tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tr", "tc", "r0", "c0", "h", "w")), pa.array(out, pa.binary())], names=["tr", "tc", "r0", "c0", "h", "w", "data"])
+
+    return rows.mapInArrow(run, TILE_SCHEMA)
 
-    SEED, DONE = E, B
-    around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (connectivity == 8 or i * j == 0)]
 
-    def mark(a: np.ndarray) -> np.ndarray:
-        res = residue(a)
-        m = edge + 2
-        near = dilate(res, edge + 1)
-        touch = np.zeros_like(res)
-        for i, j in around:
-            touch |= np.roll(np.roll(res, i, 0), j, 1)
-        touch &= (a & (CORE | G | H)) != 0
-        return _flag(_flag(a, SEED, touch), DONE, near & ((a & CORE) != 0))[m:-m, m:-m]
+def _skeleton(tiles: DataFrame, mask, core, edge: int, connectivity: int, tile: int, limit: int) -> DataFrame:
+    """Tiles with LINE where the thinned mask is, thinned towards the cores, which stay.
+
+    Rims of cores and the thick parts go in a few rounds in tiles, with a halo of two cells a
+    round. What is then left unsettled is narrow: each of its regions is finished in a task, many
+    small ones together; regions of over ``limit`` cells go on in tiles.
+    """
+    rounds = min(edge + 6, (tile - 3) // 2)
+
+    def first(a: np.ndarray) -> np.ndarray:
+        on, fixed = mask(a), np.pad(core(a), 1)
+        h, w = a.shape
+        near = np.zeros(a.shape, U16)
+        for k, (i, j) in enumerate(sk.AROUND):
+            near |= fixed[1 + i : 1 + i + h, 1 + j : 1 + j + w].astype(U16) << U16(k)
+        m = 2 * rounds + 3
+        return _line_tile(np.where(on, near | LINE | TRIED, 0).astype(U16), connectivity, rounds)[m:-m, m:-m]
+
+    line = cut(map_tiles(tiles, first, 2 * rounds + 3, U16, 0), "line")
+    waits = lambda a: (a & TRIED) != 0
+    more = min(64, (tile - 3) // 2)
+    while _any(line, waits):
+        found = regions(line, lambda a: (a & LINE) != 0, 8, lambda a, r, c: (a & TRIED) != 0, U16)
+        active = cut(found.parts.groupBy("region").agg(F.sum("n").alias("size"), F.max("seed").alias("open")).where("open").select("region", "size"), "active")
+        total, most = active.agg(F.sum("size"), F.max("size")).first()
+        if most > limit:
+            m = 2 * more + 3
+            line = cut(map_tiles(line, lambda a: _line_tile(a, connectivity, more)[m:-m, m:-m], m, U16, 0), "line")
+            continue
+        share = F.pmod(F.xxhash64("region"), F.lit(max(1, -(-total // limit)))).alias("share")
+        cells = _cells_of(found, active.select("region"), lambda a: np.ones(a.shape, bool), lambda a: a).select(share, "row", "col", "x")
+
+        def finish(t: pa.Table) -> pa.Table:
+            t = t.sort_by([("row", "ascending"), ("col", "ascending")])
+            r, c, x = (t.column(k).to_numpy() for k in ("row", "col", "x"))
+            on, _ = sk.peel(x & 255, sk.links(r, c), np.ones(len(r), bool), (x & TRIED) != 0, connectivity)
+            return pa.table({"row": r[~on], "col": c[~on]})
+
+        gone = cells.groupBy("share").applyInArrow(finish, "row int, col int")
+        return cut(_with_cells(line, gone, tile, lambda a, m: np.where(m, 0, a & ~U16(TRIED))), "line")
+    return line
+
+
+def _ring(line: np.ndarray, mask: np.ndarray, reach: float, connectivity: int) -> np.ndarray:
+    """The line and the cells of the mask within a distance of it that is measured inside the mask, along sight lines."""
+    if reach < 1 or not line.any():
+        return line
+    r, c, link = sk.links_dense(mask)
+    n = len(r)
+    far = np.full(n + 1, np.inf)
+    front = np.flatnonzero(line[r, c])
+    far[front] = 0
+    lines = sk.sight_lines(reach)
+    while len(front):
+        before = far.copy()
+        for length, path in lines:
+            src = front[far[front] + length <= reach]
+            to = src
+            for k in path:
+                to = link[to, k]
+            np.minimum.at(far, to, before[src] + length)
+        far[n] = np.inf
+        front = np.flatnonzero((far < before) & (far + 1 <= reach))
+    near = np.zeros(mask.shape, bool)
+    near[r, c] = far[:n] <= reach
+    out = line
+    for _ in range(int(2 * reach) + 1):  # joined by edges
+        out = out | (_grown(out, 4) & near)
+    return out
 
-    tiles = cut(map_tiles(tiles, mark, edge + 2, U16, 0), "tiles")
-    if not _any(tiles, residue):
+
+def connectors(tiles: DataFrame, mask, core, edge: int, connectivity: int, tile: int = TILE, limit: int = LIMIT) -> DataFrame | None:
+    """``row, col, k`` of the cells that connect cores: k is BRIDGE where they join several, else LOOP.
+
+    ``mask(flags)`` are the foreground cells that are no core and joined to one, ``core(flags)`` the
+    cores. The mask is thinned towards the cores; what is left, with the cells of the mask
+    nearer to it than the edge width (less 0.43: from cell to cell), makes the connectors. Dead
+    ends are peeled off wholly, so other cells are branches. None if there is no connector.
+    """
+    line = _skeleton(tiles, mask, core, edge, connectivity, tile, limit)
+    is_line = lambda a: (a & LINE) != 0
+    if not _any(line, is_line):
         return None
-    res = _region_cells(regions(tiles, residue, connectivity, dtype=U16), lambda a: np.ones(a.shape, bool))
-    core = _region_cells(regions(tiles, lambda a: (a & CORE) != 0, connectivity, dtype=U16), lambda a: (a & DONE) != 0)
-    touch = _region_cells(regions(tiles, lambda a: (a & SEED) != 0, 8, dtype=U16), lambda a: np.ones(a.shape, bool)).select("row", "col")
-    # each cell of a rim belongs to the nearest core (ties: the smaller id)
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(i * i + j * j).alias("d")) for i, j in disc(edge)])
-    seen = touch.select(F.col("row").alias("r"), F.col("col").alias("c"), F.explode(offsets).alias("o")).select("r", "c", (F.col("r") + F.col("o.i")).alias("row"), (F.col("c") + F.col("o.j")).alias("col"), "o.d")
-    owner = seen.join(core, ["row", "col"]).groupBy("r", "c").agg(F.min(F.struct("d", "region")).alias("x")).select("r", "c", F.col("x.region").alias("core"))
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in around])
-    beside = owner.select("r", "c", "core", F.explode(steps).alias("o")).select("r", "c", "core", (F.col("r") + F.col("o.i")).alias("row"), (F.col("c") + F.col("o.j")).alias("col"))
-    held = beside.join(res, ["row", "col"]).select(F.col("r").alias("row"), F.col("c").alias("col"), "region", "core").distinct()
-    rows = res.withColumn("core", F.lit(None).cast("long")).unionByName(held)
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        if len(p) > LIMIT:
-            raise ValueError(f"a residue of {len(p)} cells is beyond what one task holds")
-        r0, c0 = p["row"].min(), p["col"].min()
-        shape = (int(p["row"].max() - r0) + 1, int(p["col"].max() - c0) + 1)
-        own = p["core"].isna().to_numpy()
-        r, c = (p["row"] - r0).to_numpy(), (p["col"] - c0).to_numpy()
-        mask, touch = np.zeros(shape, bool), np.zeros(shape, np.int64)
-        mask[r[own], c[own]] = True
-        touch[r[~own], c[~own]] = np.unique(p["core"].to_numpy()[~own], return_inverse=True)[1] + 1
-        k = connectors(mask, touch, edge, connectivity)
-        return pd.DataFrame({"row": p["row"][own], "col": p["col"][own], "k": k[r[own], c[own]]})
-
-    return rows.groupBy("region").applyInPandas(run, "row int, col int, k int")
+    reach_ = edge + 0.98 - 2**0.5
+    m = int(reach_) + 2
+    CELL, NEXT, SIDE = 1, 2, 4
+    flat = tiles.withColumnRenamed("data", "flags").join(line.select("tr", "tc", "data"), ["tr", "tc"])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for flags, data in zip(b.column("flags").to_pylist(), b.column("data").to_pylist()):
+                a = np.frombuffer(flags, U16)
+                out.append((mask(a) * CELL | core(a) * NEXT | is_line(np.frombuffer(data, U16)) * SIDE).astype(U16).tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tr", "tc", "r0", "c0", "h", "w")), pa.array(out, pa.binary())], names=["tr", "tc", "r0", "c0", "h", "w", "data"])
+
+    JOIN, CORES, BESIDE = 1, 2, 4
+
+    def widen(a: np.ndarray) -> np.ndarray:
+        cores = (a & NEXT) != 0
+        join = _ring((a & SIDE) != 0, (a & CELL) != 0, reach_, connectivity)
+        beside = (join & _grown(cores, connectivity)) | (cores & _grown(join, connectivity))
+        return (join * JOIN | cores * CORES | beside * BESIDE).astype(U16)[m:-m, m:-m]
+
+    joined = cut(map_tiles(flat.select("tr", "tc", "r0", "c0", "h", "w", "flags", "data").mapInArrow(both, TILE_SCHEMA), widen, m, U16, 0), "joined")
+    bit = lambda x: lambda a: (a & x) != 0
+    found = regions(joined, bit(JOIN), connectivity, dtype=U16)
+    ends = _cells_of(found, None, bit(BESIDE), lambda a: a).select("row", "col", "region")
+    cores = _cells_of(regions(joined, bit(CORES), connectivity, dtype=U16), None, bit(BESIDE), lambda a: a).select("row", "col", F.col("region").alias("core"))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in sk.AROUND if connectivity == 8 or i * j == 0])
+    beside = ends.select("region", F.explode(steps).alias("o"), "row", "col").select("region", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"))
+    kinds = beside.join(cores, ["row", "col"]).groupBy("region").agg(F.when(F.min("core") < F.max("core"), BRIDGE).otherwise(LOOP).alias("k"))
+    cells = _cells_of(found, None, bit(JOIN), lambda a: a).select("row", "col", "region")
+    return cells.join(kinds, "region", "left").select("row", "col", F.coalesce("k", F.lit(LOOP)).alias("k"))
