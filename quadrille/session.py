@@ -7,17 +7,23 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["shared_dir", "cut", "bounded_batches"]
+__all__ = ["shared_dir", "cut", "release", "bounded_batches"]
+
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where neither that setting nor a checkpoint directory exists (tests in local
-    mode) is a temporary folder made and registered.
+    Only in local mode (tests), where neither that setting nor a checkpoint directory exists, is
+    a temporary folder made and registered; on a cluster that raises an error, as executors
+    would write where nobody else reads.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is not set; {master} needs a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quadrille-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -32,9 +38,23 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that :func:`cut` has written in this process, and say how many.
+
+    For the end of a job: results that read from them must have been written by then.
+    """
+    n = len(_written)
+    for path in _written:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _written.clear()
+    return n
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2048, mb: int = 8) -> None:
     """Bound the Arrow batches that Python workers get, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -347,7 +347,7 @@ def info(tool: str | None = None) -> str:
 
 
 def citation() -> str:
-    return "quadrille, a PySpark engine for raster pattern analysis. Methods: Soille and Vogt 2009 (morphological patterns); Riitters et al. 2000 (fragmentation, landscape mosaic); Vogt 2023 (restoration indices)."
+    return "quadrille, a PySpark engine for raster pattern analysis. Please name the version and the tools that were used, with their parameters (the tag of a result has them)."
 
 
 def get_tif_colormap(path: str) -> dict[int, tuple[int, int, int]]:
