@@ -318,7 +318,7 @@ def mspa(cells: DataFrame, connectivity: int = 8, edge: int = 1, intext: bool =
     plain = _codes(tiles.mapInArrow(finish, TILE_SCHEMA))
     if classes is None:
         return plain
-    return plain.join(classes, ["row", "col"], "left").select("row", "col", (F.col("v") + F.coalesce("k", F.lit(0))).cast("short").alias("v"))
+    return plain.join(classes, ["row", "col"], "left").select("row", "col", (F.col("v") + F.when(F.col("v") != 129, F.coalesce("k", F.lit(0))).otherwise(0)).cast("short").alias("v"))
 
 
 def _outer_cores(a: np.ndarray) -> np.ndarray:
