@@ -107,7 +107,9 @@ def build(spec: Spec):
 
     unk = spec.pieces[spec.unk_id][0]
     if spec.kind == UNIGRAM:
-        model = models.Unigram([(p, s) for p, s, _ in spec.pieces], unk_id=spec.unk_id, byte_fallback=spec.byte_fallback)
+        # an unknown character costs ten more than the worst piece; only normal ones count for that
+        worst = min((s for _, s, k in spec.pieces if k == NORMAL), default=0.0)
+        model = models.Unigram([(p, s if k in (NORMAL, USER) else worst) for p, s, k in spec.pieces], unk_id=spec.unk_id, byte_fallback=spec.byte_fallback)
     elif spec.kind == BPE:
         ids = {p: i for i, (p, _, _) in enumerate(spec.pieces)}
         usable = {p for p, _, k in spec.pieces if k in (NORMAL, USER, UNUSED)}
@@ -146,7 +148,7 @@ def decode(tokenizer, ids: list[list[int]]) -> list[str]:
 
 
 class Coder:
-    """Ids and texts of whole batches, each distinct word encoded once.
+    """Ids and texts of whole batches; the library encodes each distinct word of a batch once, by all its threads.
 
     Where no piece reaches across the place before a marker, a text of words with one space
     between them is the chain of its words, each with the marker in front. Texts with other
@@ -165,8 +167,6 @@ class Coder:
         self.tokenizer, self.own, self.threads = build(self.spec), SentencePieceProcessor(model_file=path), threads
         s = self.spec
         self.by_word = s.split_at_mark and s.dummy_prefix and s.escape and not s.squeeze and not s.charsmap and not any(k == USER for _, _, k in s.pieces)
-        shown = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in s.pieces]
-        self.shown, self.size = np.frombuffer(b"".join(shown), np.uint8), np.array([len(x) for x in shown])
         self.words: dict[str, bytes] = {}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -177,11 +177,12 @@ class Coder:
         known = coded.dictionary.to_pylist()
         if len(self.words) > self.HELD:  # bounds what a worker keeps
             self.words = {}
-        new = [w for w in known if w not in self.words]
-        run = self.tokenizer.model.tokenize  # a word needs no normaliser; half the cost of a batch
-        self.words.update((w, array("I", [t.id for t in run(MARK + w)]).tobytes()) for w in new)
         self.words[""] = b""
-        whole = encode(self.tokenizer, texts.filter(odd).to_pylist())
+        new = [w for w in known if w not in self.words]
+        rest = texts.filter(odd).to_pylist()
+        both = encode(self.tokenizer, new + rest)  # one batch for the library's threads
+        self.words.update((w, array("I", i).tobytes()) for w, i in zip(new, both))
+        whole = both[len(new) :]
         packed = [*(self.words[w] for w in known), *(np.array(i, "<u4").tobytes() for i in whole)]
         flat = np.frombuffer(b"".join(packed), "<u4")
         size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
@@ -192,11 +193,8 @@ class Coder:
         return TextTokens.gather(flat, size, word), np.diff(np.concatenate(([0], np.cumsum(size[word])))[at])
 
     def decode(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
-        """The text of each run of ids, as bytes: the pieces' own, less the marker in front."""
-        raw = TextTokens.gather(self.shown, self.size, ids).tobytes()
-        end = np.concatenate(([0], np.cumsum(self.size[ids])))[np.concatenate(([0], np.cumsum(n)))].tolist()
-        out = [raw[a:z] for a, z in zip(end, end[1:])]
-        return [x[1:] if self.spec.dummy_prefix and x[:1] == b" " else x for x in out]
+        """The text of each run of ids, as bytes, by the library's decoder."""
+        return [x.encode() for x in decode(self.tokenizer, [i.tolist() for i in np.split(ids, np.cumsum(n)[:-1])])]
 
 
 @lru_cache(maxsize=2)
@@ -210,8 +208,11 @@ def encode_documents(docs: DataFrame, path: str, threads: int = 2, with_ids: boo
 
     Returns ``doc_id, n_tokens, ids_crc32`` (of little-endian unsigned 32-bit ids),
     ``round_trip`` (the decoded text is the text, the marker read as a space), ``parity`` (the
-    model's own library gives the same ids) and, if asked for, ``ids``. Null texts count as
-    empty: no tokens. One pass, no shuffle; batches of about two megabytes go to the library at once.
+    model's own library gives the same ids; with a unigram model it sums scores over a whole text
+    in single precision and may take another way far on in a long one) and, if asked for, ``ids``. Null texts count as
+    empty: no tokens. Repeated rows give repeated rows, an empty table an empty result; other
+    columns of ``docs`` are ignored, whatever their names. One pass, no shuffle; batches of about
+    two megabytes go to the library at once, and whole texts to its decoder.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -229,10 +230,11 @@ def encode_documents(docs: DataFrame, path: str, threads: int = 2, with_ids: boo
                 ids, n = c.encode(part)
                 plain = part.to_pylist()
                 runs = np.split(ids, np.cumsum(n)[:-1])
-                trip = [x == t.replace(MARK, " ").encode() for x, t in zip(c.decode(ids, n), plain)]
-                same = [i.tolist() == j for i, j in zip(runs, c.own.encode(plain, num_threads=threads))]
+                lists = [i.tolist() for i in runs]
+                trip = [x == t.replace(MARK, " ") for x, t in zip(decode(c.tokenizer, lists), plain)]
+                same = [i == j for i, j in zip(lists, c.own.encode(plain, num_threads=threads))]
                 crc = [zlib.crc32(i.astype("<u4").tobytes()) for i in runs]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(trip, pa.bool_()), pa.array(same, pa.bool_()), *[pa.array([i.tolist() for i in runs], pa.list_(pa.int32()))] * with_ids], names=[x.split()[0] for x in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(trip, pa.bool_()), pa.array(same, pa.bool_()), *[pa.array(lists, pa.list_(pa.int32()))] * with_ids], names=[x.split()[0] for x in schema.split(", ")])
                 a = z
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
