@@ -18,7 +18,8 @@ from quadrille.session import bounded_batches, cut
 __all__ = ["simhash", "fingerprints", "tile_links", "masks", "hamming_links", "near_duplicates", "shingle_set", "wide_print", "candidate_links", "similar_links", "similar_groups", "keep_one"]
 
 BITS = 64
-TILE = 2048
+TILE = 64
+WIDE_TILE = 2048
 PIECE = 1 << 16
 WORDS = 4
 FIRST = 22
@@ -65,36 +66,53 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def tile_links(fp: np.ndarray, radius: int = 2, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (a, b) among distinct fingerprints that differ in at most ``radius`` bits.
+def tile_links(fp: np.ndarray, radius: int = 2, tile: int = TILE, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (a, b) among fingerprints that differ in at most ``radius`` bits and share their key.
 
-    Fingerprints are ordered by population count and cut into tiles. Two tiles are compared
-    whole, by exclusive-or and bit count, unless their population counts differ by more than
-    the radius, which no linked pair can. Within a tile pair only a spanning forest of the
-    links is kept, so that dense groups give no more links than fingerprints.
+    Fingerprints are ordered by key and population count and cut into tiles, which many small
+    keys share. Two tiles are compared whole, by exclusive-or and bit count, unless no key
+    reaches from one to the other or their population counts differ by more than the radius,
+    which no linked pair's can. All pairs of tiles at one distance are compared together, a few
+    megabytes at a time. Of what is found at a time only a spanning forest of the links is kept,
+    so that dense groups give no more links than fingerprints. Without keys all share one.
     """
-    fp = np.unique(fp)
-    pop = np.bitwise_count(fp)
-    order = np.argsort(pop, kind="stable")
-    fp, pop = fp[order], pop[order].astype(np.int64)
-    n, out_a, out_b = len(fp), [], []
-    for i in range(0, n, tile):
-        x, top = fp[i : i + tile], pop[min(n, i + tile) - 1]
-        for j in range(i, n, tile):
-            if pop[j] - top > radius:
-                break
-            y = fp[j : j + tile]
-            rows, cols = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= radius)
-            if i == j:
-                keep = rows < cols
-                rows, cols = rows[keep], cols[keep]
-            if len(rows):
-                a, b = forest(rows, cols + len(x) if i != j else cols, len(x) + (len(y) if i != j else 0))
-                both = np.concatenate((x, y)) if i != j else x
-                out_a.append(both[a])
-                out_b.append(both[b])
+    n = len(fp)
     none = np.empty(0, fp.dtype)
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
+    if n < 2:
+        return none, none
+    key = np.zeros(n, np.int64) if key is None else key
+    pop = np.bitwise_count(fp).astype(np.int64)
+    order = np.lexsort((fp, pop, key))
+    fp, pop, key = fp[order], pop[order], key[order]
+    m = -(-n // tile)
+    more = m * tile - n  # the last tile is filled up with a key of its own
+    rows = np.append(fp, np.zeros(more, fp.dtype)).reshape(m, tile)
+    keys = np.append(key, np.full(more, key[-1] + 1)).reshape(m, tile)
+    first, last = np.arange(m) * tile, np.minimum(np.arange(1, m + 1) * tile, n) - 1
+    out_a, out_b = [none], [none]
+    upper = np.triu(np.ones((tile, tile), bool), 1)
+    step = max(1, (1 << 20) // (tile * tile))
+    for d in range(m):
+        i = np.arange(m - d)
+        if d:
+            i = i[(key[last[: m - d]] == key[first[d:]]) & (pop[first[d:]] - pop[last[: m - d]] <= radius)]
+            if not len(i):
+                break  # tiles further apart meet even less
+        for k in range(0, len(i), step):
+            x = i[k : k + step]
+            near = np.bitwise_count(rows[x][:, :, None] ^ rows[x + d][:, None, :]) <= radius
+            near &= keys[x][:, :, None] == keys[x + d][:, None, :]
+            if not d:
+                near &= upper
+            t, r, c = np.nonzero(near)
+            a, b = x[t] * tile + r, (x[t] + d) * tile + c
+            a, b = a[b < n], b[b < n]
+            if len(a):
+                nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+                a, b = forest(at[: len(a)], at[len(a) :], len(nodes))
+                out_a.append(fp[nodes[a]])
+                out_b.append(fp[nodes[b]])
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def forest(rows: np.ndarray, cols: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +152,12 @@ def masks(n: int, radius: int) -> list[int]:
 def hamming_links(fps: DataFrame, radius: int = 2, hot: int = 16384) -> DataFrame:
     """Links ``(a, b)`` that connect all fingerprints of ``fps(fp)`` within ``radius`` bits.
 
-    The tables of tiles are dealt by what each of :func:`masks` leaves of a fingerprint, and each
-    bucket is compared exactly by :func:`tile_links`. A bucket of over ``hot`` fingerprints is
-    dealt on by population count: each count is a tile of its own, and meets only the counts up
-    to the radius above it, so no task gets the whole bucket. Nothing is capped; pairs are never
-    listed.
+    What decides is the comparison of tiles in order of population count (:func:`tile_links`). So
+    that not all tiles of a corpus meet, fingerprints are first dealt by what each of
+    :func:`masks` leaves of them, a second index that loses no link. A bucket of over ``hot``
+    fingerprints is dealt on by population count, counts of over ``hot`` by hash as well: only
+    parts whose counts are within the radius meet, two parts a task, so no task gets more than
+    about twice ``hot``. Nothing is capped; pairs are never listed.
     """
     bounded_batches(fps.sparkSession, rows=65536)
     f = fps.select("fp").distinct()
@@ -147,34 +166,30 @@ def hamming_links(fps: DataFrame, radius: int = 2, hot: int = 16384) -> DataFram
     dealt = f.select("fp", band.alias("band")).selectExpr("fp", "band.k", "band.v")
     size = dealt.groupBy("k", "v").agg(F.count("*").alias("n")).where("n > 1")
     dealt = dealt.join(size, ["k", "v"])
-    small = dealt.where(F.col("n") <= hot).selectExpr("k", "v", "-1 t", "fp")
-    tiles = F.expr(f"explode(sequence(greatest(bit_count(fp) - {radius}, 0), bit_count(fp)))")
-    large = dealt.where(F.col("n") > hot).select("k", "v", tiles.alias("t"), "fp")
-    rows = small.union(large).repartition("k", "v", "t").sortWithinPartitions("k", "v", "t")
+    small = dealt.where(F.col("n") <= hot).selectExpr("k", "v", "-1 t1", "-1 t2", "fp")
+    large = dealt.where(F.col("n") > hot).selectExpr("k", "v", "fp", "int(bit_count(fp)) pop")
+    # parts of each population count of a large bucket: at most 65 entries
+    counts = large.groupBy("k", "v", "pop").agg(F.count("*").alias("n")).groupBy("k", "v").agg(F.map_from_entries(F.collect_list(F.struct("pop", F.ceil(F.col("n") / hot).cast("int").alias("g")))).alias("parts"))
+    large = large.join(counts, ["k", "v"]).selectExpr("k", "v", "fp", "pop", "parts", "pop * 1048576 + int(pmod(xxhash64(fp), parts[pop])) own")
+    meets = f"""explode(flatten(transform(sequence(pop - {radius}, pop + {radius}), q ->
+        transform(filter(sequence(0, coalesce(try_element_at(parts, q), 0)), x -> x < coalesce(try_element_at(parts, q), 0)),
+                  x -> struct(least(own, q * 1048576 + x) as t1, greatest(own, q * 1048576 + x) as t2))))) m"""
+    large = large.selectExpr("k", "v", "fp", meets).selectExpr("k", "v", "m.t1", "m.t2", "fp")
+    key = ["k", "v", "t1", "t2"]
+    rows = small.union(large).repartition(*key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            a, b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-            length = np.diff(np.r_[first, len(fp)])
-            for d in range(1, 9):  # small buckets: all at once, by distance in the bucket
-                i = np.concatenate([np.empty(0, np.int64), *(first[(length <= 8) & (length > k + d)] + k for k in range(8 - d + 1))])
-                i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= radius] if len(i) else i
-                a.append(fp[i])
-                b.append(fp[i + d])
-            for s, m in zip(first[length > 8].tolist(), length[length > 8].tolist()):
-                x, y = tile_links(fp[s : s + m], radius)
-                a.append(x)
-                b.append(y)
-            a, b = np.concatenate(a), np.concatenate(b)
+            number = np.cumsum(np.r_[False, (key[1:] != key[:-1]).any(axis=1)])
+            a, b = tile_links(fp, radius, key=number)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-        key, fp = np.empty((0, 3), np.int64), np.empty(0, np.uint64)
+        key, fp = np.empty((0, 4), np.int64), np.empty(0, np.uint64)
         for b in batches:
-            key = np.concatenate((key, np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)))
-            fp = np.concatenate((fp, b.column(3).to_numpy(zero_copy_only=False).view(np.uint64)))
-            last = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (key != key[-1]).any() else 0
-            if last > 32768:  # buckets that are over
+            key = np.concatenate((key, np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], 1)))
+            fp = np.concatenate((fp, b.column(4).to_numpy(zero_copy_only=False).view(np.uint64)))
+            last = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if len(key) and (key != key[-1]).any() else 0
+            if last:  # buckets that are over
                 yield links(key[:last], fp[:last])
                 key, fp = key[last:], fp[last:]
         if len(fp):
@@ -234,7 +249,7 @@ def wide_print(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidate_links(k1: np.ndarray, n1: np.ndarray, w1: np.ndarray, k2: np.ndarray, n2: np.ndarray, w2: np.ndarray, least: float, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+def candidate_links(k1: np.ndarray, n1: np.ndarray, w1: np.ndarray, k2: np.ndarray, n2: np.ndarray, w2: np.ndarray, least: float, tile: int = WIDE_TILE) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of the pairs that may have a similarity of ``least``.
 
     Compared are all pairs whose set sizes allow it: the first words may differ in ``FIRST`` bits, all
