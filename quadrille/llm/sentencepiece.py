@@ -6,7 +6,6 @@ import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,6 +25,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 PART = 1 << 21
+LINE = 1024
 
 
 @dataclass(frozen=True)
@@ -148,7 +148,8 @@ def decode(tokenizer, ids: list[list[int]]) -> list[str]:
 
 
 class Coder:
-    """Ids and texts of whole batches; the library encodes each distinct word of a batch once, by all its threads.
+    """Ids and texts of whole batches; the library encodes each distinct word of a batch once, in
+    lines of LINE words, by all its threads.
 
     Where no piece reaches across the place before a marker, a text of words with one space
     between them is the chain of its words, each with the marker in front. Texts with other
@@ -167,22 +168,41 @@ class Coder:
         self.tokenizer, self.own, self.threads = build(self.spec), SentencePieceProcessor(model_file=path), threads
         s = self.spec
         self.by_word = s.split_at_mark and s.dummy_prefix and s.escape and not s.squeeze and not s.charsmap and not any(k == USER for _, _, k in s.pieces)
+        self.opens = np.array([p.startswith(MARK) for p, _, _ in s.pieces])
         self.words: dict[str, bytes] = {}
+        self.lost: set[str] = set()  # words that don't come back
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and each text's number of ids."""
+        return self.checked(texts)[:2]
+
+    def checked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids in a row, each text's number of ids, and whether the library's decoder gives the text back.
+
+        Lines of new words and odd texts are decoded as they are; a text of words comes back if
+        all its words do, since nothing in a decoder reaches over a marker.
+        """
         odd = pc.match_substring_regex(texts, f"^$|^ | $|  |{MARK}") if self.by_word else pa.array(np.ones(len(texts), bool))
         words = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         coded = pc.dictionary_encode(words.flatten())
         known = coded.dictionary.to_pylist()
         if len(self.words) > self.HELD:  # bounds what a worker keeps
-            self.words = {}
+            self.words, self.lost = {}, set()
         self.words[""] = b""
         new = [w for w in known if w not in self.words]
         rest = texts.filter(odd).to_pylist()
-        both = encode(self.tokenizer, new + rest)  # one batch for the library's threads
-        self.words.update((w, array("I", i).tobytes()) for w, i in zip(new, both))
-        whole = both[len(new) :]
+        lines = [" ".join(new[a : a + LINE]) for a in range(0, len(new), LINE)]
+        both = encode(self.tokenizer, lines + rest)  # one batch for the library's threads
+        back = decode(self.tokenizer, both)
+        whole = both[len(lines) :]
+        if new:
+            got = np.concatenate([np.array(x, "<u4") for x in both[: len(lines)]])
+            cuts = np.flatnonzero(self.opens[got]).tolist() + [len(got)]  # each word begins with a piece that has the marker in front
+            raw = got.tobytes()
+            self.words.update((w, raw[4 * a : 4 * z]) for w, a, z in zip(new, cuts[:-1], cuts[1:], strict=True))
+            for line, text in zip(lines, back):
+                if line != text:
+                    self.lost.update(w for w in line.split(" ") if decode(self.tokenizer, [np.frombuffer(self.words[w], "<u4").tolist()]) != [w])
         packed = [*(self.words[w] for w in known), *(np.array(i, "<u4").tobytes() for i in whole)]
         flat = np.frombuffer(b"".join(packed), "<u4")
         size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
@@ -190,7 +210,9 @@ class Coder:
         at = words.offsets.to_numpy() - words.offsets[0].as_py()
         word = coded.indices.to_numpy().astype(np.int64)
         word[at[:-1][odd.to_numpy(zero_copy_only=False)]] = len(known) + np.arange(len(whole))
-        return TextTokens.gather(flat, size, word), np.diff(np.concatenate(([0], np.cumsum(size[word])))[at])
+        bad = np.array([*(w in self.lost for w in known), *(x != t.replace(MARK, " ") for x, t in zip(back[len(lines) :], rest))], bool)
+        ends = lambda x: np.diff(np.concatenate(([0], np.cumsum(x[word])))[at])
+        return TextTokens.gather(flat, size, word), ends(size), ends(bad.astype(np.int64)) == 0
 
     def decode(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
         """The text of each run of ids, as bytes, by the library's decoder."""
@@ -212,7 +234,7 @@ def encode_documents(docs: DataFrame, path: str, threads: int = 2, with_ids: boo
     in single precision and may take another way far on in a long one) and, if asked for, ``ids``. Null texts count as
     empty: no tokens. Repeated rows give repeated rows, an empty table an empty result; other
     columns of ``docs`` are ignored, whatever their names. One pass, no shuffle; batches of about
-    two megabytes go to the library at once, and whole texts to its decoder.
+    two megabytes go to the library at once, and what it encodes is decoded by it.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -227,14 +249,13 @@ def encode_documents(docs: DataFrame, path: str, threads: int = 2, with_ids: boo
             while a < len(texts):
                 z = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + PART, side="right")))
                 part = texts.slice(a, z - a)
-                ids, n = c.encode(part)
+                ids, n, trip = c.checked(part)
                 plain = part.to_pylist()
                 runs = np.split(ids, np.cumsum(n)[:-1])
                 lists = [i.tolist() for i in runs]
-                trip = [x == t.replace(MARK, " ") for x, t in zip(decode(c.tokenizer, lists), plain)]
                 same = [i == j for i, j in zip(lists, c.own.encode(plain, num_threads=threads))]
                 crc = [zlib.crc32(i.astype("<u4").tobytes()) for i in runs]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(trip, pa.bool_()), pa.array(same, pa.bool_()), *[pa.array(lists, pa.list_(pa.int32()))] * with_ids], names=[x.split()[0] for x in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(trip), pa.array(same, pa.bool_()), *[pa.array(lists, pa.list_(pa.int32()))] * with_ids], names=[x.split()[0] for x in schema.split(", ")])
                 a = z
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
