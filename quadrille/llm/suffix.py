@@ -368,6 +368,9 @@ def _hot_windows(hot: DataFrame, length: int, keep_first: bool) -> DataFrame:
                     for p in range(x["pos"], x["pos"] + x["n"]):
                         d = _digest(view[p - base : p - base + length])
                         out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), k, th, p, 1))
+                if len(out) > 50_000:
+                    yield _batch(out, _WINDOW)
+                    out = []
             yield _batch(out, _WINDOW)
 
     cuts = cut(hot.mapInArrow(pieces, _sql(_PIECE)), "pieces")
