@@ -90,6 +90,8 @@ def spa_stats(result: DataFrame) -> DataFrame:
     return base.withColumn("foreground", fg).select("*", *[_share(F.col(k), F.col("foreground")).alias(f"{k}_pct") for k in list(SPA_CODES)[:6]])
 
 
+#: Codes of the eleven classes outside; 100 is added inside.
+MSPA_CODES = {"Core": 17, "Edge": 3, "Perforation": 5, "Islet": 9, "Branch": 1, "Loop": 65, "Loop in Edge": 67, "Loop in Perf.": 69, "Bridge": 33, "Bridge in Edge": 35, "Bridge in Perf.": 37}
 MSPA_CLASSES = {"core": (17,), "edge": (3, 35, 67), "perforation": (5, 37, 69), "islet": (9,), "branch": (1,), "loop": (65,), "bridge": (33,)}
 
 
@@ -135,6 +137,13 @@ def change_stats(crosstab: DataFrame) -> DataFrame:
     return x.select("*", *[_share(F.col(f"{d}_total"), F.col(f"{d}_{w}"), 1.0).alias(f"{d}_{n}") for d in "ab" for w, n in (("foreground", "fad_av"), ("land", "avcon"))])
 
 
+def change_differences(crosstab: DataFrame) -> DataFrame:
+    """Both means at both dates, what the second has more, and that in proportion to the first (0 of nothing)."""
+    s = change_stats(crosstab)
+    more = lambda n: F.col(f"b_{n}") - F.col(f"a_{n}")
+    return s.select(*[c for n in ("fad_av", "avcon") for c in (f"a_{n}", f"b_{n}", more(n).alias(f"{n}_difference"), F.when(F.col(f"a_{n}") > 0, more(n) / F.col(f"a_{n}")).otherwise(0.0).alias(f"{n}_relative"))])
+
+
 def window_area(window: int, res_x: float, res_y: float, unit: str = "metre") -> dict[str, float] | None:
     """Hectares and acres of a window; None where cells aren't in metres."""
     if not unit.startswith("met"):

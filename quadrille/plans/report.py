@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterable, Mapping
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import statistics as st
 from quadrille.functions.mosaic import _TABLE
 
-__all__ = ["fragmentation_table", "change_table", "mosaic_table", "ternary_table", "write_csv", "report_text", "elapsed", "renew_time", "parse_palette", "make_tag", "parse_tag"]
+__all__ = ["fragmentation_table", "change_table", "mosaic_table", "ternary_table", "write_heatmap", "write_csv", "report_text", "elapsed", "renew_time", "parse_palette", "make_tag", "parse_tag"]
 
 #: Kinds of tags: the word after the prefix, the tool, and the names of its parameters in order.
 TAGS = {
@@ -30,21 +31,21 @@ def _fixed(c: Column, digits: int) -> Column:
 
 
 def fragmentation_table(result: DataFrame) -> DataFrame:
-    """``pixel_value, pixel_count, foreground_proportion`` of 0 to 100, zeros too."""
-    return st.full_histogram(result).select(F.col("v").alias("pixel_value"), F.col("n").alias("pixel_count"), _fixed(F.col("share"), 6).alias("foreground_proportion"))
+    """``pixel_value, pixel_count, foreground_proportion`` (in percent) of 0 to 100, zeros too."""
+    return st.full_histogram(result).select(F.col("v").alias("pixel_value"), F.col("n").alias("pixel_count"), _fixed(100 * F.col("share"), 6).alias("foreground_proportion"))
 
 
 def change_table(result: DataFrame) -> DataFrame:
     """The same of 0 to 200, with ``Delta_FAD`` = 100 - value."""
     h = st.change_histogram(result)
-    return h.select(F.col("v").alias("pixel_value"), F.col("delta").alias("Delta_FAD"), F.col("n").alias("pixel_count"), _fixed(F.col("pct") / 100, 6).alias("foreground_proportion"))
+    return h.select(F.col("v").alias("pixel_value"), F.col("delta").alias("Delta_FAD"), F.col("n").alias("pixel_count"), _fixed(F.col("pct"), 6).alias("foreground_proportion"))
 
 
 def mosaic_table(result: DataFrame) -> DataFrame:
-    """``pixel_value, pixel_count, proportion`` of the codes that occur, no data left out."""
+    """``pixel_value, pixel_count, foreground_proportion`` (in percent) of the codes that occur, no data left out."""
     h = st.histogram(result).where("v > 0")
     total = h.agg(F.sum("n").alias("total"))
-    return h.crossJoin(F.broadcast(total)).select(F.col("v").cast("long").alias("pixel_value"), F.col("n").alias("pixel_count"), _fixed(F.col("n") / F.col("total"), 6).alias("proportion"))
+    return h.crossJoin(F.broadcast(total)).select(F.col("v").cast("long").alias("pixel_value"), F.col("n").alias("pixel_count"), _fixed(100 * F.col("n") / F.col("total"), 6).alias("foreground_proportion"))
 
 
 def ternary_table(result: DataFrame) -> DataFrame:
@@ -53,12 +54,26 @@ def ternary_table(result: DataFrame) -> DataFrame:
     places = [(f, a, high, int(_TABLE[f, a, high])) for f in range(10) for a in range(10 - f) for high in (0, 1)]
     spark = result.sparkSession
     grid = spark.createDataFrame(places, "natural long, agriculture long, high long, v long").dropDuplicates(["natural", "v"])
-    h = mosaic_table(result).select(F.col("pixel_value").alias("v"), F.col("proportion").cast("double").alias("p"))
-    cells = grid.join(F.broadcast(h), "v", "left").select("natural", F.concat(F.lit("a"), F.col("agriculture"), F.when(F.col("high") == 1, "_developed").otherwise("")).alias("at"), _fixed(100 * F.coalesce("p", F.lit(0.0)), 3).alias("pct"))
+    h = mosaic_table(result).select(F.col("pixel_value").alias("v"), F.col("foreground_proportion").cast("double").alias("p"))
+    cells = grid.join(F.broadcast(h), "v", "left").select("natural", F.concat(F.lit("a"), F.col("agriculture"), F.when(F.col("high") == 1, "_developed").otherwise("")).alias("at"), _fixed(F.coalesce("p", F.lit(0.0)), 3).alias("pct"))
     names = [f"a{a}{x}" for a in range(10) for x in ("_developed", "")]
     return cells.groupBy("natural").pivot("at", names).agg(F.first("pct")).orderBy(F.desc("natural"))
 
 
+def write_heatmap(result: DataFrame, path: str, window: int) -> None:
+    """The mosaic's percentages as a triangle in a CSV file of 22 columns: natural at the top,
+    developed and agriculture at the lower corners, one line a decile of natural."""
+    share = {r.pixel_value: float(r.foreground_proportion) for r in mosaic_table(result).collect()}  # at most 103 rows
+    show = lambda codes: [f"{share.get(c, 0.0):.3f}" for c in codes]
+    lines = [[f"Landscape Mosaic using Window size ({window}x{window})", *[" "] * 21], [" "] * 11 + show([170]) + [" "] * 10]
+    for f in range(9, -1, -1):
+        codes = [int(c) for a in range(10 - f) for c in dict.fromkeys((_TABLE[f, a, 1], _TABLE[f, a, 0]))]
+        lines.append([" "] * (2 + f) + show(codes) + [" "] * (1 + f))
+    lines.append([" ", *show([190]), *[" "] * 19, *show([180])])
+    with open(path, "w", encoding="utf-8", newline="") as out:
+        csv.writer(out).writerows(lines)
+
+
 def write_csv(table: DataFrame, path: str, by: str | None = None) -> None:
     """One CSV file (of a few hundred rows) in a folder, with a header, in order of ``by``."""
     (table.orderBy(by) if by else table).coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -9,12 +9,13 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -22,7 +23,7 @@ from quadrille.functions.checks import InputError
 from quadrille.operators.tiles import ABSENT, to_tiles
 from quadrille.session import cut
 
-__all__ = ["Header", "read_header", "GeoTiffDataSource", "read_geotiff", "write_geotiff", "lzw_decode", "lzw_encode"]
+__all__ = ["Header", "read_header", "GeoTiffDataSource", "read_geotiff", "write_geotiff", "write_clips", "lzw_decode", "lzw_encode"]
 
 #: TIFF field types: struct code and size.
 KINDS = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 7: ("B", 1), 8: ("h", 2), 9: ("i", 4), 10: ("ii", 8), 11: ("f", 4), 12: ("d", 8), 13: ("I", 4), 16: ("Q", 8), 17: ("q", 8), 18: ("Q", 8)}
@@ -263,34 +264,19 @@ def read_geotiff(spark: SparkSession, path: str) -> tuple[DataFrame, Header]:
     return spark.read.format("geotiff").load(path), read_header(path)
 
 
-def write_geotiff(cells: DataFrame, path: str, header: Header, tile: int = 256, compression: str = "lzw") -> None:
-    """Write byte-valued cells as a tiled file; cells that aren't there get ``header.nodata`` or 0.
+CODES = {"none": 1, "lzw": 5, "deflate": 8}
 
-    Blocks are encoded by the tasks and written to the shared folder. The driver gets their
-    lengths, writes the directory, and passes the blocks on one after the other. BigTIFF where
-    the file comes near 4 GB.
-    """
-    code = {"none": 1, "lzw": 5, "deflate": 8}[compression]
-    fill, down, across = header.nodata or 0, -(-header.rows // tile), -(-header.cols // tile)
 
-    def encode(a: np.ndarray) -> bytes:
-        if code == 1:
-            return a.tobytes()
-        a = np.diff(a, axis=1, prepend=np.zeros((tile, 1), np.uint8)).tobytes()
-        return lzw_encode(a) if code == 5 else zlib.compress(a, 6)
+def encode_block(a: np.ndarray, code: int) -> bytes:
+    """A tile of bytes, compressed with differences along rows."""
+    if code == 1:
+        return a.tobytes()
+    a = np.diff(a, axis=1, prepend=np.zeros((a.shape[0], 1), np.uint8)).tobytes()
+    return lzw_encode(a) if code == 5 else zlib.compress(a, 6)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [encode(np.where((a := np.frombuffer(x, np.uint8).reshape(tile, tile)) == ABSENT, np.uint8(fill), a)) for x in b.column("data").to_pylist()]
-            k = np.array(b.column("tr").to_pylist(), np.int64) * across + np.array(b.column("tc").to_pylist(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.binary())], names=["k", "n", "block"])
 
-    inside = cells.where(f"row between 0 and {header.rows - 1} and col between 0 and {header.cols - 1} and v is not null")
-    blocks = cut(to_tiles(inside, tile).mapInArrow(run, "k long, n long, block binary"), "blocks")
-    blank = encode(np.full((tile, tile), fill, np.uint8))
-    counts = np.full(down * across, len(blank), np.int64)
-    for r in blocks.select("k", "n").toLocalIterator():  # sixteen bytes a block
-        counts[r.k] = r.n
+def _directory(header: Header, counts: np.ndarray, tile: int, code: int) -> bytes:
+    """All of a file that stands before its blocks, of which the lengths are known."""
     big = int(counts.sum()) + SPARE > 1 << 32
     word, own, wide = ("Q", 8, 16) if big else ("I", 4, 4)
     geo = [1, 1, 0, 0]
@@ -322,9 +308,35 @@ def write_geotiff(cells: DataFrame, path: str, header: Header, tile: int = 256,
         return head + struct.pack("<Q" if big else "<H", len(fields)) + entries + b"\0" * own + rest
 
     first = len(directory(np.zeros(len(counts), np.int64)))
+    return directory(first + np.cumsum(counts) - counts)
+
+
+def write_geotiff(cells: DataFrame, path: str, header: Header, tile: int = 256, compression: str = "deflate") -> None:
+    """Write byte-valued cells as a tiled file; cells that aren't there get ``header.nodata`` or 0.
+
+    Blocks are encoded by the tasks and written to the shared folder. The driver gets their
+    lengths, writes the directory, and passes the blocks on one after the other. BigTIFF where
+    the file comes near 4 GB. ``lzw`` is encoded byte by byte in Python, about a hundred times as slow as
+    deflate.
+    """
+    code = CODES[compression]
+    fill, down, across = header.nodata or 0, -(-header.rows // tile), -(-header.cols // tile)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [encode_block(np.where((a := np.frombuffer(x, np.uint8).reshape(tile, tile)) == ABSENT, np.uint8(fill), a), code) for x in b.column("data").to_pylist()]
+            k = np.array(b.column("tr").to_pylist(), np.int64) * across + np.array(b.column("tc").to_pylist(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.binary())], names=["k", "n", "block"])
+
+    inside = cells.where(f"row between 0 and {header.rows - 1} and col between 0 and {header.cols - 1} and v is not null")
+    blocks = cut(to_tiles(inside, tile).mapInArrow(run, "k long, n long, block binary"), "blocks")
+    blank = encode_block(np.full((tile, tile), fill, np.uint8), code)
+    counts = np.full(down * across, len(blank), np.int64)
+    for r in blocks.select("k", "n").toLocalIterator():  # sixteen bytes a block
+        counts[r.k] = r.n
     fs, at = _open(path)
     with fs.open_output_stream(at, compression=None) as f:
-        f.write(directory(first + np.cumsum(counts) - counts))
+        f.write(_directory(header, counts, tile, code))
         k = 0
         for r in blocks.select("k", "block").orderBy("k").toLocalIterator():
             for _ in range(k, r.k):
@@ -333,3 +345,42 @@ def write_geotiff(cells: DataFrame, path: str, header: Header, tile: int = 256,
             k = r.k + 1
         for _ in range(k, len(counts)):
             f.write(blank)
+
+
+def write_clips(clips: DataFrame, folder: str, header: Header, nodata: int, tile: int = 256, compression: str = "deflate", most: int = 1 << 26) -> list[str]:
+    """A file ``<zone>.tif`` for each zone of ``clips(zone, row, col, v)``, cut to its own box.
+
+    Files of up to ``most`` cells are made by the tasks, several at a time, in the shared
+    ``folder``; larger ones go one by one through :func:`write_geotiff`. Returns the zones' names.
+    """
+    code = CODES[compression]
+    boxes = cut(clips.groupBy("zone").agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")), "boxes")
+    cells = (F.col("r1") - F.col("r0") + 1).cast("long") * (F.col("c1") - F.col("c0") + 1)
+
+    def own(r0: int, r1: int, c0: int, c1: int) -> Header:
+        return replace(header, rows=r1 - r0 + 1, cols=c1 - c0 + 1, x0=header.x0 + c0 * header.res_x, y0=header.y0 - r0 * header.res_y)
+
+    fs, base = _open(folder)
+    fs.create_dir(base, recursive=True)
+
+    def write(key: tuple, t: pa.Table) -> pa.Table:
+        r, c, v = (t.column(x).to_numpy() for x in ("row", "col", "v"))
+        h = own(int(r.min()), int(r.max()), int(c.min()), int(c.max()))
+        down, across = -(-h.rows // tile), -(-h.cols // tile)
+        a = np.full((down * tile, across * tile), nodata, np.uint8)
+        a[r - r.min(), c - c.min()] = v
+        blocks = [encode_block(a[i * tile : (i + 1) * tile, j * tile : (j + 1) * tile], code) for i in range(down) for j in range(across)]
+        to, at = _open(f"{folder}/{key[0].as_py()}.tif")
+        with to.open_output_stream(at, compression=None) as f:
+            f.write(_directory(h, np.array([len(x) for x in blocks]), tile, code))
+            for x in blocks:
+                f.write(x)
+        return pa.table({"zone": [key[0].as_py()]})
+
+    few = clips.join(boxes.where(cells <= most).select("zone"), "zone", "left_semi")
+    done = [r.zone for r in few.groupBy("zone").applyInArrow(write, "zone string").collect()]  # one short name a file
+    for b in boxes.where(cells > most).toLocalIterator():
+        one = clips.where(F.col("zone") == b.zone).select((F.col("row") - b.r0).alias("row"), (F.col("col") - b.c0).alias("col"), "v")
+        write_geotiff(one, f"{folder}/{b.zone}.tif", replace(own(b.r0, b.r1, b.c0, b.c1), nodata=nodata), tile, compression)
+        done.append(b.zone)
+    return sorted(done)

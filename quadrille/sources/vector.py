@@ -1,12 +1,14 @@
-"""Polygons from GeoJSON, shapefiles and GeoPackages as rows ``zone, index, rings``."""
+"""Polygons from GeoJSON, KML, shapefiles and GeoPackages as rows ``zone, index, rings``."""
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import sqlite3
 import struct
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +16,10 @@ from pyspark.sql import functions as F
 from quadrille.functions.checks import InputError
 from quadrille.operators.zonal import zone_name
 
-__all__ = ["read_polygons", "layers", "wkb_rings"]
+__all__ = ["read_polygons", "vector_crs", "layers", "wkb_rings"]
 
 RINGS = "array<array<struct<x:double,y:double>>>"
-FORMATS = (".geojson", ".json", ".shp", ".gpkg")
+FORMATS = (".geojson", ".json", ".kml", ".shp", ".gpkg")
 
 
 def read_polygons(spark: SparkSession, path: str, id_field: str, layer: str | None = None) -> DataFrame:
@@ -33,12 +35,53 @@ def read_polygons(spark: SparkSession, path: str, id_field: str, layer: str | No
         raise InputError(f"{kind or path!r} is not one of {', '.join(FORMATS)}")
     if kind in (".geojson", ".json"):
         return _geojson(spark, path, id_field)
-    rows = _shapefile(path, id_field) if kind == ".shp" else _geopackage(path, id_field, layer)
+    rows = _shapefile(path, id_field) if kind == ".shp" else _kml(path, id_field) if kind == ".kml" else _geopackage(path, id_field, layer)
     found = [(i, name, [[{"x": x, "y": y} for x, y in ring] for ring in rings]) for i, (name, rings) in enumerate(rows) if rings]
     out = spark.createDataFrame(found, f"index long, name string, rings {RINGS}")
     return out.select(zone_name(F.col("name"), F.col("index")).alias("zone"), "index", "rings")
 
 
+def vector_crs(path: str, layer: str | None = None) -> str | None:
+    """What a file says of its projection; None where it says nothing. GeoJSON without a word and KML are WGS 84."""
+    kind = os.path.splitext(path)[1].lower()
+    if kind == ".kml":
+        return "EPSG:4326"
+    if kind in (".geojson", ".json"):
+        with open(path.removeprefix("file://"), encoding="utf-8") as f:
+            m = re.search(r'"crs"\s*:\s*(null|\{.*?"name"\s*:\s*"([^"]*)")', f.read(1 << 16), re.S)
+        return "EPSG:4326" if m is None else m[2] or None
+    if kind == ".shp":
+        prj = os.path.splitext(path)[0] + ".prj"
+        if not os.path.exists(prj):
+            return None
+        with open(prj, encoding="utf-8", errors="replace") as f:
+            return f.read().strip() or None
+    layer = layer or layers(path)[0]
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        found = db.execute("select srs_id from gpkg_geometry_columns where table_name = ?", (layer,)).fetchone()
+    return f"EPSG:{found[0]}" if found and found[0] and found[0] > 0 else None
+
+
+def _kml(path: str, id_field: str) -> Iterator[tuple[str | None, list]]:
+    """Placemarks with polygons, one after the other; the id is a datum of that name, or with ``name`` the placemark's own."""
+    plain = lambda e: e.tag.rpartition("}")[2]
+    for _, mark in ElementTree.iterparse(path):
+        if plain(mark) != "Placemark":
+            continue
+        who, rings = None, []
+        for e in mark.iter():
+            kind = plain(e)
+            if (kind == "SimpleData" and e.get("name") == id_field) or (kind == "name" and id_field == "name" and who is None):
+                who = (e.text or "").strip() or None
+            elif kind == "Data" and e.get("name") == id_field:
+                who = next(((v.text or "").strip() or None for v in e if plain(v) == "value"), None)
+            elif kind == "LinearRing":
+                at = next((c.text or "" for c in e if plain(c) == "coordinates"), "")
+                rings.append([tuple(map(float, p.split(",")[:2])) for p in at.split()])
+        yield who, rings
+        mark.clear()
+
+
 def _geojson(spark: SparkSession, path: str, id_field: str) -> DataFrame:
     schema = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
     f = spark.read.schema(schema).json(path, multiLine=True).select(F.posexplode("features").alias("index", "f"))

@@ -1,7 +1,7 @@
 """The tools as functions of rasters: check, compute, describe, and on request write files.
 
-Each takes a :class:`Raster` or the path of a GeoTIFF and returns a :class:`Result`. Rasters are
-lazy; only checks and statistics run jobs. With ``outdir`` the result is written there as
+Each takes a :class:`Raster` or the path of a GeoTIFF and returns a :class:`Result`. What a tool
+makes is written once as a table of the shared folder, which all that follows reads. With ``outdir`` the result is written there as
 GeoTIFF, and with ``stat_files`` also its tables and a report.
 """
 
@@ -19,25 +19,19 @@ from pyspark.sql import functions as F
 from quadrille.functions import checks
 from quadrille.functions import statistics as st
 from quadrille.functions.mosaic import GROUP_NAMES, mosaic_group
+from quadrille.functions.palettes import SCHEMES, palette
 from quadrille.operators import change as ch
 from quadrille.operators import morphology as mo
 from quadrille.operators import patches as pt
 from quadrille.operators import window as wi
 from quadrille.operators import zonal as zo
 from quadrille.plans import report
-from quadrille.sources.geotiff import Header, read_geotiff, write_geotiff
-from quadrille.sources.vector import read_polygons
+from quadrille.session import cut
+from quadrille.sources.geotiff import Header, read_geotiff, write_clips, write_geotiff
+from quadrille.sources.vector import read_polygons, vector_crs
 
 __all__ = ["Raster", "Result", "frag", "frag_stats", "frag_gray", "frag_gray_stats", "frag_change", "landmos", "landmos_stats", "spa", "spa_stats", "mspa", "mspa_stats", "acc", "acc_stats", "rss", "extract_by_polygon", "info", "citation", "get_tif_colormap"]
 
-#: Colours by tool; values without an entry are black.
-PALETTES = {
-    "spa": {0: (220, 220, 220), 1: (255, 140, 0), 3: (0, 0, 0), 5: (0, 0, 255), 9: (160, 60, 0), 17: (0, 200, 0), 100: (136, 136, 136), 129: (255, 255, 255)},
-    "acc": {0: (220, 220, 220), 103: (255, 255, 100), 33: (255, 200, 0), 65: (255, 120, 0), 1: (0, 0, 255), 9: (0, 100, 200), 17: (0, 120, 0), 105: (180, 180, 0), 176: (160, 160, 200), 129: (255, 255, 255)},
-}
-PALETTES["mspa"] = PALETTES["spa"] | {33: (255, 0, 0), 65: (255, 255, 0), 220: (194, 194, 194)}
-
-
 @dataclass
 class Raster:
     """Cells ``row, col, v`` and what is known of the grid. ``tag``: how a result was made."""
@@ -86,10 +80,19 @@ def _row(df: DataFrame) -> dict[str, object]:
     return df.first().asDict()
 
 
-def _made(src: Raster, cells: DataFrame, name: str, tool: str, nodata: int | None = None, **values: object) -> Raster:
+def _made(src: Raster, cells: DataFrame, name: str, tool: str, nodata: int | None = None, scheme: str | None = None, **values: object) -> Raster:
+    """The raster that a tool makes, as a table: the file, the statistics and the tables read it, and none makes it anew."""
     tag = report.make_tag(tool, **values)
-    h = replace(src.header, dtype="uint8", bands=1, nodata=nodata, description=tag, software="quadrille", colormap=PALETTES.get(tool, {}))
-    return Raster(cells, h, name, report.parse_tag(tag))
+    h = replace(src.header, dtype="uint8", bands=1, nodata=nodata, description=tag, software="quadrille", colormap=palette(scheme or tool))
+    return Raster(cut(cells, name), h, name, report.parse_tag(tag))
+
+
+def _input(x: Raster, *sources: Raster | str | None) -> dict[str, object]:
+    """What a report says of the input: files (n/a where a result alone is known) and grid."""
+    h = x.header
+    names = ["n/a" if s is None else _raster(s).name for s in sources]
+    files = {"Input image": names[0]} if len(names) == 1 else {f"Input image {k}": n for k, n in zip("AB", names)}
+    return {**files, "EPSG": h.epsg, "Unit": h.unit, "Pixel size (x,y)": f"{h.res_x}, {h.res_y}", "Rows": h.rows, "Columns": h.cols, "Total pixels": h.rows * h.cols}
 
 
 def _finish(out: Raster | None, name: str, title: str, began: float, outdir: str | None, stats: dict | None, tables: dict[str, DataFrame] | None) -> Result:
@@ -137,19 +140,20 @@ def frag(source: Raster | str, method: str, window_size: int, connectivity: int
     name = f"{src.name}_frag_{method}{connectivity if method != 'FAD' else ''}_{window_size}"
     cells = wi.fragmentation(src.cells, method, window_size, connectivity, form=form)
     out = _made(src, cells, name, "frag", kind="Binary", threshold=-1, connectivity=connectivity, method=f"{method}_5", pixel=src.header.res_x, window=window_size)
-    return _finish(out, name, f"Fragmentation {method}", began, outdir, _frag_sections(out) if statists else None, {"histogram": report.fragmentation_table(cells)} if stat_files else None)
+    return _finish(out, name, f"Fragmentation {method}", began, outdir, _frag_sections(out, src) if statists else None, {"histogram": report.fragmentation_table(out.cells)} if stat_files else None)
 
 
-def _frag_sections(x: Raster) -> dict:
+def _frag_sections(x: Raster, source: Raster | str | None) -> dict:
     t = x.tag
-    return {"Parameters": {**{k: v for k, v in t.items() if k != "tool"}, **_area(x, int(t["window"]))}, "Statistics": _row(st.fragmentation_stats(x.cells))}
+    return {"Input": _input(x, source), "Parameters": {**{k: v for k, v in t.items() if k != "tool"}, **_area(x, int(t["window"]))}, "Statistics": _row(st.fragmentation_stats(x.cells))}
 
 
-def frag_stats(result: Raster | str, outdir: str | None = None, stat_files: bool = True) -> Result:
-    """Statistics of a result of :func:`frag`, whose parameters come from its tag."""
+def frag_stats(result: Raster | str, outdir: str | None = None, stat_files: bool = True, source: Raster | str | None = None) -> Result:
+    """Statistics of a result of :func:`frag`, whose parameters come from its tag. ``source``, here
+    and in all ``*_stats``: the raster that the result was made from, for the report."""
     began, x = time.monotonic(), _raster(result)
     _wanted(x, "frag", "Binary")
-    return _finish(None, x.name, "Fragmentation", began, outdir, _frag_sections(x), {"histogram": report.fragmentation_table(x.cells)} if stat_files else None)
+    return _finish(None, x.name, "Fragmentation", began, outdir, _frag_sections(x, source), {"histogram": report.fragmentation_table(x.cells)} if stat_files else None)
 
 
 def frag_gray(source: Raster | str, method: str, window_size: int, for_threshold: int, connectivity: int = 4, outdir: str | None = None, statists: bool = True, stat_files: bool = True, form: str = "tile") -> Result:
@@ -162,15 +166,19 @@ def frag_gray(source: Raster | str, method: str, window_size: int, for_threshold
     name = f"{src.name}_frag_{method}{connectivity if method != 'FAD' else ''}_{window_size}_t{for_threshold}"
     cells = wi.fragmentation_gray(src.cells, method, window_size, for_threshold, connectivity, form=form)
     out = _made(src, cells, name, "frag", kind="Gray", threshold=for_threshold, connectivity=connectivity, method=f"{method}_5", pixel=src.header.res_x, window=window_size)
-    stats = {"Parameters": {**{k: v for k, v in out.tag.items() if k != "tool"}, **_area(out, window_size)}, "Statistics": _row(st.gray_stats(src.cells, cells))} if statists else None
-    return _finish(out, name, f"Grayscale fragmentation {method}", began, outdir, stats, {"histogram": report.fragmentation_table(cells)} if stat_files else None)
+    return _finish(out, name, f"Grayscale fragmentation {method}", began, outdir, _gray_sections(out, src) if statists else None, {"histogram": report.fragmentation_table(out.cells)} if stat_files else None)
+
 
+def _gray_sections(x: Raster, source: Raster | str | None) -> dict:
+    out = _frag_sections(x, source)
+    return out if source is None else out | {"Statistics": _row(st.gray_stats(_raster(source).cells, x.cells))}
 
-def frag_gray_stats(result: Raster | str, outdir: str | None = None, stat_files: bool = True) -> Result:
-    """Statistics of a result of :func:`frag_gray`; counts of the source are not known here."""
+
+def frag_gray_stats(result: Raster | str, outdir: str | None = None, stat_files: bool = True, source: Raster | str | None = None) -> Result:
+    """Statistics of a result of :func:`frag_gray`; counts of the input need its ``source``."""
     began, x = time.monotonic(), _raster(result)
     _wanted(x, "frag", "Gray")
-    return _finish(None, x.name, "Grayscale fragmentation", began, outdir, _frag_sections(x), {"histogram": report.fragmentation_table(x.cells)} if stat_files else None)
+    return _finish(None, x.name, "Grayscale fragmentation", began, outdir, _gray_sections(x, source), {"histogram": report.fragmentation_table(x.cells)} if stat_files else None)
 
 
 def frag_change(before: Raster | str, after: Raster | str, outdir: str | None = None, statists: bool = True, stat_files: bool = True) -> Result:
@@ -179,61 +187,64 @@ def frag_change(before: Raster | str, after: Raster | str, outdir: str | None =
     _folder(outdir)
     a, b = _raster(before), _raster(after)
     checks.check_change_pair(a.facts(), b.facts())
-    cells, tab = ch.change(a.cells, b.cells), ch.crosstab(a.cells, b.cells)
+    cells, tab = ch.change(a.cells, b.cells), cut(ch.crosstab(a.cells, b.cells), "crosstab")
     tag = {k: v for k, v in a.tag.items() if k != "tool"}
     name = f"change_{a.name}_{b.name}"
     out = _made(a, cells, name, "change", 254, **tag)
     stats = None
     if statists:
         matrix = lambda g: {f"{r.ga} to {r.gb}": r.n for r in ch.aggregate_matrix(tab, g).collect()}  # noqa: E731  at most 49 rows
-        stats = {"Parameters": tag, "Statistics": _row(st.change_stats(tab)), "Land": matrix(ch.LAND_GROUPS), "Classes": matrix(ch.CLASS_GROUPS)}
-    return _finish(out, name, "Fragmentation change", began, outdir, stats, {"histogram": report.change_table(cells)} if stat_files else None)
+        stats = {"Input": _input(out, a, b), "Parameters": tag, "Statistics": _row(st.change_stats(tab)), "Connectivity indices": _row(st.change_differences(tab)), "Land": matrix(ch.LAND_GROUPS), "Classes": matrix(ch.CLASS_GROUPS)}
+    return _finish(out, name, "Fragmentation change", began, outdir, stats, {"histogram": report.change_table(out.cells)} if stat_files else None)
 
 
 # mosaic -----------------------------------------------------------------------------------
 
 
 def landmos(source: Raster | str, window_size: int, outdir: str | None = None, statists: bool = True, stat_files: bool = True, out_colors: str = "bgr", form: str = "tile") -> Result:
-    """Landscape mosaic of 103 classes; the map of 19 groups is written beside it."""
+    """Landscape mosaic of 103 classes; the map of 19 groups is written beside it. ``out_colors``: one of six palettes."""
     began = time.monotonic()
     checks.check_window(window_size)
-    if out_colors not in ("agr", "ant", "bgr", "dev", "div", "nat"):
+    if out_colors not in SCHEMES:
         raise checks.InputError(f"{out_colors!r} is not a colour scheme")
     _folder(outdir)
     src = _raster(source)
     checks.check_three_class(src.cells)
     name = f"{src.name}_lm_{window_size}"
-    out = _made(src, wi.mosaic(src.cells, window_size, form), name, "mosaic", 0, window=window_size, colors=out_colors)
-    r = _finish(out, name, "Landscape mosaic", began, outdir, _mosaic_sections(out) if statists else None, _mosaic_tables(out) if stat_files else None)
+    out = _made(src, wi.mosaic(src.cells, window_size, form), name, "mosaic", 0, f"mosaic_{out_colors}", window=window_size, colors=out_colors)
+    r = _finish(out, name, "Landscape mosaic", began, outdir, _mosaic_sections(out, src) if statists else None, _mosaic_tables(out) if stat_files else None)
     if outdir is not None:
         groups = out.cells.select("row", "col", mosaic_group(F.col("v")).cast("short").alias("v"))
         r.files["tif_groups"] = os.path.join(outdir, f"{name}_groups.tif")
-        write_geotiff(groups, r.files["tif_groups"], replace(out.header, description=report.make_tag("mosaic", window=window_size, colors="-")))
+        write_geotiff(groups, r.files["tif_groups"], replace(out.header, description=report.make_tag("mosaic", window=window_size, colors="-"), colormap=palette("mosaic_groups")))
+        if statists and stat_files:
+            r.files["heatmap"] = os.path.join(outdir, f"{name}_heatmap.csv")
+            report.write_heatmap(out.cells, r.files["heatmap"], window_size)
     return r
 
 
-def _mosaic_sections(x: Raster) -> dict:
+def _mosaic_sections(x: Raster, source: Raster | str | None) -> dict:
     groups = {GROUP_NAMES.get(r.grp, "-"): r.pct for r in st.mosaic_groups(x.cells).orderBy("grp").collect()}  # at most 19 rows
-    return {"Parameters": _area(x, int(x.tag["window"])) | {"window": x.tag["window"]}, "Statistics": _row(st.mosaic_stats(x.cells)), "Groups": groups}
+    return {"Input": _input(x, source), "Parameters": _area(x, int(x.tag["window"])) | {"window": x.tag["window"]}, "Statistics": _row(st.mosaic_stats(x.cells)), "Groups": groups}
 
 
 def _mosaic_tables(x: Raster) -> dict[str, DataFrame]:
     return {"histogram": report.mosaic_table(x.cells), "triangle": report.ternary_table(x.cells)}
 
 
-def landmos_stats(result: Raster | str, outdir: str | None = None, stat_files: bool = True) -> Result:
+def landmos_stats(result: Raster | str, outdir: str | None = None, stat_files: bool = True, source: Raster | str | None = None) -> Result:
     """Statistics of a mosaic of 103 classes (a map of groups is refused)."""
     began, x = time.monotonic(), _raster(result)
     if _wanted(x, "mosaic")["colors"] == "-":
         raise checks.InputError(f"{x.name} is a map of groups")
-    return _finish(None, x.name, "Landscape mosaic", began, outdir, _mosaic_sections(x), _mosaic_tables(x) if stat_files else None)
+    return _finish(None, x.name, "Landscape mosaic", began, outdir, _mosaic_sections(x, source), _mosaic_tables(x) if stat_files else None)
 
 
 # morphology and patches -------------------------------------------------------------------
 
 
-def _plain(x: Raster, stats: DataFrame) -> dict:
-    return {"Parameters": {k: v for k, v in (x.tag or {}).items() if k != "tool"}, "Statistics": _row(stats)}
+def _plain(x: Raster, stats: DataFrame, source: Raster | str | None) -> dict:
+    return {"Input": _input(x, source), "Parameters": {k: v for k, v in (x.tag or {}).items() if k != "tool"}, "Statistics": _row(stats)}
 
 
 def spa(source: Raster | str, edge_width: int, classes: int = 6, outdir: str | None = None, statists: bool = True, stat_files: bool = True) -> Result:
@@ -245,31 +256,39 @@ def spa(source: Raster | str, edge_width: int, classes: int = 6, outdir: str | N
     checks.check_binary(src.cells)
     name = f"{src.name}_spa_{edge_width}_{classes}"
     out = _made(src, mo.spa(src.cells, edge_width, classes), name, "spa", 129, edge=edge_width, classes=classes)
-    return _finish(out, name, "Simplified pattern analysis", began, outdir, _plain(out, st.spa_stats(out.cells)) if statists else None, {} if stat_files else None)
+    return _finish(out, name, "Simplified pattern analysis", began, outdir, _plain(out, st.spa_stats(out.cells), src) if statists else None, {} if stat_files else None)
 
 
-def spa_stats(result: Raster | str, outdir: str | None = None, stat_files: bool = True) -> Result:
+def spa_stats(result: Raster | str, outdir: str | None = None, stat_files: bool = True, source: Raster | str | None = None) -> Result:
     began, x = time.monotonic(), _raster(result)
     _wanted(x, "spa")
-    return _finish(None, x.name, "Simplified pattern analysis", began, outdir, _plain(x, st.spa_stats(x.cells)), {} if stat_files else None)
+    return _finish(None, x.name, "Simplified pattern analysis", began, outdir, _plain(x, st.spa_stats(x.cells), source), {} if stat_files else None)
 
 
 def mspa(source: Raster | str, connectivity: int = 8, edge_width: int = 1, transition: bool = True, intext: bool = True, outdir: str | None = None, statists: bool = True, stat_files: bool = True) -> Result:
-    """Morphological spatial pattern analysis. ``transition`` is kept in the tag and changes no cell."""
+    """Morphological spatial pattern analysis. ``transition`` changes no cell: it is kept in the tag, and
+    connectors that cross a rim get their own colour, or without it the rim's."""
     began = time.monotonic()
     checks.check_mspa(connectivity, edge_width)
     _folder(outdir)
     src = _raster(source)
     checks.check_binary(src.cells)
     name = f"{src.name}_{connectivity}_{edge_width}_{int(transition)}_{int(intext)}"
-    out = _made(src, mo.mspa(src.cells, connectivity, edge_width, intext), name, "mspa", 129, connectivity=connectivity, edge=edge_width, transition=transition, intext=intext)
-    return _finish(out, name, "Morphological spatial pattern analysis", began, outdir, _plain(out, st.mspa_stats(out.cells)) if statists else None, {} if stat_files else None)
+    out = _made(src, mo.mspa(src.cells, connectivity, edge_width, intext), name, "mspa", 129, "mspa" if transition else "mspa_plain", connectivity=connectivity, edge=edge_width, transition=transition, intext=intext)
+    return _finish(out, name, "Morphological spatial pattern analysis", began, outdir, _mspa_sections(out, src) if statists else None, {} if stat_files else None)
+
 
+def _mspa_sections(x: Raster, source: Raster | str | None) -> dict:
+    n = {r.v: r.n for r in st.histogram(x.cells).collect()}  # at most 256 rows
+    every = {k: {f"{name} ({c + add})": n.get(c + add, 0) for name, c in st.MSPA_CODES.items()} for k, add in (("External", 0), ("Internal", 100))}
+    ground = {f"{name} ({c})": n.get(c, 0) for name, c in (("Background", 0), ("Border-Opening", 220), ("Core-Opening", 100), ("Missing data", 129))}
+    return _plain(x, st.mspa_stats(x.cells), source) | every | {"Background": ground}
 
-def mspa_stats(result: Raster | str, outdir: str | None = None, stat_files: bool = True) -> Result:
+
+def mspa_stats(result: Raster | str, outdir: str | None = None, stat_files: bool = True, source: Raster | str | None = None) -> Result:
     began, x = time.monotonic(), _raster(result)
     _wanted(x, "mspa")
-    return _finish(None, x.name, "Morphological spatial pattern analysis", began, outdir, _plain(x, st.mspa_stats(x.cells)), {} if stat_files else None)
+    return _finish(None, x.name, "Morphological spatial pattern analysis", began, outdir, _mspa_sections(x, source), {} if stat_files else None)
 
 
 def acc(source: Raster | str, thresholds: Iterable[int], outdir: str | None = None, statists: bool = True, stat_files: bool = True) -> Result:
@@ -283,18 +302,18 @@ def acc(source: Raster | str, thresholds: Iterable[int], outdir: str | None = No
     stats = None
     if statists:
         rows = pt.accounting_stats(src.cells, t).orderBy("size_class").collect()  # at most six
-        stats = {"Parameters": {"thresholds": t}, **{f"Size class {r.size_class}": {k: v for k, v in r.asDict().items() if k != "size_class"} for r in rows}}
+        stats = {"Input": _input(out, src), "Parameters": {"thresholds": t}, **{f"Size class {r.size_class}": {k: v for k, v in r.asDict().items() if k != "size_class"} for r in rows}}
     return _finish(out, name, "Patch accounting", began, outdir, stats, {} if stat_files else None)
 
 
-def acc_stats(result: Raster | str, outdir: str | None = None, stat_files: bool = True) -> Result:
+def acc_stats(result: Raster | str, outdir: str | None = None, stat_files: bool = True, source: Raster | str | None = None) -> Result:
     """Cells by size class of a result of :func:`acc`; it has no patches any more, so their counts are None."""
     began, x = time.monotonic(), _raster(result)
     t = _wanted(x, "acc")["thresholds"]
     n = {r.v: r.n for r in st.histogram(x.cells).collect()}  # at most 256 rows
     codes = pt.SIZE_CODES[: len(t) + 1]
     total = sum(n.get(c, 0) for c in codes)
-    stats = {"Parameters": {"thresholds": t}, **{f"Size class {i}": {"code": c, "patches": None, "cells": n.get(c, 0), "cells_pct": 100 * n.get(c, 0) / total if total else 0.0} for i, c in enumerate(codes)}}
+    stats = {"Input": _input(x, source), "Parameters": {"thresholds": t}, **{f"Size class {i}": {"code": c, "patches": None, "cells": n.get(c, 0), "cells_pct": 100 * n.get(c, 0) / total if total else 0.0} for i, c in enumerate(codes)}}
     return _finish(None, x.name, "Patch accounting", began, outdir, stats, {} if stat_files else None)
 
 
@@ -303,32 +322,41 @@ def rss(source: Raster | str, outdir: str | None = None, stat_files: bool = True
     began, src = time.monotonic(), _raster(source)
     _folder(outdir)
     checks.check_binary(src.cells, special=True)
-    return _finish(None, f"{src.name}_rss", "Restoration status", began, outdir, {"Statistics": _row(pt.restoration(src.cells))}, {} if stat_files else None)
+    return _finish(None, f"{src.name}_rss", "Restoration status", began, outdir, {"Input": _input(src, src), "Statistics": _row(pt.restoration(src.cells))}, {} if stat_files else None)
 
 
 # zones ------------------------------------------------------------------------------------
 
 
-def extract_by_polygon(polygons: DataFrame | str, source: Raster | str, outdir: str | None, id_field: str = "zone", name_prefix: str = "", nodata_value: int | None = None, layer: str | None = None) -> DataFrame:
-    """Clips ``zone, row, col, v``; with ``outdir`` written there as Parquet, a folder a zone.
+def extract_by_polygon(polygons: DataFrame | str, source: Raster | str, outdir: str | None, id_field: str = "zone", name_prefix: str = "", nodata_value: int | None = None, layer: str | None = None, form: str = "tif") -> DataFrame:
+    """Clips ``zone, row, col, v``; with ``outdir`` a GeoTIFF a zone is written there, with the
+    raster's tag and colours, or (``form`` parquet) a folder a zone.
 
-    Coordinates are taken as they are: both must have the same projection. A polygon file and a
-    raster that have nothing in common are refused.
+    Coordinates are taken as they are: both must have the same projection, and a file must name
+    its own. Polygons and a raster that have nothing in common are refused.
     """
     src = _raster(source)
     if src.header.epsg is None:
         raise checks.InputError(f"{src.name} has no defined projection")
+    if form not in ("tif", "parquet"):
+        raise checks.InputError(f"{form!r} is not tif or parquet")
     spark = src.cells.sparkSession
-    zones = read_polygons(spark, polygons, id_field, layer) if isinstance(polygons, str) else polygons
-    zones = zones.withColumn("zone", F.concat(F.lit(name_prefix), F.col("zone")))
+    if isinstance(polygons, str):
+        if vector_crs(polygons, layer) is None:
+            raise checks.InputError(f"{polygons} has no defined projection")
+        polygons = read_polygons(spark, polygons, id_field, layer)
+    zones = polygons.withColumn("zone", F.concat(F.lit(name_prefix), F.col("zone")))
     h = src.header
     fill = nodata_value if nodata_value is not None else zo.nodata_of((src.tag or {}).get("tool"), h.nodata)
     left, bottom, right, top = h.bounds
     p = zones.select(F.explode(F.flatten("rings")).alias("p")).agg(F.min("p.x").alias("x0"), F.max("p.x").alias("x1"), F.min("p.y").alias("y0"), F.max("p.y").alias("y1")).first()
     if p.x0 is None or p.x0 >= right or p.x1 <= left or p.y0 >= top or p.y1 <= bottom:
         raise checks.InputError("the polygons and the raster do not overlap")
-    clips = zo.extract(src.cells, zones, zo.Grid(h.x0, h.y0, h.res_x, h.res_y), fill)
-    if outdir is not None:
+    clips = zo.extract(src.cells, zones, zo.Grid(h.x0, h.y0, h.res_x, h.res_y, h.rows, h.cols), fill)
+    if outdir is not None and form == "tif":
+        clips = cut(clips, "clips")
+        write_clips(clips, outdir, replace(h, dtype="uint8", bands=1, nodata=None, software="quadrille"), fill)
+    elif outdir is not None:
         clips.write.mode("overwrite").partitionBy("zone").parquet(outdir)
         clips = spark.read.parquet(outdir)
     return clips
