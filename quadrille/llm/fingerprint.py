@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quadrille.llm.suffix import Hashes, _mix
 from quadrille.session import bounded_batches, cut
 
-__all__ = ["shingle_hashes", "fingerprint", "likeness", "with_fingerprints", "edited_neighbours"]
+__all__ = ["shingle_hashes", "bin_minima", "fingerprint", "likeness", "with_fingerprints", "edited_neighbours"]
 
 WIDTH = 5
 BINS = 256
@@ -56,16 +56,13 @@ def shingle_hashes(raw: bytes, width: int = WIDTH) -> np.ndarray:
     return out[0] if len(out) == 1 else np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-def fingerprint(raw: bytes, width: int = WIDTH) -> bytes:
-    """BINS values of KEPT bits, packed; empty for a text without words.
+def bin_minima(h: np.ndarray) -> np.ndarray:
+    """The least hash of each of BINS bins, from a sorted, non-empty set of distinct hashes.
 
-    Each shingle is hashed once: the top bits name its bin, of which the least hash stays. An
-    empty bin takes the value of the first full bin on its own pseudo-random probe sequence
-    (Shrivastava 2017), which depends on nothing but the bin.
+    Each shingle is hashed once: the top bits name its bin. An empty bin takes the value of the
+    first full bin on its own pseudo-random probe sequence (Shrivastava 2017), which depends on
+    nothing but the bin.
     """
-    h = shingle_hashes(raw, width)
-    if not len(h):
-        return b""
     shift = np.uint64(64 - BINS.bit_length() + 1)
     edge = np.searchsorted(h, np.arange(BINS, dtype=np.uint64) << shift)
     full = np.r_[edge[1:], len(h)] > edge
@@ -79,7 +76,15 @@ def fingerprint(raw: bytes, width: int = WIDTH) -> bytes:
             source[todo[found]] = _probe[a:z][hit.argmax(axis=0)[found], todo[found]]
             todo = todo[~found]
     source[todo] = np.flatnonzero(full)[0]
-    low = (value[source] & np.uint64((1 << KEPT) - 1)).astype(np.uint8)
+    return value[source]
+
+
+def fingerprint(raw: bytes, width: int = WIDTH) -> bytes:
+    """BINS values of KEPT bits, the low ones of :func:`bin_minima`, packed; empty for a text without words."""
+    h = shingle_hashes(raw, width)
+    if not len(h):
+        return b""
+    low = (bin_minima(h) & np.uint64((1 << KEPT) - 1)).astype(np.uint8)
     return (low[0::2] << 4 | low[1::2]).tobytes()
 
 

@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, comb
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadrille.llm.fingerprint import bin_minima
+from quadrille.llm.suffix import _mix
 from quadrille.operators.components import connected_components
 from quadrille.session import bounded_batches, cut
 
-__all__ = ["simhash", "fingerprints", "tile_links", "masks", "hamming_links", "near_duplicates", "shingle_set", "wide_print", "candidate_links", "similar_links", "similar_groups", "keep_one"]
+__all__ = ["simhash", "fingerprints", "tile_links", "masks", "hamming_links", "near_duplicates", "shingle_set", "wide_print", "band_keys", "candidate_links", "similar_links", "similar_groups", "keep_one"]
 
 BITS = 64
 TILE = 64
-WIDE_TILE = 2048
+BANDS, DEPTH = 25, 5
 PIECE = 1 << 16
 WORDS = 4
 FIRST = 22
@@ -249,30 +251,65 @@ def wide_print(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidate_links(k1: np.ndarray, n1: np.ndarray, w1: np.ndarray, k2: np.ndarray, n2: np.ndarray, w2: np.ndarray, least: float, tile: int = WIDE_TILE) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of the pairs that may have a similarity of ``least``.
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS keys of a sorted, non-empty shingle set: each of DEPTH values of its one-permutation MinHash.
 
-    Compared are all pairs whose set sizes allow it: the first words may differ in ``FIRST`` bits, all
-    words in ``WIDE``. Sets of a similarity of 0.8 differ in 48 of 256 bits at most in the mean.
+    Two sets of similarity s have a given key in common with probability s^DEPTH, so that at 0.8
+    they share none with a probability of (1 - 0.8^5)^25, 5 in 100,000.
     """
-    o1, o2 = np.argsort(n1, kind="stable"), np.argsort(n2, kind="stable")
-    k1, n1, w1, k2, n2, w2 = k1[o1], n1[o1], w1[o1], k2[o2], n2[o2], w2[o2]
-    out_a, out_b = [np.empty(0, k1.dtype)], [np.empty(0, k1.dtype)]
-    for i in range(0, len(k1), tile):
-        x, low, high = w1[i : i + tile], n1[i] * least - 1e-6, n1[min(len(n1), i + tile) - 1] / least + 1e-6
-        for j in range(int(np.searchsorted(n2, low)), int(np.searchsorted(n2, high, "right")), tile):
-            y = w2[j : j + tile]
-            rows, cols = np.nonzero(np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]) <= FIRST)
-            a, b = n1[i + rows], n2[j + cols]
-            ok = (np.bitwise_count(x[rows] ^ y[cols]).sum(axis=1, dtype=np.int64) <= WIDE) & (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-6)
-            rows, cols = rows[ok], cols[ok]
-            if len(rows):
-                a, b = forest(rows, cols + len(x), len(x) + len(y))
-                both = np.concatenate((k1[i : i + tile], k2[j : j + tile]))
-                out_a.append(both[a])
-                out_b.append(both[b])
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
-    return a[a != b], b[a != b]
+    v = bin_minima(shingles)[: BANDS * DEPTH].reshape(BANDS, DEPTH)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for j in range(DEPTH):
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + v[:, j])
+    return key
+
+
+def candidate_links(key: np.ndarray, n: np.ndarray, w: np.ndarray, least: float, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (places) of the pairs of one key that may have a similarity of ``least``.
+
+    Sets are ordered by key and size and compared tile by tile, as in :func:`tile_links`, but for
+    tiles whose sizes rule the similarity out: the first words of their SimHashes may differ in
+    ``FIRST`` bits, all words in ``WIDE``. Sets of a similarity of 0.8 differ in 48 of 256 bits at most
+    in the mean.
+    """
+    none = np.empty(0, np.int64)
+    if len(key) < 2:
+        return none, none
+    order = np.lexsort((n, key))
+    key, n, w = key[order], n[order], w[order]
+    size, m = len(key), -(-len(key) // tile)
+    more = m * tile - size
+    rows = np.append(w[:, 0], np.zeros(more, np.uint64)).reshape(m, tile)
+    number = np.cumsum(np.r_[True, key[1:] != key[:-1]])
+    keys = np.append(number, np.zeros(more, np.int64)).reshape(m, tile)
+    first, last = np.arange(m) * tile, np.minimum(np.arange(1, m + 1) * tile, size) - 1
+    out_a, out_b = [none], [none]
+    upper = np.triu(np.ones((tile, tile), bool), 1)
+    step = max(1, (1 << 20) // (tile * tile))
+    for d in range(m):
+        i = np.arange(m - d)
+        if d:
+            i = i[(key[last[: m - d]] == key[first[d:]]) & (n[first[d:]] * least <= n[last[: m - d]] + 1e-6)]
+            if not len(i):
+                break
+        for k in range(0, len(i), step):
+            x = i[k : k + step]
+            near = np.bitwise_count(rows[x][:, :, None] ^ rows[x + d][:, None, :]) <= FIRST
+            near &= keys[x][:, :, None] == keys[x + d][:, None, :]
+            if not d:
+                near &= upper
+            t, r, c = np.nonzero(near)
+            a, b = x[t] * tile + r, (x[t] + d) * tile + c
+            a, b = a[b < size], b[b < size]
+            ok = n[b] * least <= n[a] + 1e-6
+            a, b = a[ok], b[ok]
+            ok = np.bitwise_count(w[a] ^ w[b]).sum(axis=1, dtype=np.int64) <= WIDE
+            if ok.any():
+                nodes, at = np.unique(np.concatenate((a[ok], b[ok])), return_inverse=True)
+                a, b = forest(at[: ok.sum()], at[ok.sum() :], len(nodes))
+                out_a.append(nodes[a])
+                out_b.append(nodes[b])
+    return order[np.concatenate(out_a)], order[np.concatenate(out_b)]
 
 
 def similar_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -294,21 +331,18 @@ def similar_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]
     return out
 
 
-def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, seed: int = 42, tile: int = 32768, chunk: int = 512) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, seed: int = 42, tile: int = 16384, chunk: int = 512) -> DataFrame:
     """``(doc_id, component_id)``: the smallest doc_id reachable over links of exact similarity ``least``.
 
-    Candidates are found by comparing the 256-bit SimHashes of all shingle sets whose sizes allow
-    the similarity: sets are dealt by size, so that pairs lie in one or in neighbouring buckets,
-    and each bucket is cut into tiles of about ``tile`` sets; a task gets two tiles. Of each group of
+    Sets meet that share one of :func:`band_keys`, a second index; of those that do, candidates are
+    the pairs that :func:`candidate_links` finds by comparing 256-bit SimHashes in tiles. Keys of
+    over ``tile`` sets are dealt to parts of that size by hash, of which a task gets two. Of each group of
     candidates the sets themselves are then compared, ``chunk`` by ``chunk`` in a large group, and
     only pairs with a Jaccard similarity of ``least`` link. Nothing is capped. Equal sets link.
     Null and blank texts have the empty set and link to each other. Nulls as in :func:`near_duplicates`.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    edges = [1]
-    while edges[-1] < 1 << 40:
-        edges.append(max(edges[-1] + 1, ceil(edges[-1] / least - 1e-6)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     words = [f"w{w}" for w in range(WORDS)]
 
@@ -318,31 +352,38 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, seed: in
             key = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64)
             n = np.array([len(s) for s in sets], np.int64)
             w = np.array([wide_print(s) for s in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
-            place = np.searchsorted(edges, n, "right").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (key, n, place)), *(pa.array(np.ascontiguousarray(w[:, i])) for i in range(WORDS))], names=["doc_id", "h", "k", "n", "b", *words])
+            bands = pa.array([band_keys(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (key, n)), *(pa.array(np.ascontiguousarray(w[:, i])) for i in range(WORDS)), bands], names=["doc_id", "h", "k", "n", *words, "bands"])
 
     raw = F.col("text").cast("binary")
     rows = docs.select("doc_id", F.xxhash64(raw).alias("h"), raw.alias("raw"))
-    sketches = cut(rows.mapInArrow(sketch, f"doc_id {kind}, h long, k long, n long, b int, {', '.join(f'{w} long' for w in words)}"), "sketches")
-
-    nodes = sketches.where("n > 0").select("k", "n", "b", *words).dropDuplicates(["k"])
-    tiles = {r.b: -(-r.c // tile) for r in nodes.groupBy("b").agg(F.count("*").alias("c")).collect()}  # a row for each bucket of sizes
-    around = spark.createDataFrame([(b, t, tiles.get(b - 1, 0), tiles.get(b + 1, 0)) for b, t in tiles.items()], "b int, own int, under int, over int")
-    meets = F.expr("""explode(concat(
-        transform(filter(sequence(0, own), x -> x < own), x -> struct(b as b1, least(g, x) as g1, b as b2, greatest(g, x) as g2)),
-        transform(filter(sequence(0, over), x -> x < over), x -> struct(b as b1, g as g1, b + 1 as b2, x as g2)),
-        transform(filter(sequence(0, under), x -> x < under), x -> struct(b - 1 as b1, x as g1, b as b2, g as g2))))""")
-    dealt = nodes.join(F.broadcast(around), "b").withColumn("g", F.pmod(F.xxhash64("k"), F.col("own")).cast("int")).select("b", "g", "k", "n", *words, meets.alias("m")).select("m.*", "b", "g", "k", "n", *words)
-
-    def compare(key: tuple, t: pa.Table) -> pa.Table:
-        b1, g1, b2, g2 = (x.as_py() for x in key)
-        c = {x: t.column(x).to_numpy() for x in ("b", "g", "k", "n", *words)}
-        w = np.stack([c[x] for x in words], 1).view(np.uint64)
-        p, q = (c["b"] == b1) & (c["g"] == g1), (c["b"] == b2) & (c["g"] == g2)
-        a, b = candidate_links(c["k"][p], c["n"][p], w[p], c["k"][q], c["n"][q], w[q], least)
-        return pa.table({"a": a, "b": b})
-
-    found = connected_components(dealt.groupBy("b1", "g1", "b2", "g2").applyInArrow(compare, "a long, b long"))
+    sketches = cut(rows.mapInArrow(sketch, f"doc_id {kind}, h long, k long, n long, {', '.join(f'{w} long' for w in words)}, bands array<long>"), "sketches")
+
+    nodes = cut(sketches.where("n > 0").dropDuplicates(["k"]).select("k", "n", *words, "bands"), "nodes")
+    # most keys are of one set; the others' rows are counted and go on, by a sort that spills
+    met = nodes.select("k", F.explode("bands").alias("band")).withColumn("c", F.count("*").over(Window.partitionBy("band"))).where("c > 1")
+    met = met.join(nodes.drop("bands"), "k").withColumn("own", F.ceil(F.col("c") / tile).cast("int")).withColumn("g", F.pmod(F.xxhash64("k"), F.col("own")).cast("int"))
+    meets = F.expr("explode(transform(filter(sequence(0, own), x -> x < own), x -> struct(least(g, x) as g1, greatest(g, x) as g2)))")
+    dealt = met.select("band", meets.alias("m"), "k", "n", *words).select("band", "m.g1", "m.g2", "k", "n", *words).repartition("band", "g1", "g2").sortWithinPartitions("band", "g1", "g2")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(key: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+            number = np.cumsum(np.r_[False, (key[1:] != key[:-1]).any(axis=1)])
+            a, b = candidate_links(number, x[:, 1], x[:, 2:].view(np.uint64), least)
+            return pa.RecordBatch.from_arrays([pa.array(x[a, 0]), pa.array(x[b, 0])], names=["a", "b"])
+
+        held = np.empty((0, 5 + WORDS), np.int64)
+        for b in batches:
+            held = np.concatenate((held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], 1)))
+            over = (held[:, :3] != held[-1, :3]).any(axis=1) if len(held) else np.zeros(0, bool)
+            last = int(np.flatnonzero(over)[-1]) + 1 if over.any() else 0
+            if last:
+                yield links(held[:last, :3], np.ascontiguousarray(held[:last, 3:]))
+                held = held[last:]
+        if len(held):
+            yield links(held[:, :3], np.ascontiguousarray(held[:, 3:]))
+
+    found = connected_components(dealt.mapInArrow(compare, "a long, b long"))
     member = sketches.select("k", "n", "h").join(found, F.col("k") == F.col("node")).groupBy("k", "n", "root").agg(F.min("h").alias("h"))
     member = cut(member, "candidates")
     whole = member.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / chunk, F.sum("n") / (chunk * 400))).cast("int").alias("own"))
