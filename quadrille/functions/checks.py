@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.operators.tiles import in_tiles, tile_histogram
+
 __all__ = ["InputError", "check_window", "check_fragmentation", "check_gray", "check_spa", "check_mspa", "check_thresholds", "check_domain", "check_binary", "check_gray_cells", "check_three_class", "check_change_pair"]
 
 
@@ -68,11 +70,19 @@ def check_thresholds(thresholds: Iterable) -> list[int]:
     return out
 
 
-def check_domain(cells: DataFrame, needed: set[int], allowed: set[int]) -> None:
-    """All needed values occur and no others than the allowed: one pass, two flags a needed value."""
+def _values(cells: DataFrame) -> DataFrame:
+    """The cells, or of a raster in tiles the values that occur."""
+    if in_tiles(cells):
+        return tile_histogram(cells)
     kind = cells.schema["v"].dataType.typeName()
     if kind not in ("byte", "short", "integer", "long"):
         raise InputError(f"a raster has integer values, not {kind}")
+    return cells
+
+
+def check_domain(cells: DataFrame, needed: set[int], allowed: set[int]) -> None:
+    """All needed values occur and no others than the allowed: one pass, two flags a needed value."""
+    cells = _values(cells)
     present = [F.coalesce(F.max(F.col("v") == k), F.lit(False)).alias(f"p{k}") for k in sorted(needed)]
     row = cells.agg(F.max(~F.col("v").isin(*sorted(allowed))).alias("other"), F.max(F.col("v").isNull()).alias("nulls"), *present).first()
     if lacking := [k for k in sorted(needed) if not row[f"p{k}"]]:
@@ -91,10 +101,7 @@ def check_three_class(cells: DataFrame) -> None:
 
 def check_gray_cells(cells: DataFrame) -> None:
     """Some cell has an intensity; values below 0 are errors, those over 100 no data."""
-    kind = cells.schema["v"].dataType.typeName()
-    if kind not in ("byte", "short", "integer", "long"):
-        raise InputError(f"a raster has integer values, not {kind}")
-    row = cells.agg(F.max(F.col("v").between(1, 100)).alias("some"), F.max(F.col("v") < 0).alias("below")).first()
+    row = _values(cells).agg(F.max(F.col("v").between(1, 100)).alias("some"), F.max(F.col("v") < 0).alias("below")).first()
     if not row["some"]:
         raise InputError("no cell has a value from 1 to 100")
     if row["below"]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions.mosaic import mosaic_group
+from quadrille.operators.tiles import in_tiles, tile_histogram
 
 __all__ = ["histogram", "full_histogram", "fragmentation_stats", "gray_stats", "mosaic_stats", "mosaic_groups", "spa_stats", "mspa_stats", "change_stats", "change_histogram", "window_area", "FRAGMENTATION_CLASSES", "CHANGE_BINS"]
 
@@ -15,13 +16,15 @@ CHANGE_BINS = {"high_increase": (0, 79), "medium_increase": (80, 89), "low_incre
 
 
 def histogram(cells: DataFrame) -> DataFrame:
-    """``v, n`` of the values that occur."""
+    """``v, n`` of the values that occur, of a raster in cells or tiles."""
+    if in_tiles(cells):
+        return tile_histogram(cells)
     return cells.groupBy("v").agg(F.count("*").alias("n"))
 
 
 def full_histogram(cells: DataFrame, first: int = 0, last: int = 100) -> DataFrame:
     """``v, n, share`` of every value of a range, zeros too; share of the range's cells."""
-    h = cells.where(F.col("v").between(first, last)).groupBy(F.col("v").cast("long").alias("v")).agg(F.count("*").alias("n"))
+    h = histogram(cells).where(F.col("v").between(first, last)).select(F.col("v").cast("long").alias("v"), "n")
     every = cells.sparkSession.range(first, last + 1).select(F.col("id").alias("v"))
     out = every.join(F.broadcast(h), "v", "left").select("v", F.coalesce("n", F.lit(0)).alias("n"))
     total = h.agg(F.sum("n").alias("total"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["ABSENT", "TILE", "to_tiles", "from_tiles", "map_tiles", "TILE_SCHEMA"]
+__all__ = ["ABSENT", "TILE", "in_tiles", "to_tiles", "from_tiles", "tile_histogram", "map_values", "map_tiles", "TILE_SCHEMA"]
 
 TILE = 512
 #: A cell that isn't in the raster, in byte arrays.
@@ -29,8 +29,15 @@ def _dense(rows: np.ndarray, cols: np.ndarray, v: np.ndarray, r0: int, c0: int,
     return a
 
 
+def in_tiles(raster: DataFrame) -> bool:
+    """Whether a raster is in tiles already."""
+    return "data" in raster.columns
+
+
 def to_tiles(cells: DataFrame, tile: int = TILE) -> DataFrame:
-    """Cells to tiles; values are 0 to 254. A cell stands once."""
+    """Cells to tiles; values are 0 to 254. A cell stands once. A raster in tiles stays as it is, whatever their size."""
+    if in_tiles(cells):
+        return cells
     keyed = cells.select("row", "col", F.col("v").cast("int").alias("v"), F.floor(F.col("row") / tile).cast("int").alias("tr"), F.floor(F.col("col") / tile).cast("int").alias("tc"))
 
     def pack(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
@@ -55,12 +62,39 @@ def from_tiles(tiles: DataFrame) -> DataFrame:
     return tiles.mapInArrow(unpack, "row int, col int, v short")
 
 
+def tile_histogram(tiles: DataFrame) -> DataFrame:
+    """``v, n`` of the values that occur: a count of bytes a batch, and their sums."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(256, np.int64)
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                n += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+        v = np.flatnonzero(n[:ABSENT])
+        yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int16)), pa.array(n[v])], names=["v", "n"])
+
+    return tiles.select("data").mapInArrow(count, "v short, n long").groupBy("v").agg(F.sum("n").alias("n"))
+
+
+def map_values(tiles: DataFrame, lut: np.ndarray) -> DataFrame:
+    """Tiles with each value looked up in a table of 256 bytes; cells that aren't there stay so."""
+    lut = lut.astype(np.uint8)
+    lut[ABSENT] = ABSENT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [lut[np.frombuffer(x, np.uint8)].tobytes() for x in b.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tr", "tc", "r0", "c0", "h", "w")), pa.array(data, pa.binary())], names=["tr", "tc", "r0", "c0", "h", "w", "data"])
+
+    return tiles.select("tr", "tc", "r0", "c0", "h", "w", "data").mapInArrow(run, TILE_SCHEMA)
+
+
 def map_tiles(tiles: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], halo: int, dtype: type = np.uint8, absent: int = ABSENT) -> DataFrame:
     """Apply ``kernel`` to every tile with ``halo`` cells around it; tiles in, tiles out.
 
     The kernel gets an array of ``(h + 2 halo, w + 2 halo)``, ``absent`` outside the raster, and
-    returns one of ``(h, w)``; cells that are ABSENT stay so. Each tile sends the strips that others need, not itself whole:
-    one shuffle, of about ``1 + 4 halo / tile`` times the raster. Tiles must be on a regular
+    returns one of ``(h, w)``; cells that are ABSENT stay so. Each tile sends itself to its own place
+    and strips to its neighbours': one shuffle, of about ``1 + 4 halo / tile`` times the raster. Tiles must be on a regular
     grid and no smaller than the halo.
     """
 
@@ -98,4 +132,6 @@ def map_tiles(tiles: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], halo
         return pd.DataFrame({"tr": [key[0]], "tc": [key[1]], "r0": [r0], "c0": [c0], "h": [h], "w": [w], "data": [out.tobytes()]})
 
     sent = tiles.mapInArrow(send, "tr int, tc int, own boolean, r0 int, c0 int, h int, w int, data binary")
-    return sent.groupBy("tr", "tc").applyInPandas(run, TILE_SCHEMA)
+    # a tile is few bytes and much work: as many tasks as the session asks for, not as few as the bytes fill
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(parts, "tr", "tc").groupBy("tr", "tc").applyInPandas(run, TILE_SCHEMA)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.checks import check_fragmentation, check_gray, check_window
 from quadrille.functions.mosaic import mosaic_code, mosaic_codes
-from quadrille.operators.tiles import ABSENT, TILE, from_tiles, map_tiles, to_tiles
+from quadrille.operators.tiles import ABSENT, TILE, from_tiles, in_tiles, map_tiles, map_values, to_tiles
 
 __all__ = ["fragmentation", "fragmentation_gray", "mosaic", "kernel_fragmentation", "kernel_gray", "kernel_mosaic"]
 
@@ -86,12 +86,14 @@ def fragmentation(cells: DataFrame, method: str, window: int, connectivity: int
     nor 4; FAC the share of neighbour pairs that are both foreground; FED the same with half a
     pair for one foreground cell. 101 background, 102 missing or nothing to count, 105 and 106
     the special classes. ``fixed``: the denominator is that of a whole window. Windows are
-    clamped at the raster's edge. Returns ``row, col, v``.
+    clamped at the raster's edge. Returns ``row, col, v``. Forms, here and below: ``cell`` by window
+    aggregates of Spark, ``tile`` by summed areas of tiles, ``tiles`` the same with a result in tiles.
+    The latter two also take a raster in tiles.
     """
     check_fragmentation(method, window, connectivity)
     r = window // 2
-    if form == "tile":
-        return from_tiles(map_tiles(to_tiles(cells, tile), kernel_fragmentation(method, window, connectivity, fixed), r))
+    if form != "cell":
+        return _shown(map_tiles(to_tiles(cells, tile), kernel_fragmentation(method, window, connectivity, fixed), r), form)
     v = F.col("v")
     cells = cells.select("row", "col", "v")
     if method == "FAD":
@@ -121,9 +123,12 @@ def fragmentation_gray(cells: DataFrame, method: str, window: int, threshold: in
     """
     method = check_gray(method, window, threshold, connectivity)
     r = window // 2
-    cells = cells.select("row", "col", F.when(F.col("v").between(0, 100), F.col("v")).otherwise(101).cast("short").alias("v"))
-    if form == "tile":
-        return from_tiles(map_tiles(to_tiles(cells, tile), kernel_gray(method, window, threshold, connectivity, fixed), r))
+    if in_tiles(cells):
+        cells = map_values(cells, np.minimum(np.arange(256), 101))
+    else:
+        cells = cells.select("row", "col", F.when(F.col("v").between(0, 100), F.col("v")).otherwise(101).cast("short").alias("v"))
+    if form != "cell":
+        return _shown(map_tiles(to_tiles(cells, tile), kernel_gray(method, window, threshold, connectivity, fixed), r), form)
     v = F.col("v")
     if method == "FAD":
         whole = ((-r, r), (-r, r))
@@ -149,13 +154,17 @@ def mosaic(cells: DataFrame, window: int, form: str = "cell", tile: int = TILE)
     """
     check_window(window)
     r = window // 2
-    if form == "tile":
-        return from_tiles(map_tiles(to_tiles(cells, tile), kernel_mosaic(window), r))
+    if form != "cell":
+        return _shown(map_tiles(to_tiles(cells, tile), kernel_mosaic(window), r), form)
     whole = ((-r, r), (-r, r))
     x = rectangle_sums(cells.select("row", "col", "v"), {f"n{k}": ((F.col("v") == k).cast("int"), *whole) for k in (1, 2, 3)})
     return x.select("row", "col", F.when(F.col("v") == 0, 0).otherwise(mosaic_code(F.col("n1"), F.col("n2"), F.col("n3"))).cast("short").alias("v"))
 
 
+def _shown(tiles: DataFrame, form: str) -> DataFrame:
+    return tiles if form == "tiles" else from_tiles(tiles)
+
+
 # tile form ---------------------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quadrille.functions.mosaic import _TABLE, GROUPS, PURE
 from quadrille.functions.statistics import CHANGE_BINS, FRAGMENTATION_CLASSES, SPA_CODES
-from quadrille.operators.change import CLASS_GROUPS
+from quadrille.operators.change import CLASS_GROUPS, LAND_GROUPS
 from quadrille.operators.morphology import disc
 from quadrille.operators.patches import SIZE_CODES
 from quadrille.operators.window import pair_frames, pairs_possible
@@ -137,8 +137,19 @@ def change_stats() -> str:
         {s('a <= 100', 'a_total', 'a * n')}, {s('b <= 100', 'b_total', 'b * n')} from t)""")
 
 
-def change_matrix() -> str:
-    g = lambda c: "case " + " ".join(f"when {c} in ({', '.join(map(str, v))}) then '{k}'" for k, v in CLASS_GROUPS.items()) + " end"
+def change_differences() -> str:
+    part = lambda d, w: f"(select sum({d} * n) from t where {d} <= 100) / nullif((select sum(n) from t where {w}), 0)"
+    means = ", ".join(f"coalesce({part(d, w.format(d))}, 0.0) as {d}_{n}" for d in "ab" for n, w in (("fad_av", "{0} <= 100"), ("avcon", "{0} <= 101 or {0} in (105, 106)")))
+    show = ", ".join(f"round(a_{n}, 6) as a_{n}, round(b_{n}, 6) as b_{n}, round(b_{n} - a_{n}, 6) as {n}_difference, round(case when a_{n} > 0 then (b_{n} - a_{n}) / a_{n} else 0.0 end, 6) as {n}_relative" for n in ("fad_av", "avcon"))
+    return change(f"select {show} from (select {means})")
+
+
+def mosaic_table(lm: str) -> str:
+    return f"with r as ({lm}), h as (select v::bigint as pixel_value, count(*) as pixel_count from r where v > 0 group by 1) select *, printf('%.6f', (100 * pixel_count)::double / (select sum(pixel_count) from h)) as foreground_proportion from h"
+
+
+def change_matrix(groups: dict = CLASS_GROUPS) -> str:
+    g = lambda c: "case " + " ".join(f"when {c} in ({', '.join(map(str, v))}) then '{k}'" for k, v in groups.items()) + " end"
     return change(f"select coalesce(ga, 'total') as ga, coalesce(gb, 'total') as gb, sum(n)::bigint as n from (select {g('a')} as ga, {g('b')} as gb, n from t) where ga is not null and gb is not null group by cube (ga, gb)")
 
 
@@ -250,7 +261,10 @@ def oracle_sql() -> dict[str, str]:
     out["change_map"] = change(f'select "row", col, ({CHANGE_CASE})::smallint as v from j')
     out["change_crosstab"] = change("select a, b, n from t")
     out["change_matrix"] = change_matrix()
+    out["change_land"] = change_matrix(LAND_GROUPS)
     out["change_stats"] = change_stats()
+    out["change_differences"] = change_differences()
+    out["mosaic_table"] = mosaic_table(lm)
     h = histogram(out["change_map"], 200)
     out["change_histogram"] = f"select v, n, 100 - v as delta, round(coalesce(share, 0.0) * 100.0, 6) as pct from ({h})"
     out |= {"acc_map": acc_map(), "acc_stats": acc_stats(), "rss": rss()}

@@ -14,7 +14,7 @@ from quadrille.operators import morphology as mo
 from quadrille.operators import patches as pt
 from quadrille.operators import window as wi
 from quadrille.operators import zonal as zo
-from quadrille.plans import oracle
+from quadrille.plans import oracle, report
 from quadrille.sources.virtual import raster
 
 __all__ = ["queries", "oracle_sql", "zones"]
@@ -37,7 +37,7 @@ def _gray(method: str, conn: int = 4, window: int = 9, threshold: int = 30, fixe
 
 
 def _pair(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return wi.fragmentation(raster(s, d, "fmap"), "FAD", 7), wi.fragmentation(raster(s, d, "fmap2"), "FAD", 7)
+    return wi.fragmentation(raster(s, d, "fmap"), "FAD", 7, form="tile"), wi.fragmentation(raster(s, d, "fmap2"), "FAD", 7, form="tile")
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +65,8 @@ QUERIES: dict[str, Query] = {
     "frag_fad_tiles": _frag("FAD", form="tile"),
     "frag_fac8_tiles": _frag("FAC", 8, form="tile"),
     "frag_fed8_tiles": _frag("FED", 8, form="tile"),
-    "frag_histogram": lambda s, d: rounded(st.full_histogram(_frag("FAD")(s, d))),
-    "frag_stats": lambda s, d: rounded(st.fragmentation_stats(_frag("FAC", 8)(s, d))),
+    "frag_histogram": lambda s, d: rounded(st.full_histogram(_frag("FAD", form="tiles")(s, d))),
+    "frag_stats": lambda s, d: rounded(st.fragmentation_stats(_frag("FAC", 8, form="tiles")(s, d))),
     "gray_fad": _gray("FAD"),
     "gray_fac4": _gray("FAC", 4),
     "gray_fac8": _gray("FAC", 8),
@@ -75,16 +75,19 @@ QUERIES: dict[str, Query] = {
     "gray_fad_fixed": _gray("FAD", fixed=True),
     "gray_fac8_fixed": _gray("FAC", 8, fixed=True),
     "gray_fed8_tiles": _gray("FED", 8, form="tile"),
-    "gray_stats": lambda s, d: rounded(st.gray_stats(raster(s, d, "gmap"), _gray("FAD")(s, d))),
+    "gray_stats": lambda s, d: rounded(st.gray_stats(raster(s, d, "gmap"), _gray("FAD", form="tiles")(s, d))),
     "mosaic_103": lambda s, d: wi.mosaic(raster(s, d, "lmap"), 7),
     "mosaic_103_tiles": lambda s, d: wi.mosaic(raster(s, d, "lmap"), 7, "tile"),
     "mosaic_19": _mosaic19,
-    "mosaic_groups": lambda s, d: rounded(st.mosaic_groups(wi.mosaic(raster(s, d, "lmap"), 7))),
-    "mosaic_stats": lambda s, d: rounded(st.mosaic_stats(wi.mosaic(raster(s, d, "lmap"), 7))),
+    "mosaic_groups": lambda s, d: rounded(st.mosaic_groups(wi.mosaic(raster(s, d, "lmap"), 7, "tiles"))),
+    "mosaic_stats": lambda s, d: rounded(st.mosaic_stats(wi.mosaic(raster(s, d, "lmap"), 7, "tiles"))),
+    "mosaic_table": lambda s, d: report.mosaic_table(wi.mosaic(raster(s, d, "lmap"), 7, "tiles")),
     "change_map": lambda s, d: ch.change(*_pair(s, d)),
     "change_crosstab": lambda s, d: ch.crosstab(*_pair(s, d)),
     "change_matrix": lambda s, d: ch.aggregate_matrix(ch.crosstab(*_pair(s, d)), ch.CLASS_GROUPS),
+    "change_land": lambda s, d: ch.aggregate_matrix(ch.crosstab(*_pair(s, d)), ch.LAND_GROUPS),
     "change_stats": lambda s, d: rounded(st.change_stats(ch.crosstab(*_pair(s, d)))),
+    "change_differences": lambda s, d: rounded(st.change_differences(ch.crosstab(*_pair(s, d)))),
     "change_histogram": lambda s, d: rounded(st.change_histogram(ch.change(*_pair(s, d)))),
     "acc_map": lambda s, d: pt.accounting(raster(s, d, "pmap"), [2, 10, 50]),
     "acc_stats": lambda s, d: rounded(pt.accounting_stats(raster(s, d, "pmap"), [2, 10, 50])),

@@ -20,10 +20,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from quadrille.functions.checks import InputError
-from quadrille.operators.tiles import ABSENT, to_tiles
+from quadrille.operators.tiles import ABSENT, TILE_SCHEMA, from_tiles, in_tiles, to_tiles
 from quadrille.session import cut
 
-__all__ = ["Header", "read_header", "GeoTiffDataSource", "read_geotiff", "write_geotiff", "write_clips", "lzw_decode", "lzw_encode"]
+__all__ = ["Header", "read_header", "GeoTiffDataSource", "read_geotiff", "read_tiles", "write_geotiff", "write_clips", "lzw_decode", "lzw_encode"]
 
 #: TIFF field types: struct code and size.
 KINDS = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 7: ("B", 1), 8: ("h", 2), 9: ("i", 4), 10: ("ii", 8), 11: ("f", 4), 12: ("d", 8), 13: ("I", 4), 16: ("Q", 8), 17: ("q", 8), 18: ("Q", 8)}
@@ -218,7 +218,8 @@ def decode_block(h: Header, raw: bytes, rows: int) -> np.ndarray:
 
 
 class GeoTiffDataSource(DataSource):
-    """``spark.read.format("geotiff").load(path)``: a row per pixel of the first band.
+    """``spark.read.format("geotiff").load(path)``: a row per pixel of the first band; with option
+    ``form`` "tiles" a row per block of a tiled file, as in :mod:`quadrille.operators.tiles`.
 
     A partition is a run of whole blocks of about four million pixels, so tasks read disjoint
     parts of the file and none holds more than its blocks, one at a time.
@@ -229,15 +230,17 @@ class GeoTiffDataSource(DataSource):
         return "geotiff"
 
     def schema(self) -> str:
-        return "row int, col int, v int"
+        return TILE_SCHEMA if self.options.get("form") == "tiles" else "row int, col int, v int"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], self.options.get("form") == "tiles")
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path, self.header = path, read_header(path)
+    def __init__(self, path: str, tiles: bool) -> None:
+        self.path, self.header, self.tiles = path, read_header(path), tiles
+        if tiles and not self.header.tiled:
+            raise InputError(f"{path} is not in tiles")
         if not self.header.dtype.startswith(("int", "uint")) or self.header.dtype[-1] not in "8624":
             raise InputError(f"a raster has integer values, not {self.header.dtype}")
 
@@ -254,11 +257,26 @@ class _Reader(DataSourceReader):
                 rows = min(h.block[0], h.rows - r0)
                 f.seek(h.offsets[k])
                 a = decode_block(h, f.read(h.counts[k]), h.block[0] if h.tiled else rows)[:rows, : h.cols - c0]
+                if self.tiles:  # whole blocks; what is no byte from 0 to 254 becomes 254
+                    whole = np.full(h.block, ABSENT, np.uint8)
+                    whole[: a.shape[0], : a.shape[1]] = np.where((a < 0) | (a > 254), 254, a)
+                    ints = (k // h.across, k % h.across, r0, c0, *h.block)
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int32()) for x in ints), pa.array([whole.tobytes()], pa.binary())], names=["tr", "tc", "r0", "c0", "h", "w", "data"])
+                    continue
                 row = np.repeat(np.arange(r0, r0 + a.shape[0], dtype=np.int32), a.shape[1])
                 col = np.tile(np.arange(c0, c0 + a.shape[1], dtype=np.int32), a.shape[0])
                 yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(col), pa.array(a.ravel().astype(np.int32))], names=["row", "col", "v"])
 
 
+def read_tiles(spark: SparkSession, path: str, least: int = 64) -> DataFrame | None:
+    """The blocks of a file as tiles; None where it has no square blocks of at least ``least`` cells a side."""
+    h = read_header(path)
+    if not h.tiled or h.block[0] != h.block[1] or h.block[0] < least:
+        return None
+    spark.dataSource.register(GeoTiffDataSource)
+    return spark.read.format("geotiff").option("form", "tiles").load(path)
+
+
 def read_geotiff(spark: SparkSession, path: str) -> tuple[DataFrame, Header]:
     spark.dataSource.register(GeoTiffDataSource)
     return spark.read.format("geotiff").load(path), read_header(path)
@@ -312,7 +330,7 @@ def _directory(header: Header, counts: np.ndarray, tile: int, code: int) -> byte
 
 
 def write_geotiff(cells: DataFrame, path: str, header: Header, tile: int = 256, compression: str = "deflate") -> None:
-    """Write byte-valued cells as a tiled file; cells that aren't there get ``header.nodata`` or 0.
+    """Write byte-valued cells, or tiles, as a tiled file; cells that aren't there get ``header.nodata`` or 0.
 
     Blocks are encoded by the tasks and written to the shared folder. The driver gets their
     lengths, writes the directory, and passes the blocks on one after the other. BigTIFF where
@@ -328,7 +346,9 @@ def write_geotiff(cells: DataFrame, path: str, header: Header, tile: int = 256,
             k = np.array(b.column("tr").to_pylist(), np.int64) * across + np.array(b.column("tc").to_pylist(), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.binary())], names=["k", "n", "block"])
 
-    inside = cells.where(f"row between 0 and {header.rows - 1} and col between 0 and {header.cols - 1} and v is not null")
+    if in_tiles(cells) and cells.select("h").first() != (tile,):
+        cells = from_tiles(cells)
+    inside = cells if in_tiles(cells) else cells.where(f"row between 0 and {header.rows - 1} and col between 0 and {header.cols - 1} and v is not null")
     blocks = cut(to_tiles(inside, tile).mapInArrow(run, "k long, n long, block binary"), "blocks")
     blank = encode_block(np.full((tile, tile), fill, np.uint8), code)
     counts = np.full(down * across, len(blank), np.int64)

@@ -13,33 +13,42 @@ import warnings
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.functions import checks
 from quadrille.functions import statistics as st
-from quadrille.functions.mosaic import GROUP_NAMES, mosaic_group
+from quadrille.functions.mosaic import GROUP_NAMES, GROUPS, group_of, mosaic_group
 from quadrille.functions.palettes import SCHEMES, palette
 from quadrille.operators import change as ch
 from quadrille.operators import morphology as mo
 from quadrille.operators import patches as pt
 from quadrille.operators import window as wi
 from quadrille.operators import zonal as zo
+from quadrille.operators.tiles import from_tiles, in_tiles, map_values
 from quadrille.plans import report
 from quadrille.session import cut
-from quadrille.sources.geotiff import Header, read_geotiff, write_clips, write_geotiff
+from quadrille.sources.geotiff import Header, read_geotiff, read_tiles, write_clips, write_geotiff
 from quadrille.sources.vector import read_polygons, vector_crs
 
 __all__ = ["Raster", "Result", "frag", "frag_stats", "frag_gray", "frag_gray_stats", "frag_change", "landmos", "landmos_stats", "spa", "spa_stats", "mspa", "mspa_stats", "acc", "acc_stats", "rss", "extract_by_polygon", "info", "citation", "get_tif_colormap"]
 
 @dataclass
 class Raster:
-    """Cells ``row, col, v`` and what is known of the grid. ``tag``: how a result was made."""
+    """Cells ``row, col, v`` and what is known of the grid. ``tag``: how a result was made; ``tiles``:
+    the same raster in tiles, where it comes in them."""
 
     cells: DataFrame
     header: Header
     name: str = "raster"
     tag: dict[str, object] | None = None
+    tiles: DataFrame | None = None
+
+    @property
+    def data(self) -> DataFrame:
+        """The tiles, or else the cells."""
+        return self.cells if self.tiles is None else self.tiles
 
     @classmethod
     def open(cls, path: str, spark: SparkSession | None = None) -> Raster:
@@ -47,7 +56,7 @@ class Raster:
         cells, h = read_geotiff(spark, path)
         if h.epsg is None:
             warnings.warn(f"{path} has no projection; areas are in pixels", UserWarning, stacklevel=2)
-        return cls(cells, h, os.path.splitext(os.path.basename(path))[0], report.parse_tag(h.description))
+        return cls(cells, h, os.path.splitext(os.path.basename(path))[0], report.parse_tag(h.description), read_tiles(spark, path))
 
     def facts(self) -> dict[str, object]:
         """What two rasters must share to be compared."""
@@ -84,7 +93,16 @@ def _made(src: Raster, cells: DataFrame, name: str, tool: str, nodata: int | Non
     """The raster that a tool makes, as a table: the file, the statistics and the tables read it, and none makes it anew."""
     tag = report.make_tag(tool, **values)
     h = replace(src.header, dtype="uint8", bands=1, nodata=nodata, description=tag, software="quadrille", colormap=palette(scheme or tool))
-    return Raster(cut(cells, name), h, name, report.parse_tag(tag))
+    made = cut(cells, name)
+    return Raster(from_tiles(made) if in_tiles(made) else made, h, name, report.parse_tag(tag), made if in_tiles(made) else None)
+
+
+def _source(src: Raster, form: str, window: int) -> tuple[DataFrame, str]:
+    """What a moving window reads, and its form: tiles all the way where the file's are large enough for the halo."""
+    if form != "tile":
+        return src.cells, form
+    wide = src.tiles is not None and window // 2 <= src.header.block[0]
+    return src.tiles if wide else src.cells, "tiles"
 
 
 def _input(x: Raster, *sources: Raster | str | None) -> dict[str, object]:
@@ -101,7 +119,7 @@ def _finish(out: Raster | None, name: str, title: str, began: float, outdir: str
     if outdir is not None:
         base = os.path.join(outdir, name)
         if out is not None:
-            write_geotiff(out.cells, f"{base}.tif", out.header)
+            write_geotiff(out.data, f"{base}.tif", out.header)
             files["tif"] = f"{base}.tif"
         if stats is not None and tables is not None:
             for k, t in tables.items():
@@ -136,16 +154,17 @@ def frag(source: Raster | str, method: str, window_size: int, connectivity: int
     checks.check_fragmentation(method, window_size, connectivity)
     _folder(outdir)
     src = _raster(source)
-    checks.check_binary(src.cells, special=True)
+    checks.check_binary(src.data, special=True)
     name = f"{src.name}_frag_{method}{connectivity if method != 'FAD' else ''}_{window_size}"
-    cells = wi.fragmentation(src.cells, method, window_size, connectivity, form=form)
+    own, form = _source(src, form, window_size)
+    cells = wi.fragmentation(own, method, window_size, connectivity, form=form)
     out = _made(src, cells, name, "frag", kind="Binary", threshold=-1, connectivity=connectivity, method=f"{method}_5", pixel=src.header.res_x, window=window_size)
-    return _finish(out, name, f"Fragmentation {method}", began, outdir, _frag_sections(out, src) if statists else None, {"histogram": report.fragmentation_table(out.cells)} if stat_files else None)
+    return _finish(out, name, f"Fragmentation {method}", began, outdir, _frag_sections(out, src) if statists else None, {"histogram": report.fragmentation_table(out.data)} if stat_files else None)
 
 
 def _frag_sections(x: Raster, source: Raster | str | None) -> dict:
     t = x.tag
-    return {"Input": _input(x, source), "Parameters": {**{k: v for k, v in t.items() if k != "tool"}, **_area(x, int(t["window"]))}, "Statistics": _row(st.fragmentation_stats(x.cells))}
+    return {"Input": _input(x, source), "Parameters": {**{k: v for k, v in t.items() if k != "tool"}, **_area(x, int(t["window"]))}, "Statistics": _row(st.fragmentation_stats(x.data))}
 
 
 def frag_stats(result: Raster | str, outdir: str | None = None, stat_files: bool = True, source: Raster | str | None = None) -> Result:
@@ -153,7 +172,7 @@ def frag_stats(result: Raster | str, outdir: str | None = None, stat_files: bool
     and in all ``*_stats``: the raster that the result was made from, for the report."""
     began, x = time.monotonic(), _raster(result)
     _wanted(x, "frag", "Binary")
-    return _finish(None, x.name, "Fragmentation", began, outdir, _frag_sections(x, source), {"histogram": report.fragmentation_table(x.cells)} if stat_files else None)
+    return _finish(None, x.name, "Fragmentation", began, outdir, _frag_sections(x, source), {"histogram": report.fragmentation_table(x.data)} if stat_files else None)
 
 
 def frag_gray(source: Raster | str, method: str, window_size: int, for_threshold: int, connectivity: int = 4, outdir: str | None = None, statists: bool = True, stat_files: bool = True, form: str = "tile") -> Result:
@@ -162,23 +181,24 @@ def frag_gray(source: Raster | str, method: str, window_size: int, for_threshold
     method = checks.check_gray(method, window_size, for_threshold, connectivity)
     _folder(outdir)
     src = _raster(source)
-    checks.check_gray_cells(src.cells)
+    checks.check_gray_cells(src.data)
     name = f"{src.name}_frag_{method}{connectivity if method != 'FAD' else ''}_{window_size}_t{for_threshold}"
-    cells = wi.fragmentation_gray(src.cells, method, window_size, for_threshold, connectivity, form=form)
+    own, form = _source(src, form, window_size)
+    cells = wi.fragmentation_gray(own, method, window_size, for_threshold, connectivity, form=form)
     out = _made(src, cells, name, "frag", kind="Gray", threshold=for_threshold, connectivity=connectivity, method=f"{method}_5", pixel=src.header.res_x, window=window_size)
-    return _finish(out, name, f"Grayscale fragmentation {method}", began, outdir, _gray_sections(out, src) if statists else None, {"histogram": report.fragmentation_table(out.cells)} if stat_files else None)
+    return _finish(out, name, f"Grayscale fragmentation {method}", began, outdir, _gray_sections(out, src) if statists else None, {"histogram": report.fragmentation_table(out.data)} if stat_files else None)
 
 
 def _gray_sections(x: Raster, source: Raster | str | None) -> dict:
     out = _frag_sections(x, source)
-    return out if source is None else out | {"Statistics": _row(st.gray_stats(_raster(source).cells, x.cells))}
+    return out if source is None else out | {"Statistics": _row(st.gray_stats(_raster(source).data, x.data))}
 
 
 def frag_gray_stats(result: Raster | str, outdir: str | None = None, stat_files: bool = True, source: Raster | str | None = None) -> Result:
     """Statistics of a result of :func:`frag_gray`; counts of the input need its ``source``."""
     began, x = time.monotonic(), _raster(result)
     _wanted(x, "frag", "Gray")
-    return _finish(None, x.name, "Grayscale fragmentation", began, outdir, _gray_sections(x, source), {"histogram": report.fragmentation_table(x.cells)} if stat_files else None)
+    return _finish(None, x.name, "Grayscale fragmentation", began, outdir, _gray_sections(x, source), {"histogram": report.fragmentation_table(x.data)} if stat_files else None)
 
 
 def frag_change(before: Raster | str, after: Raster | str, outdir: str | None = None, statists: bool = True, stat_files: bool = True) -> Result:
@@ -195,7 +215,7 @@ def frag_change(before: Raster | str, after: Raster | str, outdir: str | None =
     if statists:
         matrix = lambda g: {f"{r.ga} to {r.gb}": r.n for r in ch.aggregate_matrix(tab, g).collect()}  # noqa: E731  at most 49 rows
         stats = {"Input": _input(out, a, b), "Parameters": tag, "Statistics": _row(st.change_stats(tab)), "Connectivity indices": _row(st.change_differences(tab)), "Land": matrix(ch.LAND_GROUPS), "Classes": matrix(ch.CLASS_GROUPS)}
-    return _finish(out, name, "Fragmentation change", began, outdir, stats, {"histogram": report.change_table(out.cells)} if stat_files else None)
+    return _finish(out, name, "Fragmentation change", began, outdir, stats, {"histogram": report.change_table(out.data)} if stat_files else None)
 
 
 # mosaic -----------------------------------------------------------------------------------
@@ -209,27 +229,28 @@ def landmos(source: Raster | str, window_size: int, outdir: str | None = None, s
         raise checks.InputError(f"{out_colors!r} is not a colour scheme")
     _folder(outdir)
     src = _raster(source)
-    checks.check_three_class(src.cells)
+    checks.check_three_class(src.data)
     name = f"{src.name}_lm_{window_size}"
-    out = _made(src, wi.mosaic(src.cells, window_size, form), name, "mosaic", 0, f"mosaic_{out_colors}", window=window_size, colors=out_colors)
+    own, form = _source(src, form, window_size)
+    out = _made(src, wi.mosaic(own, window_size, form), name, "mosaic", 0, f"mosaic_{out_colors}", window=window_size, colors=out_colors)
     r = _finish(out, name, "Landscape mosaic", began, outdir, _mosaic_sections(out, src) if statists else None, _mosaic_tables(out) if stat_files else None)
     if outdir is not None:
-        groups = out.cells.select("row", "col", mosaic_group(F.col("v")).cast("short").alias("v"))
+        groups = map_values(out.tiles, np.array([group_of(v) if v in GROUPS else 0 for v in range(256)])) if out.tiles is not None else out.cells.select("row", "col", mosaic_group(F.col("v")).cast("short").alias("v"))
         r.files["tif_groups"] = os.path.join(outdir, f"{name}_groups.tif")
         write_geotiff(groups, r.files["tif_groups"], replace(out.header, description=report.make_tag("mosaic", window=window_size, colors="-"), colormap=palette("mosaic_groups")))
         if statists and stat_files:
             r.files["heatmap"] = os.path.join(outdir, f"{name}_heatmap.csv")
-            report.write_heatmap(out.cells, r.files["heatmap"], window_size)
+            report.write_heatmap(out.data, r.files["heatmap"], window_size)
     return r
 
 
 def _mosaic_sections(x: Raster, source: Raster | str | None) -> dict:
-    groups = {GROUP_NAMES.get(r.grp, "-"): r.pct for r in st.mosaic_groups(x.cells).orderBy("grp").collect()}  # at most 19 rows
-    return {"Input": _input(x, source), "Parameters": _area(x, int(x.tag["window"])) | {"window": x.tag["window"]}, "Statistics": _row(st.mosaic_stats(x.cells)), "Groups": groups}
+    groups = {GROUP_NAMES.get(r.grp, "-"): r.pct for r in st.mosaic_groups(x.data).orderBy("grp").collect()}  # at most 19 rows
+    return {"Input": _input(x, source), "Parameters": _area(x, int(x.tag["window"])) | {"window": x.tag["window"]}, "Statistics": _row(st.mosaic_stats(x.data)), "Groups": groups}
 
 
 def _mosaic_tables(x: Raster) -> dict[str, DataFrame]:
-    return {"histogram": report.mosaic_table(x.cells), "triangle": report.ternary_table(x.cells)}
+    return {"histogram": report.mosaic_table(x.data), "triangle": report.ternary_table(x.data)}
 
 
 def landmos_stats(result: Raster | str, outdir: str | None = None, stat_files: bool = True, source: Raster | str | None = None) -> Result:
@@ -253,16 +274,16 @@ def spa(source: Raster | str, edge_width: int, classes: int = 6, outdir: str | N
     checks.check_spa(edge_width, classes)
     _folder(outdir)
     src = _raster(source)
-    checks.check_binary(src.cells)
+    checks.check_binary(src.data)
     name = f"{src.name}_spa_{edge_width}_{classes}"
     out = _made(src, mo.spa(src.cells, edge_width, classes), name, "spa", 129, edge=edge_width, classes=classes)
-    return _finish(out, name, "Simplified pattern analysis", began, outdir, _plain(out, st.spa_stats(out.cells), src) if statists else None, {} if stat_files else None)
+    return _finish(out, name, "Simplified pattern analysis", began, outdir, _plain(out, st.spa_stats(out.data), src) if statists else None, {} if stat_files else None)
 
 
 def spa_stats(result: Raster | str, outdir: str | None = None, stat_files: bool = True, source: Raster | str | None = None) -> Result:
     began, x = time.monotonic(), _raster(result)
     _wanted(x, "spa")
-    return _finish(None, x.name, "Simplified pattern analysis", began, outdir, _plain(x, st.spa_stats(x.cells), source), {} if stat_files else None)
+    return _finish(None, x.name, "Simplified pattern analysis", began, outdir, _plain(x, st.spa_stats(x.data), source), {} if stat_files else None)
 
 
 def mspa(source: Raster | str, connectivity: int = 8, edge_width: int = 1, transition: bool = True, intext: bool = True, outdir: str | None = None, statists: bool = True, stat_files: bool = True) -> Result:
@@ -272,17 +293,17 @@ def mspa(source: Raster | str, connectivity: int = 8, edge_width: int = 1, trans
     checks.check_mspa(connectivity, edge_width)
     _folder(outdir)
     src = _raster(source)
-    checks.check_binary(src.cells)
+    checks.check_binary(src.data)
     name = f"{src.name}_{connectivity}_{edge_width}_{int(transition)}_{int(intext)}"
     out = _made(src, mo.mspa(src.cells, connectivity, edge_width, intext), name, "mspa", 129, "mspa" if transition else "mspa_plain", connectivity=connectivity, edge=edge_width, transition=transition, intext=intext)
     return _finish(out, name, "Morphological spatial pattern analysis", began, outdir, _mspa_sections(out, src) if statists else None, {} if stat_files else None)
 
 
 def _mspa_sections(x: Raster, source: Raster | str | None) -> dict:
-    n = {r.v: r.n for r in st.histogram(x.cells).collect()}  # at most 256 rows
+    n = {r.v: r.n for r in st.histogram(x.data).collect()}  # at most 256 rows
     every = {k: {f"{name} ({c + add})": n.get(c + add, 0) for name, c in st.MSPA_CODES.items()} for k, add in (("External", 0), ("Internal", 100))}
     ground = {f"{name} ({c})": n.get(c, 0) for name, c in (("Background", 0), ("Border-Opening", 220), ("Core-Opening", 100), ("Missing data", 129))}
-    return _plain(x, st.mspa_stats(x.cells), source) | every | {"Background": ground}
+    return _plain(x, st.mspa_stats(x.data), source) | every | {"Background": ground}
 
 
 def mspa_stats(result: Raster | str, outdir: str | None = None, stat_files: bool = True, source: Raster | str | None = None) -> Result:
@@ -296,7 +317,7 @@ def acc(source: Raster | str, thresholds: Iterable[int], outdir: str | None = No
     began, t = time.monotonic(), checks.check_thresholds(thresholds)
     _folder(outdir)
     src = _raster(source)
-    checks.check_binary(src.cells, special=True)
+    checks.check_binary(src.data, special=True)
     name = f"{src.name}_acc_{'_'.join(map(str, t))}"
     out = _made(src, pt.accounting(src.cells, t), name, "acc", 129, thresholds=t)
     stats = None
@@ -310,7 +331,7 @@ def acc_stats(result: Raster | str, outdir: str | None = None, stat_files: bool
     """Cells by size class of a result of :func:`acc`; it has no patches any more, so their counts are None."""
     began, x = time.monotonic(), _raster(result)
     t = _wanted(x, "acc")["thresholds"]
-    n = {r.v: r.n for r in st.histogram(x.cells).collect()}  # at most 256 rows
+    n = {r.v: r.n for r in st.histogram(x.data).collect()}  # at most 256 rows
     codes = pt.SIZE_CODES[: len(t) + 1]
     total = sum(n.get(c, 0) for c in codes)
     stats = {"Input": _input(x, source), "Parameters": {"thresholds": t}, **{f"Size class {i}": {"code": c, "patches": None, "cells": n.get(c, 0), "cells_pct": 100 * n.get(c, 0) / total if total else 0.0} for i, c in enumerate(codes)}}
@@ -321,7 +342,7 @@ def rss(source: Raster | str, outdir: str | None = None, stat_files: bool = True
     """Restoration indices; makes no raster."""
     began, src = time.monotonic(), _raster(source)
     _folder(outdir)
-    checks.check_binary(src.cells, special=True)
+    checks.check_binary(src.data, special=True)
     return _finish(None, f"{src.name}_rss", "Restoration status", began, outdir, {"Input": _input(src, src), "Statistics": _row(pt.restoration(src.cells))}, {} if stat_files else None)
 
 
