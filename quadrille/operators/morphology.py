@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quadrille.functions.checks import check_mspa, check_spa
 from quadrille.operators import skeleton as sk
 from quadrille.operators.regions import reach, regions
-from quadrille.operators.tiles import ABSENT, TILE, TILE_SCHEMA, map_tiles, to_tiles
+from quadrille.operators.tiles import ABSENT, TILE, TILE_SCHEMA, in_tiles, map_tiles, to_tiles
 from quadrille.session import cut
 
 __all__ = ["disc", "dilate", "spa", "mspa", "connectors", "thin"]
@@ -64,7 +64,10 @@ class Frame:
 
 def _framed(cells: DataFrame, pad: int, tile: int) -> tuple[DataFrame, Frame] | None:
     """Tiles of flags over the map's bounding box and a frame of ``pad`` missing cells."""
-    box = cells.agg(F.min("row"), F.min("col"), F.max("row"), F.max("col")).first()
+    if in_tiles(cells):
+        box = _box(cells)
+    else:
+        box = cells.agg(F.min("row"), F.min("col"), F.max("row"), F.max("col")).first()
     if box[0] is None:
         return None
     # tiles are whole, so the frame goes on to their edge
@@ -74,7 +77,7 @@ def _framed(cells: DataFrame, pad: int, tile: int) -> tuple[DataFrame, Frame] |
     spark = cells.sparkSession
     grid = spark.range(down * across).select((F.col("id") / across).cast("long").cast("int").alias("i"), (F.col("id") % across).cast("int").alias("j"))
     grid = grid.select((F.col("i") + r0 // tile).alias("tr"), (F.col("j") + c0 // tile).alias("tc"))
-    own = to_tiles(cells.where(F.col("v").isNotNull()), tile).select("tr", "tc", "data")
+    own = (cells if in_tiles(cells) else to_tiles(cells.where(F.col("v").isNotNull()), tile)).select("tr", "tc", "data")
     rows = grid.join(own, ["tr", "tc"], "left")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,6 +93,37 @@ def _framed(cells: DataFrame, pad: int, tile: int) -> tuple[DataFrame, Frame] |
     return rows.mapInArrow(fill, TILE_SCHEMA), Frame(r0, c0, r1, c1)
 
 
+def _box(tiles: DataFrame) -> tuple:
+    """First row and column, last row and column of the cells that tiles have."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r0, c0, h, w, data in zip(*(b.column(c).to_pylist() for c in ("r0", "c0", "h", "w", "data"))):
+                there = np.frombuffer(data, np.uint8).reshape(h, w) != ABSENT
+                r, c = np.flatnonzero(there.any(axis=1)), np.flatnonzero(there.any(axis=0))
+                if len(r):
+                    out.append((r0 + r[0], c0 + c[0], r0 + r[-1], c0 + c[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int32()) for i in range(4)], names=["a", "b", "c", "d"])
+
+    found = tiles.select("r0", "c0", "h", "w", "data").mapInArrow(find, "a int, b int, c int, d int")
+    return found.agg(F.min("a"), F.min("b"), F.max("c"), F.max("d")).first()
+
+
+def _code_tiles(tiles: DataFrame) -> DataFrame:
+    """As :func:`_codes`, in tiles of bytes; tiles without a cell go."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.frombuffer(x, U16) for x in b.column("data").to_pylist()]
+            has = pa.array([bool((a >> 15).any()) for a in own])
+            data = pa.array([np.where(a >> 15, a & 255, ABSENT).astype(np.uint8).tobytes() for a in own], pa.binary())
+            names = ["tr", "tc", "r0", "c0", "h", "w"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), data], names=[*names, "data"]).filter(has)
+
+    return tiles.mapInArrow(pack, TILE_SCHEMA)
+
+
 def _codes(tiles: DataFrame) -> DataFrame:
     """Cells of flag tiles whose value (low byte) is a code and whose PRESENT bit, moved to bit 15, is set."""
 
@@ -126,12 +160,15 @@ def spa(cells: DataFrame, edge: int, classes: int = 6, tile: int = TILE) -> Data
     Codes: 17 core, 3 edge, 5 perforation, 9 islet, 1 margin, 100 core opening, 0 background,
     129 missing. With 5 classes islets are margins; with 3 edges and perforations are too; with 2
     core and its rim are 17, all other foreground 1, and openings background. Returns
-    ``row, col, v`` of the cells that the map has. An empty map gives an empty result.
+    ``row, col, v`` of the cells that the map has, or of a map in tiles (of one size) tiles. An
+    empty map gives an empty result.
     """
     check_spa(edge, classes)
+    if in_tiles(cells) and (one := cells.select("h").first()):
+        tile = one[0]
     framed = _framed(cells, 2 * edge + 4, tile)
     if framed is None:
-        return cells.select("row", "col", F.lit(0).cast("short").alias("v"))
+        return cells if in_tiles(cells) else cells.select("row", "col", F.lit(0).cast("short").alias("v"))
     tiles, frame = framed
     on = lambda bit: lambda a: (a & bit) != 0
     off = lambda bit: lambda a: (a & bit) == 0
@@ -164,7 +201,7 @@ def spa(cells: DataFrame, edge: int, classes: int = 6, tile: int = TILE) -> Data
         m = edge + 1
         return (code | ((a & PRESENT) << 13)).astype(U16)[m:-m, m:-m]
 
-    return _codes(map_tiles(tiles, assemble, edge + 1, U16, FG | G))
+    return (_code_tiles if in_tiles(cells) else _codes)(map_tiles(tiles, assemble, edge + 1, U16, FG | G))
 
 
 # MSPA -------------------------------------------------------------------------------------

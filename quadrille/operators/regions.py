@@ -1,6 +1,6 @@
 """Connected regions of rasters in tiles: labels, sizes, reachability, holes.
 
-Each tile labels its own regions (union-find over row runs); only cells at tile borders are
+Each tile labels its own regions (runs of cells in rows, linked); only cells at tile borders are
 compared across tiles, and the resulting small graph is solved by
 :func:`quadrille.operators.components.connected_components`. A region's id is the place of its
 first cell, ``row << 32 | col``.
@@ -26,42 +26,35 @@ Mask = Callable[[np.ndarray], np.ndarray]
 
 
 def label_array(mask: np.ndarray, connectivity: int) -> tuple[np.ndarray, int]:
-    """Labels 1..n of the regions of a mask, numbered by first cell; 0 elsewhere."""
+    """Labels 1..n of the regions of a mask, numbered by first cell; 0 elsewhere.
+
+    Runs of cells are linked to those that they touch in the next row; each link hooks the larger
+    root to the smaller one, and roots jump to their roots, until no link is left open.
+    """
     h, w = mask.shape
     edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, start = np.nonzero(edge == 1)
     end = np.nonzero(edge == -1)[1]  # runs [start, end), row by row
-    n = len(row)
-    parent = list(range(n))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    reach = 1 if connectivity == 8 else 0
-    first = np.searchsorted(row, np.arange(h + 1))
-    s, e = start.tolist(), end.tolist()
-    for r in range(1, h):
-        i, stop_i = first[r - 1], first[r]
-        j, stop_j = first[r], first[r + 1]
-        while i < stop_i and j < stop_j:
-            if s[i] < e[j] + reach and s[j] < e[i] + reach:
-                a, b = find(i), find(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-            if e[i] < e[j]:
-                i += 1
-            else:
-                j += 1
-    root = np.array([find(i) for i in range(n)], np.int64) if n else np.empty(0, np.int64)
+    n, out = len(row), np.zeros((h, w), np.int32)
+    if not n:
+        return out, 0
+    more, wide = (1 if connectivity == 8 else 0), w + 3
+    first = np.searchsorted(row * wide + end, (row + 1) * wide + start - more, side="right")
+    count = np.maximum(np.searchsorted(row * wide + start, (row + 1) * wide + end + more, side="left") - first, 0)
+    a = np.repeat(np.arange(n), count)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count - first, count)
+    root = np.arange(n)
+    while len(a):
+        ra, rb = root[a], root[b]
+        open_ = ra != rb
+        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while not ((up := root[root]) == root).all():
+            root = up
     roots, number = np.unique(root, return_inverse=True)
-    out = np.zeros((h, w), np.int32)
-    if n:
-        size = end - start
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(row * w + start, size)
-        out.ravel()[at] = np.repeat(number + 1, size)
+    size = end - start
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(row * w + start, size)
+    out.ravel()[at] = np.repeat(number + 1, size)
     return out, len(roots)
 
 

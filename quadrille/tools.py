@@ -276,7 +276,7 @@ def spa(source: Raster | str, edge_width: int, classes: int = 6, outdir: str | N
     src = _raster(source)
     checks.check_binary(src.data)
     name = f"{src.name}_spa_{edge_width}_{classes}"
-    out = _made(src, mo.spa(src.cells, edge_width, classes), name, "spa", 129, edge=edge_width, classes=classes)
+    out = _made(src, mo.spa(src.data if src.tiles is None or 2 * edge_width + 4 <= src.header.block[0] else src.cells, edge_width, classes), name, "spa", 129, edge=edge_width, classes=classes)
     return _finish(out, name, "Simplified pattern analysis", began, outdir, _plain(out, st.spa_stats(out.data), src) if statists else None, {} if stat_files else None)
 
 

@@ -8,7 +8,9 @@ from test_sources import stripped
 from quadrille import tools as T
 from quadrille.functions import statistics as st
 from quadrille.functions.checks import InputError, check_binary, check_gray_cells
+from quadrille.operators import morphology as mo
 from quadrille.operators import window as wi
+from quadrille.operators.regions import label_array
 from quadrille.operators.tiles import from_tiles, in_tiles, to_tiles
 from quadrille.sources.geotiff import Header, read_geotiff, read_tiles, write_geotiff
 
@@ -65,3 +67,41 @@ def test_bytes_beyond(spark, tmp_path):
     assert read_tiles(spark, str(strips)) is None
     with pytest.raises(Exception, match="not in tiles"):
         spark.read.format("geotiff").option("form", "tiles").load(str(strips)).count()
+
+
+def test_segmentation_on_tiles(spark):
+    rng = np.random.default_rng(6)
+    a = np.ones((150, 120), int)
+    for _ in range(60):
+        r, c, h, w = rng.integers(0, 140), rng.integers(0, 110), *rng.integers(3, 30, 2)
+        a[r : r + h, c : c + w] = 2
+    a[rng.random(a.shape) < 0.01] = 1
+    a[rng.random(a.shape) < 0.01] = 0
+    for edge in (1, 3):
+        out = mo.spa(to_tiles(cells(spark, a), 64), edge)
+        assert in_tiles(out) and (grid(from_tiles(out), a.shape) == grid(mo.spa(cells(spark, a), edge, tile=64), a.shape)).all()
+
+
+def test_labels_by_plain_search():
+    rng = np.random.default_rng(2)
+    for conn in (4, 8):
+        for share in (0.1, 0.5, 0.7, 1.0):
+            m = rng.random((23, 31)) < share
+            label, n = label_array(m, conn)
+            want, count = np.zeros(m.shape, int), 0
+            for r, c in zip(*np.nonzero(m)):
+                if want[r, c]:
+                    continue
+                count += 1
+                todo = [(r, c)]
+                want[r, c] = count
+                while todo:
+                    i, j = todo.pop()
+                    for x in (-1, 0, 1):
+                        for y in (-1, 0, 1):
+                            p, q = i + x, j + y
+                            if (conn == 8 or x * y == 0) and 0 <= p < 23 and 0 <= q < 31 and m[p, q] and not want[p, q]:
+                                want[p, q] = count
+                                todo.append((p, q))
+            assert n == count and (label == want).all()
+    assert label_array(np.zeros((3, 3), bool), 8)[1] == 0
