@@ -9,7 +9,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.llm.fingerprint import bin_minima
@@ -21,7 +21,7 @@ __all__ = ["simhash", "fingerprints", "tile_links", "masks", "hamming_links", "n
 
 BITS = 64
 TILE = 64
-BANDS, DEPTH = 25, 5
+BANDS, DEPTH, EARLY = 25, 5, 3
 PIECE = 1 << 16
 WORDS = 4
 FIRST = 22
@@ -252,7 +252,7 @@ def wide_print(shingles: np.ndarray) -> np.ndarray:
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """BANDS keys of a sorted, non-empty shingle set: each of DEPTH values of its one-permutation MinHash.
+    """BANDS keys (32 bits) of a sorted, non-empty shingle set: each of DEPTH values of its one-permutation MinHash.
 
     Two sets of similarity s have a given key in common with probability s^DEPTH, so that at 0.8
     they share none with a probability of (1 - 0.8^5)^25, 5 in 100,000.
@@ -261,11 +261,13 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     key = np.arange(BANDS, dtype=np.uint64)
     for j in range(DEPTH):
         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + v[:, j])
-    return key
+    return key.astype(np.uint32)
 
 
-def candidate_links(key: np.ndarray, n: np.ndarray, w: np.ndarray, least: float, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (places) of the pairs of one key that may have a similarity of ``least``.
+def candidate_links(key: np.ndarray, root: np.ndarray, n: np.ndarray, w: np.ndarray, least: float, tile: int = TILE) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of the roots of pairs of one key that may have a similarity of ``least``.
+
+    ``root`` names the group of candidates that a set belongs to so far, itself if to none.
 
     Sets are ordered by key and size and compared tile by tile, as in :func:`tile_links`, but for
     tiles whose sizes rule the similarity out: the first words of their SimHashes may differ in
@@ -276,7 +278,7 @@ def candidate_links(key: np.ndarray, n: np.ndarray, w: np.ndarray, least: float,
     if len(key) < 2:
         return none, none
     order = np.lexsort((n, key))
-    key, n, w = key[order], n[order], w[order]
+    key, root, n, w = key[order], root[order], n[order], w[order]
     size, m = len(key), -(-len(key) // tile)
     more = m * tile - size
     rows = np.append(w[:, 0], np.zeros(more, np.uint64)).reshape(m, tile)
@@ -301,15 +303,15 @@ def candidate_links(key: np.ndarray, n: np.ndarray, w: np.ndarray, least: float,
             t, r, c = np.nonzero(near)
             a, b = x[t] * tile + r, (x[t] + d) * tile + c
             a, b = a[b < size], b[b < size]
-            ok = n[b] * least <= n[a] + 1e-6
+            ok = (n[b] * least <= n[a] + 1e-6) & (root[a] != root[b])
             a, b = a[ok], b[ok]
             ok = np.bitwise_count(w[a] ^ w[b]).sum(axis=1, dtype=np.int64) <= WIDE
             if ok.any():
-                nodes, at = np.unique(np.concatenate((a[ok], b[ok])), return_inverse=True)
+                nodes, at = np.unique(np.concatenate((root[a[ok]], root[b[ok]])), return_inverse=True)
                 a, b = forest(at[: ok.sum()], at[ok.sum() :], len(nodes))
                 out_a.append(nodes[a])
                 out_b.append(nodes[b])
-    return order[np.concatenate(out_a)], order[np.concatenate(out_b)]
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def similar_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -352,25 +354,20 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, seed: in
             key = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64)
             n = np.array([len(s) for s in sets], np.int64)
             w = np.array([wide_print(s) for s in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
-            bands = pa.array([band_keys(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))
+            bands = pa.array([band_keys(s).view(np.int32) if len(s) else [] for s in sets], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (key, n)), *(pa.array(np.ascontiguousarray(w[:, i])) for i in range(WORDS)), bands], names=["doc_id", "h", "k", "n", *words, "bands"])
 
     raw = F.col("text").cast("binary")
     rows = docs.select("doc_id", F.xxhash64(raw).alias("h"), raw.alias("raw"))
-    sketches = cut(rows.mapInArrow(sketch, f"doc_id {kind}, h long, k long, n long, {', '.join(f'{w} long' for w in words)}, bands array<long>"), "sketches")
+    sketches = cut(rows.mapInArrow(sketch, f"doc_id {kind}, h long, k long, n long, {', '.join(f'{w} long' for w in words)}, bands array<int>"), "sketches")
 
-    nodes = cut(sketches.where("n > 0").dropDuplicates(["k"]).select("k", "n", *words, "bands"), "nodes")
-    # most keys are of one set; the others' rows are counted and go on, by a sort that spills
-    met = nodes.select("k", F.explode("bands").alias("band")).withColumn("c", F.count("*").over(Window.partitionBy("band"))).where("c > 1")
-    met = met.join(nodes.drop("bands"), "k").withColumn("own", F.ceil(F.col("c") / tile).cast("int")).withColumn("g", F.pmod(F.xxhash64("k"), F.col("own")).cast("int"))
-    meets = F.expr("explode(transform(filter(sequence(0, own), x -> x < own), x -> struct(least(g, x) as g1, greatest(g, x) as g2)))")
-    dealt = met.select("band", meets.alias("m"), "k", "n", *words).select("band", "m.g1", "m.g2", "k", "n", *words).repartition("band", "g1", "g2").sortWithinPartitions("band", "g1", "g2")
+    nodes = sketches.where("n > 0").dropDuplicates(["k"]).select("k", "n", *words, "bands")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(key: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
             number = np.cumsum(np.r_[False, (key[1:] != key[:-1]).any(axis=1)])
-            a, b = candidate_links(number, x[:, 1], x[:, 2:].view(np.uint64), least)
-            return pa.RecordBatch.from_arrays([pa.array(x[a, 0]), pa.array(x[b, 0])], names=["a", "b"])
+            a, b = candidate_links(number, x[:, 0], x[:, 1], x[:, 2:].view(np.uint64), least)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         held = np.empty((0, 5 + WORDS), np.int64)
         for b in batches:
@@ -383,7 +380,21 @@ def similar_groups(docs: DataFrame, width: int = 5, least: float = 0.8, seed: in
         if len(held):
             yield links(held[:, :3], np.ascontiguousarray(held[:, 3:]))
 
-    found = connected_components(dealt.mapInArrow(compare, "a long, b long"))
+    def links(bands: Column, roots: DataFrame | None) -> DataFrame:
+        met = nodes.select("k", F.explode(bands).alias("band"))
+        met = met.withColumn("root", F.col("k")) if roots is None else met.join(roots, F.col("k") == F.col("node"), "left").select("k", "band", F.coalesce("root", "k").alias("root"))
+        # most keys are of one set or one group; the others' rows are counted and go on, by a sort that spills
+        w = Window.partitionBy("band")
+        met = met.select("*", F.count("*").over(w).alias("c"), F.min("root").over(w).alias("r0"), F.max("root").over(w).alias("r1")).where("r0 < r1").drop("r0", "r1")
+        met = met.join(nodes.drop("bands"), "k").withColumn("own", F.ceil(F.col("c") / tile).cast("int")).withColumn("g", F.pmod(F.xxhash64("k"), F.col("own")).cast("int"))
+        meets = F.expr("explode(transform(filter(sequence(0, own), x -> x < own), x -> struct(least(g, x) as g1, greatest(g, x) as g2)))")
+        dealt = met.select("band", meets.alias("m"), "root", "n", *words).select("band", "m.g1", "m.g2", "root", "n", *words)
+        return dealt.repartition("band", "g1", "g2").sortWithinPartitions("band", "g1", "g2").mapInArrow(compare, "a long, b long")
+
+    # copies mostly meet under one of the first keys; under the others only their groups still have to
+    early = cut(connected_components(links(F.slice("bands", 1, EARLY), None)), "early")
+    late = links(F.slice("bands", EARLY + 1, BANDS - EARLY), early)
+    found = connected_components(early.selectExpr("node a", "root b").union(late))
     member = sketches.select("k", "n", "h").join(found, F.col("k") == F.col("node")).groupBy("k", "n", "root").agg(F.min("h").alias("h"))
     member = cut(member, "candidates")
     whole = member.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / chunk, F.sum("n") / (chunk * 400))).cast("int").alias("own"))
