@@ -1,4 +1,4 @@
-"""Throughput of the tools on one large raster, from file to file: ``python bench_large.py [side]``.
+"""Throughput of the tools on one large raster, from file to file: ``python bench_large.py [side [tool ...]]``.
 
 The raster is made by a rule (patches of several sizes, noise, missing cells) and written as a
 GeoTIFF first. One JSON line with megapixels a second on ``local[$BENCH_CPUS]``.
@@ -40,17 +40,13 @@ def tiles_of_rule(spark, side: int, tile: int = 256):
     return spark.range(across * across).mapInArrow(make, TILE_SCHEMA)
 
 
-def main() -> None:
-    from pyspark.sql import SparkSession
-
+def rates(spark, side: int, names=None) -> dict:
+    """Seconds and megapixels a second of each tool on one raster of ``side`` cells a side (local mode alone)."""
     from quadrille import tools
     from quadrille.sources.geotiff import Header, write_geotiff
 
-    side, cpus = int(sys.argv[1]) if len(sys.argv) > 1 else 10_000, os.environ.get("BENCH_CPUS", "8")
-    out = tempfile.mkdtemp(prefix="bench-")  # local mode alone
-    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.ui.enabled", "false").config("spark.driver.memory", "12g").config("spark.sql.shuffle.partitions", "64").config("spark.checkpoint.dir", f"file://{out}/shared").getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
-    path, took = f"{out}/in.tif", {}
+    out, took = tempfile.mkdtemp(prefix="bench-"), {}
+    path = f"{out}/in.tif"
     write_geotiff(tiles_of_rule(spark, side), path, Header(side, side, res_x=100, res_y=100, epsg=3035, unit="metres"))
     runs = {
         "frag_fad_27": lambda: tools.frag(path, "FAD", 27, outdir=out, stat_files=False),
@@ -59,15 +55,22 @@ def main() -> None:
         "acc": lambda: tools.acc(path, [100, 10_000], outdir=out, stat_files=False),
         "mspa_8_1": lambda: tools.mspa(path, 8, 1, outdir=out, stat_files=False),
     }
-    for name, run in runs.items():
-        if len(sys.argv) > 2 and name not in sys.argv[2:]:
-            continue
+    for name in names or runs:
         began = time.monotonic()
-        run()
+        runs[name]()
         took[name] = round(time.monotonic() - began, 1)
         print(f"{name}: {took[name]} s, {side * side / 1e6 / took[name]:.2f} Mpixel/s", file=sys.stderr, flush=True)
-    print(json.dumps({"metric": "megapixels_a_second", "megapixels": side * side / 1e6, "cpus": int(cpus), "seconds": took, "rate": {k: round(side * side / 1e6 / v, 2) for k, v in took.items()}}))
     shutil.rmtree(out)
+    return {"megapixels": side * side / 1e6, "seconds": took, "megapixels_a_second": {k: round(side * side / 1e6 / v, 2) for k, v in took.items()}}
+
+
+def main() -> None:
+    from pyspark.sql import SparkSession
+
+    side, cpus = int(sys.argv[1]) if len(sys.argv) > 1 else 10_000, os.environ.get("BENCH_CPUS", "8")
+    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").config("spark.sql.shuffle.partitions", "64").getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    print(json.dumps({"metric": "megapixels_a_second", "cpus": int(cpus), **rates(spark, side, sys.argv[2:])}))
 
 
 if __name__ == "__main__":
