@@ -89,13 +89,14 @@ def map_values(tiles: DataFrame, lut: np.ndarray) -> DataFrame:
     return tiles.select("tr", "tc", "r0", "c0", "h", "w", "data").mapInArrow(run, TILE_SCHEMA)
 
 
-def map_tiles(tiles: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], halo: int, dtype: type = np.uint8, absent: int = ABSENT) -> DataFrame:
+def map_tiles(tiles: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], halo: int, dtype: type = np.uint8, absent: int = ABSENT, spread: bool = False) -> DataFrame:
     """Apply ``kernel`` to every tile with ``halo`` cells around it; tiles in, tiles out.
 
     The kernel gets an array of ``(h + 2 halo, w + 2 halo)``, ``absent`` outside the raster, and
     returns one of ``(h, w)``; cells that are ABSENT stay so. Each tile sends itself to its own place
     and strips to its neighbours': one shuffle, of about ``1 + 4 halo / tile`` times the raster. Tiles must be on a regular
-    grid and no smaller than the halo.
+    grid and no smaller than the halo. ``spread``: as many tasks as the session has shuffle
+    partitions, for kernels that are much work on few bytes, and not as few as the bytes fill.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

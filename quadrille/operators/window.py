@@ -93,7 +93,7 @@ def fragmentation(cells: DataFrame, method: str, window: int, connectivity: int
     check_fragmentation(method, window, connectivity)
     r = window // 2
     if form != "cell":
-        return _shown(map_tiles(to_tiles(cells, tile), kernel_fragmentation(method, window, connectivity, fixed), r), form)
+        return _shown(map_tiles(to_tiles(cells, tile), kernel_fragmentation(method, window, connectivity, fixed), r, spread=True), form)
     v = F.col("v")
     cells = cells.select("row", "col", "v")
     if method == "FAD":
@@ -128,7 +128,7 @@ def fragmentation_gray(cells: DataFrame, method: str, window: int, threshold: in
     else:
         cells = cells.select("row", "col", F.when(F.col("v").between(0, 100), F.col("v")).otherwise(101).cast("short").alias("v"))
     if form != "cell":
-        return _shown(map_tiles(to_tiles(cells, tile), kernel_gray(method, window, threshold, connectivity, fixed), r), form)
+        return _shown(map_tiles(to_tiles(cells, tile), kernel_gray(method, window, threshold, connectivity, fixed), r, spread=True), form)
     v = F.col("v")
     if method == "FAD":
         whole = ((-r, r), (-r, r))
@@ -155,7 +155,7 @@ def mosaic(cells: DataFrame, window: int, form: str = "cell", tile: int = TILE)
     check_window(window)
     r = window // 2
     if form != "cell":
-        return _shown(map_tiles(to_tiles(cells, tile), kernel_mosaic(window), r), form)
+        return _shown(map_tiles(to_tiles(cells, tile), kernel_mosaic(window), r, spread=True), form)
     whole = ((-r, r), (-r, r))
     x = rectangle_sums(cells.select("row", "col", "v"), {f"n{k}": ((F.col("v") == k).cast("int"), *whole) for k in (1, 2, 3)})
     return x.select("row", "col", F.when(F.col("v") == 0, 0).otherwise(mosaic_code(F.col("n1"), F.col("n2"), F.col("n3"))).cast("short").alias("v"))
