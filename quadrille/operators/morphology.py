@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quadrille.functions.checks import check_mspa, check_spa
 from quadrille.operators import skeleton as sk
 from quadrille.operators.regions import reach, regions
-from quadrille.operators.tiles import ABSENT, TILE, TILE_SCHEMA, in_tiles, map_tiles, to_tiles
+from quadrille.operators.tiles import ABSENT, TILE, TILE_SCHEMA, in_tiles, map_tiles, over_tiles, to_tiles
 from quadrille.session import cut
 
 __all__ = ["disc", "dilate", "spa", "mspa", "connectors", "thin"]
@@ -90,7 +90,7 @@ def _framed(cells: DataFrame, pad: int, tile: int) -> tuple[DataFrame, Frame] |
             ints = [pa.array(x, pa.int32()) for x in (tr, tc, [t * tile for t in tr], [t * tile for t in tc], [tile] * n, [tile] * n)]
             yield pa.RecordBatch.from_arrays([*ints, pa.array(out, pa.binary())], names=["tr", "tc", "r0", "c0", "h", "w", "data"])
 
-    return rows.mapInArrow(fill, TILE_SCHEMA), Frame(r0, c0, r1, c1)
+    return over_tiles(rows, fill, TILE_SCHEMA), Frame(r0, c0, r1, c1)
 
 
 def _box(tiles: DataFrame) -> tuple:
@@ -106,7 +106,7 @@ def _box(tiles: DataFrame) -> tuple:
                     out.append((r0 + r[0], c0 + c[0], r0 + r[-1], c0 + c[-1]))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int32()) for i in range(4)], names=["a", "b", "c", "d"])
 
-    found = tiles.select("r0", "c0", "h", "w", "data").mapInArrow(find, "a int, b int, c int, d int")
+    found = over_tiles(tiles.select("r0", "c0", "h", "w", "data"), find, "a int, b int, c int, d int")
     return found.agg(F.min("a"), F.min("b"), F.max("c"), F.max("d")).first()
 
 
@@ -121,7 +121,7 @@ def _code_tiles(tiles: DataFrame) -> DataFrame:
             names = ["tr", "tc", "r0", "c0", "h", "w"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), data], names=[*names, "data"]).filter(has)
 
-    return tiles.mapInArrow(pack, TILE_SCHEMA)
+    return over_tiles(tiles, pack, TILE_SCHEMA)
 
 
 def _codes(tiles: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def _codes(tiles: DataFrame) -> DataFrame:
                 i, j = np.nonzero(a >> 15)
                 yield pa.RecordBatch.from_arrays([pa.array((i + r0).astype(np.int32)), pa.array((j + c0).astype(np.int32)), pa.array((a[i, j] & 255).astype(np.int16))], names=["row", "col", "v"])
 
-    return tiles.mapInArrow(unpack, "row int, col int, v short")
+    return over_tiles(tiles, unpack, "row int, col int, v short")
 
 
 def _flag(a: np.ndarray, bit: int, on: np.ndarray) -> np.ndarray:
@@ -210,6 +210,8 @@ def spa(cells: DataFrame, edge: int, classes: int = 6, tile: int = TILE) -> Data
 BRIDGE, LOOP = 32, 64
 #: Cells of one region that a task finishes; larger ones are thinned on in tiles.
 LIMIT = 2_000_000
+#: Cells of small regions that a task finishes together; a region of more is a task's alone.
+SHARE = 250_000
 #: Bits of a tile of skeleton cells; the low byte is the code of the core cells round a cell.
 LINE, TRIED = 1 << 8, 1 << 9
 
@@ -352,7 +354,7 @@ def mspa(cells: DataFrame, connectivity: int = 8, edge: int = 1, intext: bool =
             out = [code(np.frombuffer(x, U16)).astype(U16).tobytes() for x in b.column("data").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tr", "tc", "r0", "c0", "h", "w")), pa.array(out, pa.binary())], names=["tr", "tc", "r0", "c0", "h", "w", "data"])
 
-    plain = _codes(tiles.mapInArrow(finish, TILE_SCHEMA))
+    plain = _codes(over_tiles(tiles, finish, TILE_SCHEMA))
     if classes is None:
         return plain
     return plain.join(classes, ["row", "col"], "left").select("row", "col", (F.col("v") + F.when(F.col("v") != 129, F.coalesce("k", F.lit(0))).otherwise(0)).cast("short").alias("v"))
@@ -372,7 +374,7 @@ def _any(tiles: DataFrame, test) -> bool:
             hit = any(bool(test(np.frombuffer(x, U16)).any()) for x in b.column("data").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([hit])], names=["hit"])
 
-    return bool(tiles.select("data").mapInArrow(run, "hit boolean").agg(F.max("hit")).first()[0])
+    return bool(over_tiles(tiles.select("data"), run, "hit boolean").agg(F.max("hit")).first()[0])
 
 
 def _grown(mask: np.ndarray, connectivity: int) -> np.ndarray:
@@ -407,7 +409,7 @@ def _cells_of(found, active: DataFrame, test, value) -> DataFrame:
                 cols = (np.full(n, tr), np.full(n, tc), i + r0, j + c0, lab[i, j], value(a)[i, j])
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in cols], names=["tr", "tc", "row", "col", "label", "x"])
 
-    rows = found.tiles.mapInArrow(unpack, "tr int, tc int, row int, col int, label int, x int")
+    rows = over_tiles(found.tiles, unpack, "tr int, tc int, row int, col int, label int, x int")
     parts = found.parts if active is None else found.parts.join(active, "region")
     return rows.join(parts.select("tr", "tc", "label", "region"), ["tr", "tc", "label"]).select("row", "col", "region", "x")
 
@@ -425,7 +427,7 @@ def _with_cells(tiles: DataFrame, cells: DataFrame, tile: int, write) -> DataFra
                 out.append(write(np.frombuffer(data, U16).reshape(h, w), m).astype(U16).tobytes())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tr", "tc", "r0", "c0", "h", "w")), pa.array(out, pa.binary())], names=["tr", "tc", "r0", "c0", "h", "w", "data"])
 
-    return rows.mapInArrow(run, TILE_SCHEMA)
+    return over_tiles(rows, run, TILE_SCHEMA)
 
 
 def _skeleton(tiles: DataFrame, mask, core, edge: int, connectivity: int, tile: int, limit: int) -> DataFrame:
@@ -457,8 +459,10 @@ def _skeleton(tiles: DataFrame, mask, core, edge: int, connectivity: int, tile:
             m = 2 * more + 3
             line = cut(map_tiles(line, lambda a: _line_tile(a, connectivity, more)[m:-m, m:-m], m, U16, 0), "line")
             continue
-        share = F.pmod(F.xxhash64("region"), F.lit(max(1, -(-total // limit)))).alias("share")
-        cells = _cells_of(found, active.select("region"), lambda a: np.ones(a.shape, bool), lambda a: a).select(share, "row", "col", "x")
+        share = F.pmod(F.xxhash64("region"), F.lit(-(-total // SHARE))).alias("share")
+        alone = active.where(F.col("size") > SHARE).select("region", F.col("region").alias("alone"))
+        cells = _cells_of(found, active.select("region"), lambda a: np.ones(a.shape, bool), lambda a: a)
+        cells = cells.join(F.broadcast(alone), "region", "left").select(share, "alone", "row", "col", "x")
 
         def finish(t: pa.Table) -> pa.Table:
             t = t.sort_by([("row", "ascending"), ("col", "ascending")])
@@ -466,7 +470,7 @@ def _skeleton(tiles: DataFrame, mask, core, edge: int, connectivity: int, tile:
             on, _ = sk.peel(x & 255, sk.links(r, c), np.ones(len(r), bool), (x & TRIED) != 0, connectivity)
             return pa.table({"row": r[~on], "col": c[~on]})
 
-        gone = cells.groupBy("share").applyInArrow(finish, "row int, col int")
+        gone = cells.groupBy("share", "alone").applyInArrow(finish, "row int, col int")
         return cut(_with_cells(line, gone, tile, lambda a, m: np.where(m, 0, a & ~U16(TRIED))), "line")
     return line
 
@@ -532,7 +536,7 @@ def connectors(tiles: DataFrame, mask, core, edge: int, connectivity: int, tile:
         beside = (join & _grown(cores, connectivity)) | (cores & _grown(join, connectivity))
         return (join * JOIN | cores * CORES | beside * BESIDE).astype(U16)[m:-m, m:-m]
 
-    joined = cut(map_tiles(flat.select("tr", "tc", "r0", "c0", "h", "w", "flags", "data").mapInArrow(both, TILE_SCHEMA), widen, m, U16, 0), "joined")
+    joined = cut(map_tiles(over_tiles(flat.select("tr", "tc", "r0", "c0", "h", "w", "flags", "data"), both, TILE_SCHEMA), widen, m, U16, 0), "joined")
     bit = lambda x: lambda a: (a & x) != 0
     found = regions(joined, bit(JOIN), connectivity, dtype=U16)
     ends = _cells_of(found, None, bit(BESIDE), lambda a: a).select("row", "col", "region")

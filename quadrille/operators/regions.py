@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.operators.components import connected_components
-from quadrille.operators.tiles import TILE_SCHEMA
+from quadrille.operators.tiles import TILE_SCHEMA, over_tiles
 from quadrille.session import cut
 
 __all__ = ["label_array", "Regions", "regions", "reach"]
@@ -83,21 +83,28 @@ class Regions:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out = []
-                for h, w, data, labels, values in zip(*(b.column(c).to_pylist() for c in ("h", "w", "data", "labels", "values"))):
+                for h, w, data, labels, values in zip(*(b.column(c).to_pylist() for c in ("h", "w", "data", "labels")), b.column("values")):
                     lab = np.frombuffer(labels, np.int32).reshape(h, w)
                     lut = np.full(int(lab.max(initial=0)) + 1, -1, np.int64)
-                    for x in values or ():
-                        lut[x["label"]] = x["value"]
+                    if values.is_valid:
+                        lut[values.values.field("label").to_numpy()] = values.values.field("value").to_numpy()
                     out.append(write(np.frombuffer(data, dtype).reshape(h, w), lut[lab]).astype(dtype).tobytes())
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tr", "tc", "r0", "c0", "h", "w")), pa.array(out, pa.binary())], names=["tr", "tc", "r0", "c0", "h", "w", "data"])
 
-        return rows.mapInArrow(run, TILE_SCHEMA)
+        return over_tiles(rows, run, TILE_SCHEMA)
 
 
 def regions(tiles: DataFrame, mask: Mask, connectivity: int = 8, seeds: Callable[[np.ndarray, int, int], np.ndarray] | None = None, dtype: type = np.uint8) -> Regions:
     """Regions of the cells that ``mask(data)`` picks; ``seeds(data, r0, c0)`` marks seed cells."""
+    def lists(tables: list[list[np.ndarray]], names: list[str]) -> pa.ListArray:
+        """One list of structs a table; without an object a row."""
+        columns = [pa.array(np.concatenate(c)) for c in zip(*tables)]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(t[0]) for t in tables)]), pa.int32()), pa.StructArray.from_arrays(columns, names))
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             labels, parts, rim = [], [], []
             for tr, tc, r0, c0, h, w, data in zip(*(b.column(c).to_pylist() for c in ("tr", "tc", "r0", "c0", "h", "w", "data"))):
                 a = np.frombuffer(data, dtype).reshape(h, w)
@@ -112,16 +119,15 @@ def regions(tiles: DataFrame, mask: Mask, connectivity: int = 8, seeds: Callable
                 if seeds is not None:
                     seed[np.unique(lab[seeds(a, r0, c0)])] = True
                 labels.append(lab.tobytes())
-                parts.append([{"label": i, "gid": int(gid[i]), "n": int(count[i]), "seed": bool(seed[i])} for i in range(1, n + 1)])
+                parts.append([np.arange(1, n + 1, dtype=np.int32), gid[1:], count[1:], seed[1:]])
                 on = np.zeros((h, w), bool)
                 on[0] = on[-1] = True
                 on[:, 0] = on[:, -1] = True
                 i, j = np.nonzero(on & (lab > 0))
-                rim.append([{"row": int(r0 + x), "col": int(c0 + y), "gid": int(gid[k])} for x, y, k in zip(i, j, lab[i, j])])
-            kinds = (pa.list_(pa.struct([("label", pa.int32()), ("gid", pa.int64()), ("n", pa.int64()), ("seed", pa.bool_())])), pa.list_(pa.struct([("row", pa.int32()), ("col", pa.int32()), ("gid", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tr", "tc", "r0", "c0", "h", "w", "data")), pa.array(labels, pa.binary()), pa.array(parts, kinds[0]), pa.array(rim, kinds[1])], names=["tr", "tc", "r0", "c0", "h", "w", "data", "labels", "parts", "rim"])
+                rim.append([(r0 + i).astype(np.int32), (c0 + j).astype(np.int32), gid[lab[i, j]]])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tr", "tc", "r0", "c0", "h", "w", "data")), pa.array(labels, pa.binary()), lists(parts, ["label", "gid", "n", "seed"]), lists(rim, ["row", "col", "gid"])], names=["tr", "tc", "r0", "c0", "h", "w", "data", "labels", "parts", "rim"])
 
-    done = cut(tiles.select("tr", "tc", "r0", "c0", "h", "w", "data").mapInArrow(local, f"{TILE_SCHEMA}, labels binary, parts array<struct<label:int,gid:long,n:long,seed:boolean>>, rim array<struct<row:int,col:int,gid:long>>"), "regions")
+    done = cut(over_tiles(tiles.select("tr", "tc", "r0", "c0", "h", "w", "data"), local, f"{TILE_SCHEMA}, labels binary, parts array<struct<label:int,gid:long,n:long,seed:boolean>>, rim array<struct<row:int,col:int,gid:long>>"), "regions")
     parts = done.select("tr", "tc", F.explode("parts").alias("p")).select("tr", "tc", "p.label", "p.gid", "p.n", "p.seed")
     rim = done.select("tr", "tc", F.explode("rim").alias("x")).select("tr", "tc", "x.row", "x.col", "x.gid")
     steps = [(0, 1), (1, 0)] + [(1, 1), (1, -1)] * (connectivity == 8)

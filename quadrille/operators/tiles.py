@@ -15,11 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-__all__ = ["ABSENT", "TILE", "in_tiles", "to_tiles", "from_tiles", "tile_histogram", "map_values", "map_tiles", "TILE_SCHEMA"]
+from quadrille.session import bounded_batches
+
+__all__ = ["ABSENT", "TILE", "BATCH", "over_tiles", "in_tiles", "to_tiles", "from_tiles", "tile_histogram", "map_values", "map_tiles", "TILE_SCHEMA"]
 
 TILE = 512
 #: A cell that isn't in the raster, in byte arrays.
 ABSENT = 255
+#: Bytes of tiles that a Python worker takes at a time, one tile at least: what it makes of them is several times as much.
+BATCH = 2 << 20
 TILE_SCHEMA = "tr int, tc int, r0 int, c0 int, h int, w int, data binary"
 
 
@@ -29,6 +33,21 @@ def _dense(rows: np.ndarray, cols: np.ndarray, v: np.ndarray, r0: int, c0: int,
     return a
 
 
+def over_tiles(tiles: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of few tiles, so that a worker's memory doesn't grow with the tiles of its task."""
+    bounded_batches(tiles.sparkSession, rows=None)
+    most = BATCH
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            step = max(1, most * n // max(1, b.nbytes))
+            for at in range(0, n, step):
+                yield b.slice(at, step)
+
+    return tiles.mapInArrow(lambda batches: run(few(batches)), schema)
+
+
 def in_tiles(raster: DataFrame) -> bool:
     """Whether a raster is in tiles already."""
     return "data" in raster.columns
@@ -59,7 +78,7 @@ def from_tiles(tiles: DataFrame) -> DataFrame:
                 i, j = np.nonzero(a != ABSENT)
                 yield pa.RecordBatch.from_arrays([pa.array((i + r0).astype(np.int32)), pa.array((j + c0).astype(np.int32)), pa.array(a[i, j].astype(np.int16))], names=["row", "col", "v"])
 
-    return tiles.mapInArrow(unpack, "row int, col int, v short")
+    return over_tiles(tiles, unpack, "row int, col int, v short")
 
 
 def tile_histogram(tiles: DataFrame) -> DataFrame:
@@ -73,7 +92,7 @@ def tile_histogram(tiles: DataFrame) -> DataFrame:
         v = np.flatnonzero(n[:ABSENT])
         yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int16)), pa.array(n[v])], names=["v", "n"])
 
-    return tiles.select("data").mapInArrow(count, "v short, n long").groupBy("v").agg(F.sum("n").alias("n"))
+    return over_tiles(tiles.select("data"), count, "v short, n long").groupBy("v").agg(F.sum("n").alias("n"))
 
 
 def map_values(tiles: DataFrame, lut: np.ndarray) -> DataFrame:
@@ -86,7 +105,7 @@ def map_values(tiles: DataFrame, lut: np.ndarray) -> DataFrame:
             data = [lut[np.frombuffer(x, np.uint8)].tobytes() for x in b.column("data").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tr", "tc", "r0", "c0", "h", "w")), pa.array(data, pa.binary())], names=["tr", "tc", "r0", "c0", "h", "w", "data"])
 
-    return tiles.select("tr", "tc", "r0", "c0", "h", "w", "data").mapInArrow(run, TILE_SCHEMA)
+    return over_tiles(tiles.select("tr", "tc", "r0", "c0", "h", "w", "data"), run, TILE_SCHEMA)
 
 
 def map_tiles(tiles: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], halo: int, dtype: type = np.uint8, absent: int = ABSENT, spread: bool = False) -> DataFrame:
@@ -132,7 +151,7 @@ def map_tiles(tiles: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], halo
             out[a[halo : halo + h, halo : halo + w] == ABSENT] = ABSENT
         return pd.DataFrame({"tr": [key[0]], "tc": [key[1]], "r0": [r0], "c0": [c0], "h": [h], "w": [w], "data": [out.tobytes()]})
 
-    sent = tiles.mapInArrow(send, "tr int, tc int, own boolean, r0 int, c0 int, h int, w int, data binary")
+    sent = over_tiles(tiles, send, "tr int, tc int, own boolean, r0 int, c0 int, h int, w int, data binary")
     # a tile is few bytes and much work: as many tasks as the session asks for, not as few as the bytes fill
     parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return sent.repartition(parts, "tr", "tc").groupBy("tr", "tc").applyInPandas(run, TILE_SCHEMA)

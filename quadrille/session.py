@@ -55,7 +55,8 @@ def release(spark: SparkSession) -> int:
     return n
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2048, mb: int = 8) -> None:
-    """Bound the Arrow batches that Python workers get, by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def bounded_batches(spark: SparkSession, rows: int | None = 2048, mb: int = 8) -> None:
+    """Bound the Arrow batches that Python workers get, by rows (None: as they are) and by bytes."""
+    if rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)

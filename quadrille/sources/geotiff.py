@@ -20,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from quadrille.functions.checks import InputError
-from quadrille.operators.tiles import ABSENT, TILE_SCHEMA, from_tiles, in_tiles, to_tiles
+from quadrille.operators.tiles import ABSENT, TILE_SCHEMA, from_tiles, in_tiles, over_tiles, to_tiles
 from quadrille.session import cut
 
 __all__ = ["Header", "read_header", "GeoTiffDataSource", "read_geotiff", "read_tiles", "write_geotiff", "write_clips", "lzw_decode", "lzw_encode"]
@@ -349,7 +349,7 @@ def write_geotiff(cells: DataFrame, path: str, header: Header, tile: int = 256,
     if in_tiles(cells) and cells.select("h").first() != (tile,):
         cells = from_tiles(cells)
     inside = cells if in_tiles(cells) else cells.where(f"row between 0 and {header.rows - 1} and col between 0 and {header.cols - 1} and v is not null")
-    blocks = cut(to_tiles(inside, tile).mapInArrow(run, "k long, n long, block binary"), "blocks")
+    blocks = cut(over_tiles(to_tiles(inside, tile), run, "k long, n long, block binary"), "blocks")
     blank = encode_block(np.full((tile, tile), fill, np.uint8), code)
     counts = np.full(down * across, len(blank), np.int64)
     for r in blocks.select("k", "n").toLocalIterator():  # sixteen bytes a block
