@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quadrille.functions.checks import check_mspa, check_spa
 from quadrille.operators import skeleton as sk
 from quadrille.operators.regions import reach, regions
-from quadrille.operators.tiles import ABSENT, TILE, TILE_SCHEMA, in_tiles, map_tiles, over_tiles, to_tiles
+from quadrille.operators.tiles import ABSENT, TILE, TILE_SCHEMA, cut_tiles, in_tiles, map_tiles, over_tiles, to_tiles
 from quadrille.session import cut
 
 __all__ = ["disc", "dilate", "spa", "mspa", "connectors", "thin"]
@@ -184,7 +184,7 @@ def spa(cells: DataFrame, edge: int, classes: int = 6, tile: int = TILE) -> Data
         m = edge + 1
         return _flag(_flag(a, D, hole), E, dilate(hole, edge))[m:-m, m:-m]  # D: core opening, E: near one
 
-    tiles = cut(map_tiles(tiles, openings, edge + 1, U16, FG | B | C), "tiles")
+    tiles = cut_tiles(map_tiles(tiles, openings, edge + 1, U16, FG | B | C))
     tiles = reach(tiles, off(E), frame.ring, mark(G), 8, U16)  # G: outside the openings' surroundings
 
     def assemble(a: np.ndarray) -> np.ndarray:
@@ -332,7 +332,7 @@ def mspa(cells: DataFrame, connectivity: int = 8, edge: int = 1, intext: bool =
         m = edge + 1
         return _flag(_flag(a, EDGE, halo & outer), PERF, halo & ~outer)[m:-m, m:-m]
 
-    tiles = cut(map_tiles(tiles, rims, edge + 1, U16, DONE), "tiles")
+    tiles = cut_tiles(map_tiles(tiles, rims, edge + 1, U16, DONE))
     classes = connectors(tiles, lambda a: ((a & FG) != 0) & ((a & (CORE | ISLET)) == 0), lambda a: (a & CORE) != 0, edge, fgc, tile)
 
     def code(a: np.ndarray) -> np.ndarray:
@@ -448,7 +448,7 @@ def _skeleton(tiles: DataFrame, mask, core, edge: int, connectivity: int, tile:
         m = 2 * rounds + 3
         return _line_tile(np.where(on, near | LINE | TRIED, 0).astype(U16), connectivity, rounds)[m:-m, m:-m]
 
-    line = cut(map_tiles(tiles, first, 2 * rounds + 3, U16, 0), "line")
+    line = cut_tiles(map_tiles(tiles, first, 2 * rounds + 3, U16, 0), "line")
     waits = lambda a: (a & TRIED) != 0
     more = min(64, (tile - 3) // 2)
     while _any(line, waits):
@@ -457,7 +457,7 @@ def _skeleton(tiles: DataFrame, mask, core, edge: int, connectivity: int, tile:
         total, most = active.agg(F.sum("size"), F.max("size")).first()
         if most > limit:
             m = 2 * more + 3
-            line = cut(map_tiles(line, lambda a: _line_tile(a, connectivity, more)[m:-m, m:-m], m, U16, 0), "line")
+            line = cut_tiles(map_tiles(line, lambda a: _line_tile(a, connectivity, more)[m:-m, m:-m], m, U16, 0), "line")
             continue
         share = F.pmod(F.xxhash64("region"), F.lit(-(-total // SHARE))).alias("share")
         alone = active.where(F.col("size") > SHARE).select("region", F.col("region").alias("alone"))
@@ -471,7 +471,7 @@ def _skeleton(tiles: DataFrame, mask, core, edge: int, connectivity: int, tile:
             return pa.table({"row": r[~on], "col": c[~on]})
 
         gone = cells.groupBy("share", "alone").applyInArrow(finish, "row int, col int")
-        return cut(_with_cells(line, gone, tile, lambda a, m: np.where(m, 0, a & ~U16(TRIED))), "line")
+        return cut_tiles(_with_cells(line, gone, tile, lambda a, m: np.where(m, 0, a & ~U16(TRIED))), "line")
     return line
 
 
@@ -536,7 +536,7 @@ def connectors(tiles: DataFrame, mask, core, edge: int, connectivity: int, tile:
         beside = (join & _grown(cores, connectivity)) | (cores & _grown(join, connectivity))
         return (join * JOIN | cores * CORES | beside * BESIDE).astype(U16)[m:-m, m:-m]
 
-    joined = cut(map_tiles(over_tiles(flat.select("tr", "tc", "r0", "c0", "h", "w", "flags", "data"), both, TILE_SCHEMA), widen, m, U16, 0), "joined")
+    joined = cut_tiles(map_tiles(over_tiles(flat.select("tr", "tc", "r0", "c0", "h", "w", "flags", "data"), both, TILE_SCHEMA), widen, m, U16, 0), "joined")
     bit = lambda x: lambda a: (a & x) != 0
     found = regions(joined, bit(JOIN), connectivity, dtype=U16)
     ends = _cells_of(found, None, bit(BESIDE), lambda a: a).select("row", "col", "region")

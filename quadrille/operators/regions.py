@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.operators.components import connected_components
-from quadrille.operators.tiles import TILE_SCHEMA, over_tiles
+from quadrille.operators.tiles import TILE_SCHEMA, cut_tiles, over_tiles
 from quadrille.session import cut
 
 __all__ = ["label_array", "Regions", "regions", "reach"]
@@ -127,7 +127,7 @@ def regions(tiles: DataFrame, mask: Mask, connectivity: int = 8, seeds: Callable
                 rim.append([(r0 + i).astype(np.int32), (c0 + j).astype(np.int32), gid[lab[i, j]]])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("tr", "tc", "r0", "c0", "h", "w", "data")), pa.array(labels, pa.binary()), lists(parts, ["label", "gid", "n", "seed"]), lists(rim, ["row", "col", "gid"])], names=["tr", "tc", "r0", "c0", "h", "w", "data", "labels", "parts", "rim"])
 
-    done = cut(over_tiles(tiles.select("tr", "tc", "r0", "c0", "h", "w", "data"), local, f"{TILE_SCHEMA}, labels binary, parts array<struct<label:int,gid:long,n:long,seed:boolean>>, rim array<struct<row:int,col:int,gid:long>>"), "regions")
+    done = cut_tiles(over_tiles(tiles.select("tr", "tc", "r0", "c0", "h", "w", "data"), local, f"{TILE_SCHEMA}, labels binary, parts array<struct<label:int,gid:long,n:long,seed:boolean>>, rim array<struct<row:int,col:int,gid:long>>"), "regions")
     parts = done.select("tr", "tc", F.explode("parts").alias("p")).select("tr", "tc", "p.label", "p.gid", "p.n", "p.seed")
     rim = done.select("tr", "tc", F.explode("rim").alias("x")).select("tr", "tc", "x.row", "x.col", "x.gid")
     steps = [(0, 1), (1, 0)] + [(1, 1), (1, -1)] * (connectivity == 8)
@@ -145,4 +145,4 @@ def reach(tiles: DataFrame, mask: Mask, seeds: Callable[[np.ndarray, int, int],
     """New tiles: ``write(data, reached)`` is told which cells of the mask share a region with a seed."""
     found = regions(tiles, mask, connectivity, seeds, dtype)
     touched = found.parts.groupBy("region").agg(F.max("seed").alias("s")).where("s").select("region", F.lit(1).alias("value"))
-    return cut(found.paint(touched, lambda data, value: write(data, value == 1)), "tiles")
+    return cut_tiles(found.paint(touched, lambda data, value: write(data, value == 1)))

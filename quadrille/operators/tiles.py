@@ -15,15 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.session import bounded_batches
+from quadrille.session import bounded_batches, cut
 
-__all__ = ["ABSENT", "TILE", "BATCH", "over_tiles", "in_tiles", "to_tiles", "from_tiles", "tile_histogram", "map_values", "map_tiles", "TILE_SCHEMA"]
+__all__ = ["ABSENT", "TILE", "BATCH", "over_tiles", "cut_tiles", "in_tiles", "to_tiles", "from_tiles", "tile_histogram", "map_values", "map_tiles", "TILE_SCHEMA"]
 
 TILE = 512
 #: A cell that isn't in the raster, in byte arrays.
 ABSENT = 255
 #: Bytes of tiles that a Python worker takes at a time, one tile at least: what it makes of them is several times as much.
 BATCH = 2 << 20
+#: Tiles of a file: executors read them together.
+FILE = 16
 TILE_SCHEMA = "tr int, tc int, r0 int, c0 int, h int, w int, data binary"
 
 
@@ -48,6 +50,11 @@ def over_tiles(tiles: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Itera
     return tiles.mapInArrow(lambda batches: run(few(batches)), schema)
 
 
+def cut_tiles(tiles: DataFrame, name: str = "tiles") -> DataFrame:
+    """As :func:`quadrille.session.cut`, in files of few tiles."""
+    return cut(tiles, name, FILE)
+
+
 def in_tiles(raster: DataFrame) -> bool:
     """Whether a raster is in tiles already."""
     return "data" in raster.columns

@@ -29,15 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
+def cut(df: DataFrame, name: str = "table", rows: int = 0) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The plan starts afresh from replicated storage, so a lost executor costs a re-read
-    and not a recomputation, and readers get column pruning.
+    and not a recomputation, and readers get column pruning. ``rows`` bounds the rows of a file (0: no
+    bound), for large ones: readers take thousands of rows of a file at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows).parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from test_kernels import cells, grid
 
 from quadrille.operators import morphology as mo
@@ -50,3 +51,12 @@ def test_regions_finished_alone_and_together(spark, monkeypatch):
     monkeypatch.setattr(mo, "SHARE", 12)
     assert (grid(mo.mspa(cells(spark, a), 8, 1, intext=False), a.shape) == one).all()
     assert {33, 35, 1} <= set(np.unique(one))
+
+
+def test_tables_of_tiles_are_files_of_few_tiles(spark):
+    """Executors read thousands of rows of a file at once, with all their bytes."""
+    tiles = spark.range(0, 200, 1, 1).selectExpr("cast(id as int) tr", "0 tc", "cast(id * 8 as int) r0", "0 c0", "8 h", "8 w", "cast(repeat('a', 64) as binary) data")
+    found = regions(tiles, lambda a: a > 0, 8)
+    files = found.tiles.groupBy(F.input_file_name()).count().collect()
+    assert sum(f["count"] for f in files) == 200 and max(f["count"] for f in files) <= 20
+    assert [(r.region, r.n) for r in found.sizes().collect()] == [(0, 200 * 64)]
