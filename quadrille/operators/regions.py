@@ -3,7 +3,7 @@
 Each tile labels its own regions (runs of cells in rows, linked); only cells at tile borders are
 compared across tiles, and the resulting small graph is solved by
 :func:`quadrille.operators.components.connected_components`. A region's id is the place of its
-first cell, ``row << 32 | col``.
+first cell, ``(row << 32) + col``; columns may be negative.
 """
 
 from __future__ import annotations
@@ -113,7 +113,7 @@ def regions(tiles: DataFrame, mask: Mask, connectivity: int = 8, seeds: Callable
                 first = np.full(n + 1, h * w, np.int64)
                 at = np.flatnonzero(flat)
                 np.minimum.at(first, flat[at], at)
-                gid = ((r0 + first // w) << 32) | (c0 + first % w)
+                gid = ((r0 + first // w) << 32) + (c0 + first % w)
                 count = np.bincount(flat, minlength=n + 1)
                 seed = np.zeros(n + 1, bool)
                 if seeds is not None:

@@ -60,3 +60,12 @@ def test_tables_of_tiles_are_files_of_few_tiles(spark):
     files = found.tiles.groupBy(F.input_file_name()).count().collect()
     assert sum(f["count"] for f in files) == 200 and max(f["count"] for f in files) <= 20
     assert [(r.region, r.n) for r in found.sizes().collect()] == [(0, 200 * 64)]
+
+
+def test_regions_that_begin_left_of_the_map_stay_apart(spark):
+    """An islet and a core at the left border, which both go on in the frame, in columns below 0."""
+    a = np.ones((30, 20), int)
+    a[2:11, 0:9] = a[20, 0] = 2
+    for got in (mo.spa(cells(spark, a), 1, 6), mo.mspa(cells(spark, a), 8, 1)):
+        got = grid(got, a.shape)
+        assert got[5, 4] == 17 and got[20, 0] == 9
